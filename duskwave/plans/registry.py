@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import curves  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "prefix_causal_colours"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
