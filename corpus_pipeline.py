@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwave.llm import decontam, langid, mixing, sharding, simhash
-from duskwave.llm.common import stored, table
+from duskwave.llm.common import put_back, set_aside, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those with null text or without a letter go."""
     model = langid.fit(docs, langid.part_of(F.col("doc_id")) != 2)
-    found = langid.identify(docs, model, docs.columns)
-    return found.where(F.col("lang_pred") != langid.UND).select(*docs.columns)
+    rows, names = set_aside(docs, ("text",))
+    found = langid.identify(rows, model, names)
+    return put_back(found.where(F.col("lang_pred") != langid.UND), names, docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    rows, names = set_aside(docs, ("text",))
+    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), names)
+    return put_back(found.where(F.size("hits") == 0), names, docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,3 +100,13 @@ def with_text(docs: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, s
 def schema_of(df: DataFrame, names: list[str]) -> str:
     types = dict(df.dtypes)
     return ", ".join(f"`{k}` {types[k]}" for k in names)
+
+
+def set_aside(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """docs with every column but those in keep under a name that no operator uses, in docs' order; and all names."""
+    names = [c if c in keep else f"__x{i}" for i, c in enumerate(docs.columns)]
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))), names
+
+
+def put_back(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import put_back, set_aside, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -122,10 +122,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     A text that the end of its source's quota falls into is kept up to there. Options as in mix_plan().
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    plan = mix_plan(docs, carry=others, **options)
+    renamed, names = set_aside(docs, ("doc_id", "source", "text"))
+    others = tuple(c for c in names if c not in ("doc_id", "source"))
+    plan = mix_plan(renamed, carry=others, **options)
     rows = plan.select("doc_id", "source", *others, "size", F.explode("draws").alias("d"))
     cut_off = F.when(F.col("d.words") < F.col("size"), first_words(F.col("text"), F.col("d.words"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", cut_off).withColumn("n", F.xxhash64("doc_id", "d.pass", F.lit(23)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, F.col("d.shard"), F.pmod("n", F.lit(parts))).sortWithinPartitions("d.shard", "n").select(*docs.columns)
+    rows = rows.repartition(parts, F.col("d.shard"), F.pmod("n", F.lit(parts))).sortWithinPartitions("d.shard", "n")
+    return put_back(rows, names, docs.columns)
