@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -35,6 +35,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, d
     own = rows.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: _hash(x, min_chars)))).alias("h")).where("h is not null")
     pairs = own.groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
     common = pairs.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("h", "keeper")
+    common = stored(common, "common-lines")  # with its size known the join is a broadcast, or one whose hot keys Spark can split
     lost = own.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set("h").alias("gone"))
     both = rows.join(lost, rows["doc_id"].eqNullSafe(lost["lost_id"]), "left")
