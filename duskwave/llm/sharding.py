@@ -41,7 +41,7 @@ def propagate(atoms: DataFrame, capacity: int, shards: int = 16, rounds: int = 8
     return now
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, cell_docs: int = 4000, carry: tuple[str, ...] = ()) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, cell_docs: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of docs, and the columns in carry.
 
     size is the text's UTF-8 bytes plus 1. Null and empty texts are equal. Rows that repeat an id are rows of their own; null ids share
@@ -59,7 +59,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, cell_docs:
     atoms = salted.join(linked, "text_key")
     placed = propagate(atoms, share, shards, rounds, max(1, n_cells // (shards * 64)))
     rows = base.join(placed.drop("n"), ["text_key", "salt"], "left")
-    rows = rows.withColumn("at", F.coalesce("shard", F.lit(shards))).withColumn("cell", F.pmod("h", F.lit(max(1, n_cells // shards if n_cells > shards else 1))))
+    rows = rows.withColumn("at", F.coalesce("shard", F.lit(shards))).withColumn("cell", F.pmod("h", F.when(F.col("at") == shards, n_cells).otherwise(max(1, n_cells // shards))))
     # the place of each document in its shard, whole texts together; `shards` stands for documents that have none yet
     rows = stored(_numbered(rows, ["at"], "rank"), "sharding-ranked")
     goal = F.when(F.col("at") < extra, share + 1).otherwise(share)
