@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curves, forecasts, scoring, tables  # noqa: F401
+from . import curves, forecasts, scoring, streams, tables, training  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "prefix_causal_colours"
