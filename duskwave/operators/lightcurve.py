@@ -122,6 +122,11 @@ def cross_band_peak(peaks: DataFrame, cadence: DataFrame) -> DataFrame:
     return both.select("obj_id", (F.col("0_t") - F.col("1_t")).alias("gr_peak_dt"), (F.col("0_f") - F.col("1_f")).alias("gr_peak_logflux_ratio"), (F.col("0_n") / F.greatest("1_n", F.lit(1))).alias("gr_n_ratio"))
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b, NULL where b is zero: a curve without spread has no such statistic."""
+    return F.try_divide(a, b)
+
+
 def _quantile(q: float) -> Column:
     return F.percentile("m", F.lit(q))
 
@@ -145,31 +150,31 @@ def band_statistics(bands: DataFrame, min_n: int = 4) -> DataFrame:
     swt, swtt, sw = F.sum(w1 * w2), F.sum(w1 * w2 * w2), F.sum(w1)
     swm, swtm = F.sum(w1 * F.col("m")), F.sum(w1 * w2 * F.col("m"))
     det = sw * swtt - swt * swt
-    slope = (sw * swtm - swt * swm) / det
+    slope = over(sw * swtm - swt * swm, det)
     m2, m3, m4 = F.avg(F.pow(F.col("m") - F.col("mu"), F.lit(2.0))), F.avg(F.pow(F.col("m") - F.col("mu"), F.lit(3.0))), F.avg(F.pow(F.col("m") - F.col("mu"), F.lit(4.0)))
     out = x.groupBy("obj_id", "band").agg(
         n.alias("n"), ((F.first("mx") - F.first("mn")) / 2).alias("amplitude"),
         F.avg((F.abs("z") > 1).cast("double")).alias("beyond_1_std"), F.avg((F.abs("z") > 2).cast("double")).alias("beyond_2_std"),
         (F.max("c") - F.min("c")).alias("cusum"),
         (F.pow(F.max("t") - F.min("t"), F.lit(2.0)) / F.pow(n - 1, F.lit(3.0)) * F.sum(F.pow(F.col("dm") / F.col("dtm"), F.lit(2.0))) / (s * s)).alias("eta_e"),
-        ((s * s - F.avg(F.col("d") * F.col("d"))) / (F.first("mu") * F.first("mu"))).alias("excess_variance"),
+        ((s * s - F.avg(F.col("d") * F.col("d"))) / F.nullif(F.first("mu") * F.first("mu"), F.lit(0.0))).alias("excess_variance"),
         (_quantile(0.9) - _quantile(0.1)).alias("inter_percentile_range_10"), (_quantile(0.75) - _quantile(0.25)).alias("inter_percentile_range_25"),
         F.when((n > 3) & (m2 > 1e-24), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * m4 / (m2 * m2) - 3 * (n - 1))).alias("kurtosis"),
         F.when((n > 2) & (m2 > 1e-24), F.sqrt(n * (n - 1.0)) / (n - 2) * m3 / F.pow(m2, F.lit(1.5))).alias("skew"),
-        slope.alias("linear_fit_slope"), F.sqrt(sw / det).alias("linear_fit_slope_sigma"),
+        slope.alias("linear_fit_slope"), F.sqrt(over(sw, det)).alias("linear_fit_slope_sigma"),
         ((F.sum(w1 * F.col("m") * F.col("m")) - slope * swtm - (swm - slope * swt) / sw * swm) / (n - 2)).alias("linear_fit_reduced_chi2"),
         F.regr_slope("m", "t").alias("linear_trend"),
-        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("m", "t") - F.pow(F.regr_sxy("m", "t"), F.lit(2.0)) / F.regr_sxx("m", "t")) / (n - 2) / F.regr_sxx("m", "t")).alias("linear_trend_sigma"),
-        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("m", "t") - F.pow(F.regr_sxy("m", "t"), F.lit(2.0)) / F.regr_sxx("m", "t")) / (n - 2)).alias("linear_trend_noise"),
-        ((_quantile(0.6) - _quantile(0.4)) / (_quantile(0.95) - _quantile(0.05))).alias("magnitude_percentage_ratio_40_5"),
-        ((_quantile(0.8) - _quantile(0.2)) / (_quantile(0.9) - _quantile(0.1))).alias("magnitude_percentage_ratio_20_10"),
-        F.max(F.abs(F.col("dm") / F.col("dtm"))).alias("maximum_slope"), F.first("mu").alias("mean"), F.first("wm").alias("weighted_mean"), (s / F.first("mu")).alias("mean_variance"),
+        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("m", "t") - over(F.pow(F.regr_sxy("m", "t"), F.lit(2.0)), F.regr_sxx("m", "t"))) / (n - 2) / F.nullif(F.regr_sxx("m", "t"), F.lit(0.0))).alias("linear_trend_sigma"),
+        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("m", "t") - over(F.pow(F.regr_sxy("m", "t"), F.lit(2.0)), F.regr_sxx("m", "t"))) / (n - 2)).alias("linear_trend_noise"),
+        over(_quantile(0.6) - _quantile(0.4), _quantile(0.95) - _quantile(0.05)).alias("magnitude_percentage_ratio_40_5"),
+        over(_quantile(0.8) - _quantile(0.2), _quantile(0.9) - _quantile(0.1)).alias("magnitude_percentage_ratio_20_10"),
+        F.max(F.abs(F.col("dm") / F.col("dtm"))).alias("maximum_slope"), F.first("mu").alias("mean"), F.first("wm").alias("weighted_mean"), over(s, F.first("mu")).alias("mean_variance"),
         F.median(F.abs(F.col("m") - F.col("med"))).alias("median_absolute_deviation"),
         F.avg((F.abs(F.col("m") - F.col("med")) < 0.10 * (F.col("mx") - F.col("mn")) / 2).cast("double")).alias("median_buffer_range_10"),
         F.greatest(F.first("mx") - F.first("med"), F.first("med") - F.first("mn")).alias("percent_amplitude"),
-        ((_quantile(0.95) - _quantile(0.05)) / F.first("med")).alias("percent_difference_magnitude_percentile_5"),
+        over(_quantile(0.95) - _quantile(0.05), F.first("med")).alias("percent_difference_magnitude_percentile_5"),
         (F.sum(F.col("r") * F.col("r")) / (n - 1)).alias("chi2"), s.alias("standard_deviation"),
-        (F.sum(F.abs("r")) / F.sqrt(n * F.sum(F.col("r") * F.col("r")))).alias("stetson_k"),
+        over(F.sum(F.abs("r")), F.sqrt(n * F.sum(F.col("r") * F.col("r")))).alias("stetson_k"),
     )
     return out
 
