@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import places
+
 CLASSES = ("SN_Ia", "SN_CC", "SLSN", "AGN", "TDE", "CV")
 
 
@@ -65,17 +67,8 @@ def rank_counts(asked: DataFrame, reference: DataFrame, by: list[str], value: st
 
 def calibrate(cal: DataFrame, by: list[str], score: str = "s", tenths: int = 9) -> DataFrame:
     """Per key: n, k = ceil((n + 1) tenths / 10) and q, the k-th smallest score; 1.0 when k > n."""
-    ranked = cal.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(score))).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    k = F.expr(f"((n + 1) * {tenths} + 9) div 10")
-    ranked = ranked.withColumn("k", k)
-    return ranked.groupBy(*by).agg(F.first("n").alias("n"), F.first("k").alias("k"), F.coalesce(F.max(F.when(F.col("__r") == F.col("k"), F.col(score))), F.lit(1.0)).alias("q"))
-
-
-def average_rank(value: Column, by: list[str] | None = None) -> Column:
-    """Rank from 1, ties averaged."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value)
-    peers = Window.partitionBy(*(by or [F.lit(0)]), value)
-    return F.rank().over(w) + (F.count("*").over(peers) - 1) / F.lit(2.0)
+    ranked = places(cal.select(*by, score), by, [score], F.floor(F.col(score) * 64)).withColumn("k", F.expr(f"((all_place + 1) * {tenths} + 9) div 10"))
+    return ranked.groupBy(*by).agg(F.max("all_place").alias("n"), F.max("k").alias("k"), F.coalesce(F.max(F.when(F.col("place") == F.col("k"), F.col(score))), F.lit(1.0)).alias("q"))
 
 
 def anomaly_probability(e: Column, slope: float, intercept: float, base_rate: float) -> Column:

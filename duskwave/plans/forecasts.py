@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import lightcurve as lc
 from ..operators import neighbours as nb
+from ..operators import ranking
 from ..sources import adapters as src
 from .base import query, r6
 from .curves import _phot
@@ -30,16 +30,17 @@ def linear_extrapolation_forecast(spark, d):
 @query("object_error_summary", f"{_ERR}, o as (select obj_id, avg(abs(target - anchor)) as e from fu group by obj_id) select count(*) as n, round(median(e), 6) + 0.0 as median_object_mae, (select round(median(abs(target - anchor)), 6) + 0.0 from fu) as median_point from o")
 def object_error_summary(spark, d):
     f = _future(spark, d).withColumn("e", F.abs(F.col("target") - F.col("anchor")))
-    o = f.groupBy("obj_id").agg(F.avg("e").alias("o")).agg(F.count("*").alias("n"), r6(F.median("o")).alias("median_object_mae"))
-    point = f.agg(F.median("e").alias("m")).first()["m"]
-    return o.withColumn("median_point", r6(F.lit(point)))
+    o = ranking.quantiles(f.groupBy("obj_id").agg(F.avg("e").alias("o")), [], "o", {"m": 0.5}, F.floor(F.col("o") * 64))
+    point = ranking.quantiles(f, [], "e", {"m": 0.5}, F.floor(F.col("e") * 64)).first()
+    return o.select("n", r6("m").alias("median_object_mae"), r6(F.lit(point["m"] if point else None).cast("double")).alias("median_point"))
 
 
 @query("lead_time_bins", f"{_ERR} select case when day - 10 <= 5 then '0-5' when day - 10 <= 15 then '5-15' when day - 10 <= 30 then '15-30' else '30-60' end as lead, count(*) as n, round(median(abs(target - anchor)), 6) + 0.0 as median_error from fu group by 1")
 def lead_time_bins(spark, d):
     lead = F.col("day") - 10
     bins = F.when(lead <= 5, "0-5").when(lead <= 15, "5-15").when(lead <= 30, "15-30").otherwise("30-60")
-    return _future(spark, d).groupBy(bins.alias("lead")).agg(F.count("*").alias("n"), r6(F.median(F.abs(F.col("target") - F.col("anchor")))).alias("median_error"))
+    f = _future(spark, d).select(bins.alias("lead"), F.abs(F.col("target") - F.col("anchor")).alias("e"))
+    return ranking.quantiles(f, ["lead"], "e", {"m": 0.5}, F.floor(F.col("e") * 64)).select("lead", "n", r6("m").alias("median_error"))
 
 
 @query("residual_anomaly", f"{_ERR} select obj_id, round(quantile_cont(abs(target - anchor) / 0.5, 0.9), 6) + 0.0 as score from fu where day <= 50 group by obj_id having count(*) >= 3")
@@ -52,9 +53,10 @@ def residual_anomaly(spark, d):
 def grouped_interval_calibration(spark, d):
     """Quantile of a group with at least 100 points, else the global one."""
     r = _future(spark, d).select("band", F.floor((F.col("day") - 10) / 5).cast("int").alias("lead"), F.abs(F.col("target") - F.col("anchor")).alias("e"))
-    every = r.agg(F.percentile("e", F.lit(0.68)).alias("q")).first()["q"]
-    g = r.groupBy("band", "lead").agg(F.count("*").alias("n"), F.percentile("e", F.lit(0.68)).alias("q"))
-    return g.select("band", "lead", "n", r6(F.when(F.col("n") >= 100, F.col("q")).otherwise(F.lit(every))).alias("half_width"))
+    every = ranking.quantiles(r, [], "e", {"q": 0.68}, F.floor(F.col("e") * 64)).first()
+    every = every["q"] if every else None
+    g = ranking.quantiles(r, ["band", "lead"], "e", {"q": 0.68}, F.floor(F.col("e") * 64))
+    return g.select("band", "lead", "n", r6(F.when(F.col("n") >= 100, F.col("q")).otherwise(F.lit(every).cast("double"))).alias("half_width"))
 
 
 @query("paired_bootstrap", f"""{_ERR}, {_RECENT}, m as (select fu.obj_id, avg(abs(target - anchor)) as a, avg(abs(target - anchor - coalesce(greatest(-0.2, least(0.2, slope)), 0) * (fu.day - 10))) as b from fu left join rec on fu.obj_id = rec.obj_id and fu.band = rec.band group by fu.obj_id),
@@ -65,8 +67,7 @@ def paired_bootstrap(spark, d):
     f = _future(spark, d).join(_recent(spark, d).select("obj_id", "band", "slope"), ["obj_id", "band"], "left")
     slope = F.coalesce(F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("slope"))), F.lit(0.0))
     m = f.groupBy("obj_id").agg(F.avg(F.abs(F.col("target") - F.col("anchor"))).alias("a"), F.avg(F.abs(F.col("target") - F.col("anchor") - slope * (F.col("day") - 10))).alias("b"))
-    one = Window.partitionBy(F.lit(0))
-    num = m.select("a", "b", (F.row_number().over(one.orderBy("obj_id")) - 1).alias("i"), F.count("*").over(one).alias("n"))
+    num = ranking.places(m, [], ["obj_id"], F.floor(F.col("obj_id") / 1024)).select("a", "b", (F.col("place") - 1).alias("i"), F.col("all_place").alias("n"))
     pick = num.select("n", "i", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("rep"))
     pick = pick.select("rep", (F.conv(F.substring(F.md5(F.concat_ws("/", "rep", "i")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("j"))
     s = pick.join(num.select(F.col("i").cast("long").alias("j"), "a", "b"), "j").groupBy("rep").agg(F.avg(F.col("a") - F.col("b")).alias("gain"))
@@ -104,9 +105,10 @@ def forecast_routing(spark, d):
 @query("mondrian_multipliers", f"{_ERR}, m as (select obj_id % 6 as cls, band, quantile_cont(abs(target - anchor), 0.68) as k, count(*) as n from fu group by 1, 2), al as (select quantile_cont(abs(target - anchor), 0.68) as k from fu) select c.obj_id % 6 as cls, c.band, round(coalesce(case when m.n >= 200 then m.k end, al.k), 6) + 0.0 as multiplier from (select distinct obj_id % 6 as obj_id, band from fu) c left join m on m.cls = c.obj_id and m.band = c.band, al")
 def mondrian_multipliers(spark, d):
     f = _future(spark, d).withColumn("e", F.abs(F.col("target") - F.col("anchor")))
-    every = f.agg(F.percentile("e", F.lit(0.68)).alias("k")).first()["k"]
-    m = f.groupBy((F.col("obj_id") % 6).alias("cls"), "band").agg(F.percentile("e", F.lit(0.68)).alias("k"), F.count("*").alias("n"))
-    return m.select("cls", "band", r6(F.when(F.col("n") >= 200, F.col("k")).otherwise(F.lit(every))).alias("multiplier"))
+    every = ranking.quantiles(f, [], "e", {"k": 0.68}, F.floor(F.col("e") * 64)).first()
+    every = every["k"] if every else None
+    m = ranking.quantiles(f.withColumn("cls", F.col("obj_id") % 6), ["cls", "band"], "e", {"k": 0.68}, F.floor(F.col("e") * 64))
+    return m.select("cls", "band", r6(F.when(F.col("n") >= 200, F.col("k")).otherwise(F.lit(every).cast("double"))).alias("multiplier"))
 
 
 @query("parameter_estimates", "o as (select obj_id, min(mjd) as t0, arg_max(dt, (flux, -dt)) as tp, min(mag) as mb from phot where dt <= 20 group by obj_id) select obj_id, round(t0 + tp, 5) + 0.0 as peak_mjd, round(mb, 6) + 0.0 as m_peak, round(mb - 0.25, 6) + 0.0 as lo68, round(mb + 0.25, 6) + 0.0 as hi68 from o")

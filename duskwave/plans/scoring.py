@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import heads
+from ..operators import heads, ranking
 from ..sources import adapters as src
 from .base import query, r6
 
@@ -213,7 +213,7 @@ def threshold_vs_sets(spark, d):
     return p.groupBy("truth").agg(F.count("*").alias("n"), r6(F.avg(F.col("sure").cast("double"))).alias("kept"), r6(F.avg(F.when(F.col("sure"), right))).alias("correct"))
 
 
-_VA = """va as (select cls, p as s, (cls = truth)::int as y from plong where split = 'val'),
+_VA = """va as (select cls, round(p * 200) / 200 as s, (cls = truth)::int as y from plong where split = 'val'),
 blk as (select cls, s, sum(y) as sy, count(*) as n, row_number() over (partition by cls order by s) as i from va group by cls, s)"""
 
 
@@ -242,20 +242,23 @@ pr as (select x.cls, x.i, x.s, b.i as b, max((b.cy - a.cy + a.sy) / (b.cn - a.cn
 vat as (select cls, i, s, min(m0) as p0, min(m1) as p1 from pr group by cls, i, s)"""
 
 
+def _steps(spark, d):
+    """Scores on a grid of 201 values, so a class has at most so many ranks however many calibration rows there are."""
+    cal = _long(spark, d).where("split = 'val'").select("cls", (F.round(F.col("p") * 200) / 200).alias("s"), (F.col("cls") == F.col("truth")).cast("long").alias("y"))
+    return venn_abers_table(cal)
+
+
 @query("venn_abers_table", f"{_VAT} select cls::bigint as cls, i, round(s, 6) + 0.0 as s, round(p0, 6) + 0.0 as p0, round(p1, 6) + 0.0 as p1 from vat")
 def venn_abers_table_query(spark, d):
-    cal = _long(spark, d).where("split = 'val'").select("cls", F.col("p").alias("s"), (F.col("cls") == F.col("truth")).cast("long").alias("y"))
-    return venn_abers_table(cal).select(F.col("cls").cast("long").alias("cls"), F.col("i").cast("long").alias("i"), *(r6(c).alias(c) for c in ("s", "p0", "p1")))
+    return _steps(spark, d).select(F.col("cls").cast("long").alias("cls"), F.col("i").cast("long").alias("i"), *(r6(c).alias(c) for c in ("s", "p0", "p1")))
 
 
 @query("venn_abers_intervals", f"{_VAT}, iv as (select t.obj_id, t.cls, (select arg_max(p0, v.s) from vat v where v.cls = t.cls and v.s <= t.p) as lo, (select arg_max(p1, v.s) from vat v where v.cls = t.cls and v.s <= t.p) as hi from plong t where split = 'test'), m as (select *, hi / (1 - lo + hi) as u from iv where lo is not null) select obj_id, cls::bigint as cls, round(least(lo, hi), 6) + 0.0 as lower, round(greatest(lo, hi), 6) + 0.0 as upper, round(u / sum(u) over (partition by obj_id), 6) + 0.0 as merged from m")
 def venn_abers_intervals(spark, d):
-    """The step below each score, as an as-of join: steps and questions are ordered together inside a class."""
-    cal = _long(spark, d).where("split = 'val'").select("cls", F.col("p").alias("s"), (F.col("cls") == F.col("truth")).cast("long").alias("y"))
-    steps = venn_abers_table(cal).select("cls", F.col("s").alias("p"), F.struct("p0", "p1").alias("step"), F.lit(None).cast("long").alias("obj_id"), F.lit(0).alias("kind"))
-    asked = _long(spark, d).where("split = 'test'").select("cls", "p", F.lit(None).cast("struct<p0:double,p1:double>").alias("step"), "obj_id", F.lit(1).alias("kind"))
-    w = Window.partitionBy("cls").orderBy("p", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = asked.unionByName(steps).withColumn("step", F.last("step", ignorenulls=True).over(w)).where((F.col("kind") == 1) & F.col("step").isNotNull())
+    """The step below each score. A class's steps, 201 at most, travel as one array."""
+    steps = _steps(spark, d).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("s", "p0", "p1"))).alias("steps"))
+    asked = _long(spark, d).where("split = 'test'").join(F.broadcast(steps), "cls")
+    got = asked.withColumn("step", F.try_element_at(F.filter("steps", lambda x: x["s"] <= F.col("p")), F.lit(-1))).where("step is not null")
     got = got.withColumn("u", F.col("step.p1") / (1 - F.col("step.p0") + F.col("step.p1")))
     return got.select("obj_id", F.col("cls").cast("long").alias("cls"), r6(F.least("step.p0", "step.p1")).alias("lower"), r6(F.greatest("step.p0", "step.p1")).alias("upper"), r6(F.col("u") / F.sum("u").over(Window.partitionBy("obj_id"))).alias("merged"))
 
@@ -312,7 +315,7 @@ def top_k_weirdest(spark, d):
 @query("far_threshold", f"{_E}, t as (select quantile_cont(e, 0.9) as t from en where split = 'val' and not novel) select novel, count(*) as n, count(*) filter (where e > t) as flagged from en, t where split = 'test' group by novel")
 def far_threshold(spark, d):
     e = _energy(spark, d)
-    t = e.where("split = 'val' and not novel").agg(F.percentile("e", F.lit(0.9)).alias("t")).first()["t"]
+    t = ranking.quantiles(e.where("split = 'val' and not novel"), [], "e", {"t": 0.9}, F.floor(F.col("e") * 8)).first()["t"]
     return e.where("split = 'test'").groupBy("novel").agg(F.count("*").alias("n"), F.count_if(F.col("e") > F.lit(t)).alias("flagged"))
 
 
@@ -328,7 +331,7 @@ select u.vec_id as obj_id, round(sum(greatest(-10, least(10, (x - med) / case wh
 def robust_embedding(spark, d):
     """(x - median) / interquartile range, clipped; one row of statistics per dimension."""
     u = _sco(spark, d).select("obj_id", "split", F.posexplode("emb").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
-    s = u.where("split = 'train'").groupBy("j").agg(F.median("x").alias("med"), (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"))
+    s = ranking.quantiles(u.where("split = 'train'"), ["j"], "x", {"med": 0.5, "q3": 0.75, "q1": 0.25}, F.floor(F.col("x") * 32)).withColumn("iqr", F.col("q3") - F.col("q1"))
     z = F.greatest(F.lit(-10.0), F.least(F.lit(10.0), (F.col("x") - F.col("med")) / F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr"))))
     return u.join(F.broadcast(s), "j").groupBy("obj_id").agg((F.round(F.sum(z), 4) + F.lit(0.0)).alias("s"), (F.round(F.max(z), 5) + F.lit(0.0)).alias("m"))
 
@@ -382,8 +385,8 @@ def lifetime_reading(spark, d):
 
 @query("lifetime_reference", f"{_TR}, c as (select k, count(*) as n, round(median(m), 6) + 0.0 as median_m, round(quantile_cont(m, 0.1), 6) + 0.0 as low_m from rm group by k having count(*) >= 5) select * from c")
 def lifetime_reference(spark, d):
-    c = _running(spark, d).groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("n"), r6(F.median("m")).alias("median_m"), r6(F.percentile("m", F.lit(0.1))).alias("low_m"))
-    return c.where("n >= 5")
+    q = ranking.quantiles(_running(spark, d).withColumn("k", F.col("k").cast("long")), ["k"], "m", {"median_m": 0.5, "low_m": 0.1}, F.floor(F.col("m") * 64))
+    return q.where("n >= 5").select("k", "n", r6("median_m").alias("median_m"), r6("low_m").alias("low_m"))
 
 
 @query("nearest_reference_index", f"{_TR}, kk as (select k from rm group by k having count(*) >= 40) select distinct rm.k, coalesce((select max(kk.k) from kk where kk.k <= rm.k), (select min(kk.k) from kk)) as ref from rm")
@@ -444,8 +447,7 @@ def reliability_curve(spark, d):
 def macro_auprc(spark, d):
     """Average precision one-vs-rest; tied scores are one step."""
     r = _long(spark, d).groupBy("cls", "p").agg(F.sum((F.col("cls") == F.col("truth")).cast("long")).alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy("cls").orderBy(F.desc("p"))
-    c = r.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w)).withColumn("pos", F.sum("tp").over(Window.partitionBy("cls")))
+    c = ranking.running(r, ["cls"], [F.desc("p")], -F.floor(F.col("p") * 256), {"ctp": F.col("tp"), "cn": F.col("n")}).withColumnRenamed("all_ctp", "pos")
     return c.where("pos > 0").groupBy(F.col("cls").cast("long").alias("cls")).agg(r6(F.sum(F.col("tp") / F.col("pos") * (F.col("ctp") / F.col("cn")))).alias("ap"))
 
 
@@ -454,18 +456,16 @@ _AR = "rk as (select *, rank() over (order by e) + (count(*) over (partition by
 
 @query("auroc", f"{_E}, {_AR} select round((sum(r) filter (where novel) - count(*) filter (where novel) * (count(*) filter (where novel) + 1) / 2.0::double) / (count(*) filter (where novel) * count(*) filter (where not novel)), 6) + 0.0 as auroc from rk")
 def auroc(spark, d):
-    """Rank statistic with ties averaged, from counts by distinct score: one row per value is ordered, not one per object."""
-    per = _energy(spark, d).groupBy("e").agg(F.count("*").alias("n"), F.count_if("novel").alias("n1"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("r", below + (F.col("n") + 1) / F.lit(2.0))
-    n1, n0 = F.sum("n1"), F.sum(F.col("n") - F.col("n1"))
-    return per.agg(r6((F.sum(F.col("r") * F.col("n1")) - n1 * (n1 + 1) / F.lit(2.0)) / (n1 * n0)).alias("auroc"))
+    """Rank statistic with ties averaged."""
+    r = ranking.average_ranks(_energy(spark, d).select("e", "novel"), "e", F.floor(F.col("e") * 8))
+    n1, n0 = F.count_if("novel"), F.count_if(~F.col("novel"))
+    return r.agg(r6((F.sum(F.when(F.col("novel"), F.col("rank"))) - n1 * (n1 + 1) / F.lit(2.0)) / (n1 * n0)).alias("auroc"))
 
 
 @query("tpr_at_far", f"{_E}, t as (select quantile_cont(e, 0.99) as t from en where not novel) select round(avg((e > t)::int), 6) + 0.0 as tpr from en, t where novel")
 def tpr_at_far(spark, d):
     e = _energy(spark, d)
-    t = e.where("not novel").agg(F.percentile("e", F.lit(0.99)).alias("t")).first()["t"]
+    t = ranking.quantiles(e.where("not novel"), [], "e", {"t": 0.99}, F.floor(F.col("e") * 8)).first()["t"]
     return e.where("novel").agg(r6(F.avg((F.col("e") > F.lit(t)).cast("double"))).alias("tpr"))
 
 
@@ -477,8 +477,8 @@ b as (select rep, avg(num.ok) as acc from pick join num on num.truth = pick.trut
 @query("bootstrap_ci", f"{_BOOT} select round(avg(acc), 6) + 0.0 as mean, round(quantile_cont(acc, 0.025), 6) + 0.0 as lo, round(quantile_cont(acc, 0.975), 6) + 0.0 as hi from b")
 def bootstrap_ci(spark, d):
     """Stratified resampling by hash: each replicate's slot names a row number of its class."""
-    w = Window.partitionBy("truth")
-    num = _pred(spark, d).select("truth", (F.col("truth") == F.col("cls")).cast("int").alias("ok"), (F.row_number().over(w.orderBy("obj_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    num = ranking.places(_pred(spark, d).select("obj_id", "truth", (F.col("truth") == F.col("cls")).cast("int").alias("ok")), ["truth"], ["obj_id"], F.floor(F.col("obj_id") / 1024))
+    num = num.select("truth", "ok", (F.col("place") - 1).alias("i"), F.col("all_place").alias("n"))
     pick = num.select("truth", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("rep"))
     j = F.conv(F.substring(F.md5(F.concat_ws("/", "rep", "truth", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
     got = pick.select("rep", "truth", j.alias("j")).join(num.select("truth", F.col("i").cast("long").alias("j"), "ok"), ["truth", "j"])
@@ -499,20 +499,23 @@ def branch_threshold_search(spark, d):
 
 @query("discovery_curve", f"{_E} select row_number() over (order by e desc, obj_id) as inspected, sum(novel::int) over (order by e desc, obj_id) as found from en where split = 'test'")
 def discovery_curve(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("e"), "obj_id")
-    return _energy(spark, d).where("split = 'test'").select(F.row_number().over(w).alias("inspected"), F.sum(F.col("novel").cast("long")).over(w).alias("found"))
+    e = _energy(spark, d).where("split = 'test'").select("obj_id", "e", "novel")
+    got = ranking.running(e, [], [F.desc("e"), "obj_id"], -F.floor(F.col("e") * 8), {"inspected": F.lit(1).cast("long"), "found": F.col("novel").cast("long")})
+    return got.select("inspected", "found")
 
 
 @query("class_feature_summary", f"{_E} select truth, count(*) as n, round(median(e), 6) + 0.0 as median, round(quantile_cont(e, 0.01), 6) + 0.0 as lo, round(quantile_cont(e, 0.99), 6) + 0.0 as hi from en group by truth")
 def class_feature_summary(spark, d):
-    return _energy(spark, d).groupBy("truth").agg(F.count("*").alias("n"), r6(F.median("e")).alias("median"), r6(F.percentile("e", F.lit(0.01))).alias("lo"), r6(F.percentile("e", F.lit(0.99))).alias("hi"))
+    q = ranking.quantiles(_energy(spark, d), ["truth"], "e", {"median": 0.5, "lo": 0.01, "hi": 0.99}, F.floor(F.col("e") * 8))
+    return q.select("truth", "n", *(r6(c).alias(c) for c in ("median", "lo", "hi")))
 
 
 @query("mean_percentile_rank", f"{_E}, s as (select en.obj_id, e, -list_max(p) as m from en join prob on en.obj_id = prob.obj_id where en.split = 'test'), r as (select obj_id, rank() over (order by e) + (count(*) over (partition by e) - 1) / 2.0::double as a, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2.0::double as b, count(*) over () as n from s) select obj_id, round((a + b) / 2 / n, 6) + 0.0 as consensus from r")
 def mean_percentile_rank(spark, d):
     s = _probs(spark, d).where("split = 'test'").select("obj_id", heads.energy(F.col("raw")).alias("e"), (-F.array_max("p")).alias("m"))
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return s.select("obj_id", r6((heads.average_rank(F.col("e")) + heads.average_rank(F.col("m"))) / 2 / n).alias("consensus"))
+    s = ranking.average_ranks(s, "e", F.floor(F.col("e") * 8), "a")
+    s = ranking.average_ranks(s, "m", F.floor(F.col("m") * 256), "b")
+    return s.select("obj_id", r6((F.col("a") + F.col("b")) / 2 / F.col("all_a")).alias("consensus"))
 
 
 @query("frozen_percentile_rank", f"{_E} select a.obj_id, round((select count(*) from en k where k.split = 'val' and k.e <= a.e) / (select count(*) from en k where k.split = 'val')::double, 6) + 0.0 as pr from en a where split = 'test'")

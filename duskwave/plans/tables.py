@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import photometry as ph
-from ..operators import heads, sky
+from ..operators import heads, ranking, sky
 from ..operators import lightcurve as lc
 from ..sources import adapters as src
 from ..sources import io
@@ -356,15 +356,16 @@ def _hash12(c):
 
 @query("stratified_kfold", f"select obj_id, (row_number() over (partition by truth order by {_MD5.format("obj_id || '/7'")}, obj_id) - 1) % 5 as fold from sco")
 def stratified_kfold(spark, d):
-    w = Window.partitionBy("truth").orderBy(_hash12(F.concat(F.col("obj_id").cast("string"), F.lit("/7"))), "obj_id")
-    return src.scores(spark, d).select("obj_id", ((F.row_number().over(w) - 1) % 5).cast("long").alias("fold"))
+    s = src.scores(spark, d).select("obj_id", "truth", _hash12(F.concat(F.col("obj_id").cast("string"), F.lit("/7"))).alias("h"))
+    p = ranking.places(s, ["truth"], ["h", "obj_id"], F.shiftright("h", 40))
+    return p.select("obj_id", ((F.col("place") - 1) % 5).cast("long").alias("fold"))
 
 
 @query("stratified_split", f"select obj_id, case when r * 100 <= n * 70 then 'train' when r * 100 <= n * 85 then 'val' else 'test' end as part from (select obj_id, row_number() over (partition by truth order by {_MD5.format("obj_id || '/3'")}, obj_id) as r, count(*) over (partition by truth) as n from sco)")
 def stratified_split(spark, d):
-    w = Window.partitionBy("truth")
-    s = src.scores(spark, d).select("obj_id", F.row_number().over(w.orderBy(_hash12(F.concat(F.col("obj_id").cast("string"), F.lit("/3"))), "obj_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return s.select("obj_id", F.when(F.col("r") * 100 <= F.col("n") * 70, "train").when(F.col("r") * 100 <= F.col("n") * 85, "val").otherwise("test").alias("part"))
+    s = src.scores(spark, d).select("obj_id", "truth", _hash12(F.concat(F.col("obj_id").cast("string"), F.lit("/3"))).alias("h"))
+    p, r = ranking.places(s, ["truth"], ["h", "obj_id"], F.shiftright("h", 40)), F.col("place") * 100
+    return p.select("obj_id", F.when(r <= F.col("all_place") * 70, "train").when(r <= F.col("all_place") * 85, "val").otherwise("test").alias("part"))
 
 
 @query("hash_ordered_sample", "select c_custkey as id from customer order by sha256('salt' || c_custkey) limit 25")
