@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, text_slices
+from .common import arrow_map, ship, stored, text_slices
 
 #: Fixed values of HTML: elements without content, with raw text, that start a new line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -118,10 +118,13 @@ def parse(page: str) -> Element:
 
 
 def _label(e: Element) -> int:
-    """Hashes e's subtree; markup counts by name only, text without its white space at the ends."""
+    """Hashes e's subtree; markup counts by name only, text without its white space at the ends, and what is never text not at all."""
     parts = [e.name.encode()]
     for c in e.children:
-        parts.append(c.strip().encode("utf-8", "surrogatepass") if isinstance(c, str) else _label(c).to_bytes(8, "little"))
+        if isinstance(c, str):
+            parts.append(c.strip().encode("utf-8", "surrogatepass"))
+        elif not c.dropped:
+            parts.append(_label(c).to_bytes(8, "little"))
     e.hash = xxhash.xxh64_intdigest(b"\0".join(parts))
     return e.hash
 
@@ -192,16 +195,21 @@ def blocks(roots: list[Element], template: frozenset[int] | set[int] = frozenset
 
 
 def _candidates(root: Element, region: list[Element]) -> tuple[set[int], set[int]]:
-    """Hashes of all subtrees that may be template, and of those among them that would cost this page text."""
+    """Hashes of all subtrees that may be template, and of those among them that would cost this page text.
+
+    What goes by its kind goes on every page, so it needs no counting.
+    """
     every: set[int] = set()
     costly: set[int] = set()
     whole = region == [root]
 
     def walk(e: Element, inside: bool) -> None:
+        if e.dropped:
+            return
         inside = inside or whole or any(e is r for r in region)
         if e is not root and not (inside and (e.main or not whole and e.name not in CONTAINERS)) and e.name not in ("body", "html"):
             every.add(e.hash)
-            if inside and not e.dropped:
+            if inside:
                 costly.add(e.hash)
         for c in e.children:
             if isinstance(c, Element):
@@ -249,7 +257,7 @@ def main_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.2, page
     ship(pages.sparkSession)
     seen = rows.select("host", "uid", "html").mapInArrow(subtrees, "host string, uid long, tree long, body long, costly boolean")
     # one row per host, subtree and different page; uid: of a page that would lose text by it
-    per_page = seen.groupBy("host", "tree", "body").agg(F.collect_set(F.when(F.col("costly"), F.col("uid"))).alias("uids"))
+    per_page = stored(seen.groupBy("host", "tree", "body").agg(F.collect_set(F.when(F.col("costly"), F.col("uid"))).alias("uids")), "subtrees")
     n = per_page.groupBy("host", "tree").agg(F.count("*").alias("n"))
     of_host = n.where("tree = 0").select("host", F.col("n").alias("host_n"))
     template = n.where((F.col("tree") != 0) & (F.col("n") >= min_pages)).join(of_host, "host").where(F.col("n") >= F.col("host_n") * min_share).select("host", "tree")
