@@ -256,12 +256,13 @@ def main_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.2, page
 
     ship(pages.sparkSession)
     seen = rows.select("host", "uid", "html").mapInArrow(subtrees, "host string, uid long, tree long, body long, costly boolean")
-    # one row per host, subtree and different page; uid: of a page that would lose text by it
-    per_page = stored(seen.groupBy("host", "tree", "body").agg(F.collect_set(F.when(F.col("costly"), F.col("uid"))).alias("uids")), "subtrees")
+    seen = stored(seen, "subtrees")
+    per_page = seen.select("host", "tree", "body").distinct()  # one row per host, subtree and different page
     n = per_page.groupBy("host", "tree").agg(F.count("*").alias("n"))
     of_host = n.where("tree = 0").select("host", F.col("n").alias("host_n"))
     template = n.where((F.col("tree") != 0) & (F.col("n") >= min_pages)).join(of_host, "host").where(F.col("n") >= F.col("host_n") * min_share).select("host", "tree")
-    lost = per_page.where(F.size("uids") > 0).join(template, ["host", "tree"]).select(F.explode("uids").alias("lost_uid"), "tree")
+    template = stored(template, "template")  # with its size known the join is a broadcast, or one whose hot keys Spark can split
+    lost = seen.where("costly").join(template, ["host", "tree"]).select(F.col("uid").alias("lost_uid"), "tree")
     lost = lost.groupBy("lost_uid").agg(F.collect_set("tree").alias("trees"))
     both = rows.join(lost, rows["uid"] == lost["lost_uid"], "left").select("page_id", "url", "html", "trees")
 
