@@ -7,7 +7,7 @@ replacement which of its blocks go to its left half, source after source, each c
 distribution. So every shard gets the mix's proportions but for sampling noise, and the quotas add up exactly. A shard's
 blocks are disjoint stretches of the permuted sequence; inside a shard documents are shuffled by hash.
 
-Only counts by source pass through the tree. Positions in a source come from sums over cells (a few thousand documents
+Only counts by source pass through the tree. Positions in a source come from sums over cells (a thousand documents
 each, by hash), so no source, however large, is sorted in one task.
 """
 
@@ -75,7 +75,7 @@ def split_quotas(quotas: DataFrame, levels: int = 3, seed: int = 7) -> DataFrame
     return by_source.select("key", running.alias("bounds"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, levels: int = 3, block_words: int = 8192, cell_docs: int = 4000, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, levels: int = 3, block_words: int = 8192, cell_docs: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and draws for every row of docs, and the columns in carry.
 
     draws: array of (pass, words, shard): the mix takes the first `words` words of the document, once for each draw.
