@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+__all__ = ["arrow_map", "cut", "lower_ascii", "put_back", "schema_of", "scratch_path", "set_aside", "shared_dir", "ship", "stored", "table", "text_slices", "with_text"]
+
 LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Python workers take this many bytes of text at a time.
 CHUNK_BYTES = 4 << 20
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, unless the path they inherit has it."""
-    package = Path(__file__).resolve().parents[1]
-    inherited = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if package.parent in inherited or (app := spark.sparkContext.applicationId) in _shipped:
-        return
-    file = Path(tempfile.mkdtemp(prefix="duskwave-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(file, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(file))
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
