@@ -66,18 +66,22 @@ def quality_cut(phot: DataFrame, **limits: int) -> DataFrame:
 def nearest_time_pairs(phot: DataFrame, first: int = 0, second: int = 1, days: float = 1.5) -> DataFrame:
     """Colour first - second: every row of either band with the nearest row of the other one within `days`, inclusive.
 
-    Ties go to the earlier partner, then the brighter one. Both directions emit rows. Candidates meet by object and time bucket of the
-    window's width, each row looking at three buckets, so an object's bands are never paired whole.
+    Ties go to the earlier partner, then the brighter one. Both directions emit rows. The nearest partner is the last one before or the
+    first one after a row, so two running windows over the object find it: no join, and no move of rows that are dealt by object already.
     """
-    cols = ["obj_id", "mjd", "dt", "band", "logflux", "logflux_err", "mag", "magerr"]
-    rows = phot.where(F.col("band").isin(first, second)).select(*cols).withColumn("bucket", F.floor(F.col("mjd") / days))
-    mine = rows.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    other = rows.select("obj_id", "bucket", *(F.col(c).alias(f"o_{c}") for c in cols[1:]))
-    met = mine.join(other, ["obj_id", "bucket"]).where((F.col("band") != F.col("o_band")) & (F.abs(F.col("mjd") - F.col("o_mjd")) <= days))
-    near = Window.partitionBy("obj_id", "band", "mjd", "mag", "magerr").orderBy(F.abs(F.col("mjd") - F.col("o_mjd")), "o_mjd", "o_mag", "o_magerr")
-    best = met.withColumn("__n", F.row_number().over(near)).where("__n = 1")
+    rows = phot.where(F.col("band").isin(first, second)).select("obj_id", "mjd", "dt", "band", "logflux", "logflux_err", "mag", "magerr")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("obj_id", "band", "mjd").orderBy("mag", "magerr")))
+    ways = {"before": per_object().orderBy("mjd"), "after": per_object().orderBy(F.desc("mjd"))}
+    me = F.struct("mjd", "dt", "logflux", "logflux_err")
+    near = {f"__{way}_{b}": F.last(F.when((F.col("band") == b) & (F.col("__n") == 1), me), ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) for way, w in ways.items() for b in (first, second)}
+    rows = rows.withColumns(near)
+    for way in ways:
+        rows = rows.withColumn(way, F.when(F.col("band") == first, F.col(f"__{way}_{second}")).otherwise(F.col(f"__{way}_{first}")))
+    gap = lambda way: F.abs(F.col("mjd") - F.col(f"{way}.mjd"))
+    rows = rows.withColumn("o", F.when(F.col("after").isNull() | (gap("before") <= gap("after")), F.col("before")).otherwise(F.col("after")))
+    rows = rows.where(F.abs(F.col("mjd") - F.col("o.mjd")) <= days)
     sign = F.when(F.col("band") == first, 1.0).otherwise(-1.0)
-    return best.select("obj_id", "mjd", "dt", "band", F.col("o_dt").alias("partner_dt"), (sign * -2.5 * (F.col("logflux") - F.col("o_logflux"))).alias("colour"), (2.5 * F.hypot("logflux_err", "o_logflux_err")).alias("colour_err"))
+    return rows.select("obj_id", "mjd", "dt", "band", F.col("o.dt").alias("partner_dt"), (sign * -2.5 * (F.col("logflux") - F.col("o.logflux"))).alias("colour"), (2.5 * F.hypot(F.col("logflux_err"), F.col("o.logflux_err"))).alias("colour_err"))
 
 
 def colour_stats(pairs: DataFrame) -> DataFrame:
@@ -99,17 +103,28 @@ def leakage(phot: DataFrame, days: float) -> DataFrame:
     return ahead.groupBy("obj_id").agg(F.count("*").alias("n_leaked"))
 
 
+CADENCE = ("n_obs", "span", "gap_median", "gap_max", "snr_mean")
+PEAK = ("t_peak", "logflux_peak", "logflux_last_minus_peak", "frac_obs_before_peak")
+
+
 def band_cadence(bands: DataFrame) -> DataFrame:
-    gap = F.col("mjd") - F.lag("mjd").over(per_band().orderBy("mjd"))
-    return bands.withColumn("gap", gap).groupBy("obj_id", "band").agg(F.count("*").alias("n_obs"), (F.max("mjd") - F.min("mjd")).alias("span"), F.median("gap").alias("gap_median"), F.max("gap").alias("gap_max"), F.avg(F.lit(ph.LOG_CONST) / F.greatest("logflux_err", F.lit(1e-6))).alias("snr_mean"))
+    return band_features(bands).select("obj_id", "band", *CADENCE)
 
 
 def band_peak(bands: DataFrame) -> DataFrame:
     """First maximum of the flux; the share of rows before it; the fall from it to the last row."""
-    brightest = F.max(F.struct("flux", (-F.col("dt")).alias("t"), "logflux")).over(per_band())
-    last = F.max(F.struct("dt", "logflux")).over(per_band())
-    rows = bands.withColumn("peak", brightest).withColumn("last", last)
-    return rows.groupBy("obj_id", "band").agg((-F.first("peak")["t"]).alias("t_peak"), F.first("peak")["logflux"].alias("logflux_peak"), (F.first("last")["logflux"] - F.first("peak")["logflux"]).alias("logflux_last_minus_peak"), F.avg((F.col("dt") < -F.col("peak.t")).cast("double")).alias("frac_obs_before_peak"))
+    return band_features(bands).select("obj_id", "band", *PEAK)
+
+
+def band_statistics(bands: DataFrame, min_n: int = 4) -> DataFrame:
+    """The light-curve statistics of every (object, band) with at least min_n rows."""
+    f = band_features(bands, min_n)
+    return f.where(F.col("n_obs") >= min_n).drop(*CADENCE, *PEAK, "anderson_darling_normal")
+
+
+def anderson_darling(bands: DataFrame, min_n: int = 4) -> DataFrame:
+    f = band_features(bands, min_n)
+    return f.where((F.col("n_obs") >= min_n) & F.col("anderson_darling_normal").isNotNull()).select("obj_id", "band", "anderson_darling_normal")
 
 
 def global_cadence(phot: DataFrame) -> DataFrame:
@@ -127,72 +142,71 @@ def over(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def _quantile(q: float) -> Column:
-    return F.percentile("m", F.lit(q))
+QUANTILES = (0.05, 0.1, 0.2, 0.25, 0.4, 0.6, 0.75, 0.8, 0.9, 0.95)
 
 
-def band_statistics(bands: DataFrame, min_n: int = 4) -> DataFrame:
-    """The light-curve statistics of every (object, band) with at least min_n rows, in two shuffles at most.
+def normal_cdf(z: Column) -> Column:
+    """Phi by the rational approximation of Abramowitz and Stegun 26.2.17."""
+    t = 1 / (1 + F.lit(0.2316419) * F.abs(z))
+    tail = F.exp(-z * z / 2) / F.lit(2.5066282746310002) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+
+def band_features(bands: DataFrame, min_n: int = 4) -> DataFrame:
+    """Everything there is to say about one band of one object, in one aggregation: cadence, peak, and (NULL below min_n rows) statistics.
 
-    m is logflux, d its error, s the sample deviation. Windows over (obj_id, band) attach the moments; one aggregation
-    over the same partitioning finishes, so the second pass moves nothing.
+    Windows over (obj_id, band) attach moments, differences and ranks; the aggregation has the same grouping, so after the rows are dealt by object
+    nothing moves again. Whoever selects a few columns pays for these only. m is logflux, d its error, s the sample deviation.
     """
     w, t = per_band(), per_band().orderBy("mjd")
     upto = t.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = bands.select("obj_id", "band", F.col("dt").alias("t"), F.col("mjd"), F.col("logflux").alias("m"), F.col("logflux_err").alias("d"))
-    x = x.withColumns({"n": F.count("*").over(w), "mu": F.avg("m").over(w), "s": F.stddev_samp("m").over(w), "med": F.median("m").over(w), "mx": F.max("m").over(w), "mn": F.min("m").over(w), "wm": F.sum(F.col("m") / (F.col("d") * F.col("d"))).over(w) / F.sum(1 / (F.col("d") * F.col("d"))).over(w), "dm": F.col("m") - F.lag("m").over(t), "dtm": F.col("t") - F.lag("t").over(t)})
-    x = x.where(F.col("n") >= min_n)
+    c = F.col
+    x = bands.select("obj_id", "band", c("dt").alias("t"), "mjd", "flux", c("logflux").alias("m"), c("logflux_err").alias("d"))
+    x = x.withColumns(
+        {
+            "n": F.count("*").over(w), "mu": F.avg("m").over(w), "s": F.stddev_samp("m").over(w), "med": F.median("m").over(w), "mx": F.max("m").over(w), "mn": F.min("m").over(w),
+            "wm": F.sum(c("m") / (c("d") * c("d"))).over(w) / F.sum(1 / (c("d") * c("d"))).over(w), "dm": c("m") - F.lag("m").over(t), "dtm": c("t") - F.lag("t").over(t), "gap": c("mjd") - F.lag("mjd").over(t),
+            "peak": F.max(F.struct("flux", (-c("t")).alias("t"), "m")).over(w), "last": F.max(F.struct("t", "m")).over(w), "i": F.row_number().over(per_band().orderBy("m", "mjd")),
+        }
+    )
     # too little spread for anything that divides by it
-    x = x.withColumn("s", F.when(F.col("s") > 1e-12, F.col("s")))
-    x = x.withColumns({"z": (F.col("m") - F.col("mu")) / F.col("s"), "c": F.sum((F.col("m") - F.col("mu")) / (F.col("n") * F.col("s"))).over(upto), "r": (F.col("m") - F.col("wm")) / F.col("d"), "i": F.row_number().over(per_band().orderBy("m", "mjd"))})
-    n, s = F.first("n"), F.first("s")
-    w1, w2 = 1 / (F.col("d") * F.col("d")), F.col("t")
-    swt, swtt, sw = F.sum(w1 * w2), F.sum(w1 * w2 * w2), F.sum(w1)
-    swm, swtm = F.sum(w1 * F.col("m")), F.sum(w1 * w2 * F.col("m"))
+    x = x.withColumn("s", F.when(c("s") > 1e-12, c("s")))
+    x = x.withColumns({"z": (c("m") - c("mu")) / c("s"), "cum": F.sum((c("m") - c("mu")) / (c("n") * c("s"))).over(upto), "r": (c("m") - c("wm")) / c("d"), "e": c("m") - c("mu"), "wt": 1 / (c("d") * c("d"))})
+    x = x.withColumn("f", ph.clip(normal_cdf(c("z")), 1e-12, 1 - 1e-12))
+    n, s, mu, med = F.first("n"), F.first("s"), F.first("mu"), F.first("med")
+    swt, swtt, sw, swm, swtm = F.sum(c("wt") * c("t")), F.sum(c("wt") * c("t") * c("t")), F.sum("wt"), F.sum(c("wt") * c("m")), F.sum(c("wt") * c("t") * c("m"))
     det = sw * swtt - swt * swt
     slope = over(sw * swtm - swt * swm, det)
-    m2, m3, m4 = F.avg(F.pow(F.col("m") - F.col("mu"), F.lit(2.0))), F.avg(F.pow(F.col("m") - F.col("mu"), F.lit(3.0))), F.avg(F.pow(F.col("m") - F.col("mu"), F.lit(4.0)))
-    out = x.groupBy("obj_id", "band").agg(
-        n.alias("n"), ((F.first("mx") - F.first("mn")) / 2).alias("amplitude"),
-        F.avg((F.abs("z") > 1).cast("double")).alias("beyond_1_std"), F.avg((F.abs("z") > 2).cast("double")).alias("beyond_2_std"),
-        (F.max("c") - F.min("c")).alias("cusum"),
-        (F.pow(F.max("t") - F.min("t"), F.lit(2.0)) / F.pow(n - 1, F.lit(3.0)) * F.sum(F.pow(F.col("dm") / F.col("dtm"), F.lit(2.0))) / (s * s)).alias("eta_e"),
-        ((s * s - F.avg(F.col("d") * F.col("d"))) / F.nullif(F.first("mu") * F.first("mu"), F.lit(0.0))).alias("excess_variance"),
-        (_quantile(0.9) - _quantile(0.1)).alias("inter_percentile_range_10"), (_quantile(0.75) - _quantile(0.25)).alias("inter_percentile_range_25"),
-        F.when((n > 3) & (m2 > 1e-24), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * m4 / (m2 * m2) - 3 * (n - 1))).alias("kurtosis"),
-        F.when((n > 2) & (m2 > 1e-24), F.sqrt(n * (n - 1.0)) / (n - 2) * m3 / F.pow(m2, F.lit(1.5))).alias("skew"),
-        slope.alias("linear_fit_slope"), F.sqrt(over(sw, det)).alias("linear_fit_slope_sigma"),
-        ((F.sum(w1 * F.col("m") * F.col("m")) - slope * swtm - (swm - slope * swt) / sw * swm) / (n - 2)).alias("linear_fit_reduced_chi2"),
-        F.regr_slope("m", "t").alias("linear_trend"),
-        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("m", "t") - over(F.pow(F.regr_sxy("m", "t"), F.lit(2.0)), F.regr_sxx("m", "t"))) / (n - 2) / F.nullif(F.regr_sxx("m", "t"), F.lit(0.0))).alias("linear_trend_sigma"),
-        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("m", "t") - over(F.pow(F.regr_sxy("m", "t"), F.lit(2.0)), F.regr_sxx("m", "t"))) / (n - 2)).alias("linear_trend_noise"),
-        over(_quantile(0.6) - _quantile(0.4), _quantile(0.95) - _quantile(0.05)).alias("magnitude_percentage_ratio_40_5"),
-        over(_quantile(0.8) - _quantile(0.2), _quantile(0.9) - _quantile(0.1)).alias("magnitude_percentage_ratio_20_10"),
-        F.max(F.abs(F.col("dm") / F.col("dtm"))).alias("maximum_slope"), F.first("mu").alias("mean"), F.first("wm").alias("weighted_mean"), over(s, F.first("mu")).alias("mean_variance"),
-        F.median(F.abs(F.col("m") - F.col("med"))).alias("median_absolute_deviation"),
-        F.avg((F.abs(F.col("m") - F.col("med")) < 0.10 * (F.col("mx") - F.col("mn")) / 2).cast("double")).alias("median_buffer_range_10"),
-        F.greatest(F.first("mx") - F.first("med"), F.first("med") - F.first("mn")).alias("percent_amplitude"),
-        over(_quantile(0.95) - _quantile(0.05), F.first("med")).alias("percent_difference_magnitude_percentile_5"),
-        (F.sum(F.col("r") * F.col("r")) / (n - 1)).alias("chi2"), s.alias("standard_deviation"),
-        over(F.sum(F.abs("r")), F.sqrt(n * F.sum(F.col("r") * F.col("r")))).alias("stetson_k"),
+    m2, m3, m4 = F.avg(F.pow(c("e"), F.lit(2.0))), F.avg(F.pow(c("e"), F.lit(3.0))), F.avg(F.pow(c("e"), F.lit(4.0)))
+    all_q = F.percentile("m", F.array(*map(F.lit, QUANTILES)))
+    q = lambda v: all_q[QUANTILES.index(v)]
+    sxx, rest = F.regr_sxx("m", "t"), F.greatest(F.lit(0.0), F.regr_syy("m", "t") - over(F.pow(F.regr_sxy("m", "t"), F.lit(2.0)), F.regr_sxx("m", "t")))
+    a2 = -n - F.sum((2 * c("i") - 1) * F.ln("f") + (2 * (c("n") - c("i")) + 1) * F.ln(1 - c("f"))) / n
+    statistics = {
+        "amplitude": (F.first("mx") - F.first("mn")) / 2,
+        "beyond_1_std": F.avg((F.abs("z") > 1).cast("double")), "beyond_2_std": F.avg((F.abs("z") > 2).cast("double")),
+        "cusum": F.max("cum") - F.min("cum"),
+        "eta_e": F.pow(F.max("t") - F.min("t"), F.lit(2.0)) / F.pow(n - 1, F.lit(3.0)) * F.sum(F.pow(c("dm") / c("dtm"), F.lit(2.0))) / (s * s),
+        "excess_variance": (s * s - F.avg(c("d") * c("d"))) / F.nullif(mu * mu, F.lit(0.0)),
+        "inter_percentile_range_10": q(0.9) - q(0.1), "inter_percentile_range_25": q(0.75) - q(0.25),
+        "kurtosis": F.when((n > 3) & (m2 > 1e-24), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * m4 / (m2 * m2) - 3 * (n - 1))),
+        "skew": F.when((n > 2) & (m2 > 1e-24), F.sqrt(n * (n - 1.0)) / (n - 2) * m3 / F.pow(m2, F.lit(1.5))),
+        "linear_fit_slope": slope, "linear_fit_slope_sigma": F.sqrt(over(sw, det)),
+        "linear_fit_reduced_chi2": (F.sum(c("wt") * c("m") * c("m")) - slope * swtm - (swm - slope * swt) / sw * swm) / (n - 2),
+        "linear_trend": F.regr_slope("m", "t"), "linear_trend_sigma": F.sqrt(rest / (n - 2) / F.nullif(sxx, F.lit(0.0))), "linear_trend_noise": F.sqrt(rest / (n - 2)),
+        "magnitude_percentage_ratio_40_5": over(q(0.6) - q(0.4), q(0.95) - q(0.05)), "magnitude_percentage_ratio_20_10": over(q(0.8) - q(0.2), q(0.9) - q(0.1)),
+        "maximum_slope": F.max(F.abs(c("dm") / c("dtm"))), "mean": mu, "weighted_mean": F.first("wm"), "mean_variance": over(s, mu),
+        "median_absolute_deviation": F.median(F.abs(c("m") - c("med"))),
+        "median_buffer_range_10": F.avg((F.abs(c("m") - c("med")) < 0.10 * (c("mx") - c("mn")) / 2).cast("double")),
+        "percent_amplitude": F.greatest(F.first("mx") - med, med - F.first("mn")), "percent_difference_magnitude_percentile_5": over(q(0.95) - q(0.05), med),
+        "chi2": F.sum(c("r") * c("r")) / (n - 1), "standard_deviation": s, "stetson_k": over(F.sum(F.abs("r")), F.sqrt(n * F.sum(c("r") * c("r")))),
+        "anderson_darling_normal": a2 * (1 + 4.0 / n - 25.0 / (n * n)),
+    }
+    return x.groupBy("obj_id", "band").agg(
+        F.count("*").alias("n_obs"), (F.max("mjd") - F.min("mjd")).alias("span"), F.median("gap").alias("gap_median"), F.max("gap").alias("gap_max"), F.avg(F.lit(ph.LOG_CONST) / F.greatest("d", F.lit(1e-6))).alias("snr_mean"),
+        (-F.first("peak")["t"]).alias("t_peak"), F.first("peak")["m"].alias("logflux_peak"), (F.first("last")["m"] - F.first("peak")["m"]).alias("logflux_last_minus_peak"), F.avg((c("t") < -c("peak.t")).cast("double")).alias("frac_obs_before_peak"),
+        *(F.when(n >= min_n, v).alias(k) for k, v in statistics.items()),
     )
-    return out
-
-
-def normal_cdf(z: Column) -> Column:
-    """Phi by the rational approximation of Abramowitz and Stegun 26.2.17."""
-    t = 1 / (1 + F.lit(0.2316419) * F.abs(z))
-    tail = F.exp(-z * z / 2) / F.lit(2.5066282746310002) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
-
-
-def anderson_darling(bands: DataFrame, min_n: int = 4) -> DataFrame:
-    """Normality statistic A^2 (1 + 4/n - 25/n^2): rank i from below pairs with rank n + 1 - i, weighted (2i - 1) and (2(n - i) + 1)."""
-    x = bands.select("obj_id", "band", "mjd", F.col("logflux").alias("m"))
-    x = x.withColumns({"n": F.count("*").over(per_band()), "z": (F.col("m") - F.avg("m").over(per_band())) / F.stddev_samp("m").over(per_band()), "i": F.row_number().over(per_band().orderBy("m", "mjd")), "s": F.stddev_samp("m").over(per_band())})
-    x = x.where((F.col("n") >= min_n) & (F.col("s") > 1e-12)).withColumn("f", ph.clip(normal_cdf(F.col("z")), 1e-12, 1 - 1e-12))
-    a2 = -F.first("n") - F.sum((2 * F.col("i") - 1) * F.ln("f") + (2 * (F.col("n") - F.col("i")) + 1) * F.ln(1 - F.col("f"))) / F.first("n")
-    return x.groupBy("obj_id", "band").agg((a2 * (1 + 4.0 / F.first("n") - 25.0 / (F.first("n") * F.first("n")))).alias("anderson_darling_normal"))
 
 
 #: Grids of the explosion-model fit, in days.
@@ -206,8 +220,9 @@ def bazin_grid_fit(bands: DataFrame, min_n: int = 6) -> DataFrame:
     point and one minimum: 180 rows for each detection before the map-side sums.
     """
     x = bands.select("obj_id", "band", "dt", "flux", "flux_err", F.count("*").over(per_band()).alias("n"), F.min("dt").over(per_band()).alias("t1"), F.max("dt").over(per_band()).alias("t2")).where(F.col("n") >= min_n)
-    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r).alias("rise"), F.lit(f).alias("fall")) for i in range(BAZIN_STEPS) for r in BAZIN_RISE for f in BAZIN_FALL if f > r)))
-    x = x.select("*", grid.alias("g")).withColumn("t0", F.col("t1") + (F.col("t2") - F.col("t1")) * F.col("g.i") / (BAZIN_STEPS - 1))
+    shapes = F.array(*(F.struct(F.lit(r).alias("rise"), F.lit(f).alias("fall")) for r in BAZIN_RISE for f in BAZIN_FALL if f > r))
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(BAZIN_STEPS - 1))).alias("i")).withColumn("t0", F.col("t1") + (F.col("t2") - F.col("t1")) * F.col("i") / (BAZIN_STEPS - 1))
+    x = x.select("*", F.explode(shapes).alias("g"))
     u = F.col("dt") - F.col("t0")
     x = x.withColumn("h", F.exp(-u / F.col("g.fall")) / (1 + F.exp(-u / F.col("g.rise")))).withColumn("w", 1 / (F.col("flux_err") * F.col("flux_err")))
     s = lambda c: F.sum(F.col("w") * c)
@@ -221,18 +236,22 @@ def bazin_grid_fit(bands: DataFrame, min_n: int = 6) -> DataFrame:
     return out.select("obj_id", "band", F.col("f.a").alias("amplitude"), F.col("f.b").alias("baseline"), F.col("f.t0").alias("reference_time"), F.col("f.rise").alias("rise_time"), F.col("f.fall").alias("fall_time"), F.col("f.chi2").alias("reduced_chi2"), (F.col("f.fall") / F.col("f.rise")).alias("fall_over_rise"))
 
 
+def by_band(part: DataFrame, prefix: str = "") -> DataFrame:
+    """One row per object of a table with one row per (object, band): columns g_x, r_x, i_x."""
+    names = [c for c in part.columns if c not in ("obj_id", "band")]
+    rows = part.groupBy("obj_id").agg(*(F.max(F.when(F.col("band") == b, F.struct(*names))).alias(letter) for b, letter in enumerate("gri")))
+    return rows.select("obj_id", *(F.col(f"{letter}.{c}").alias(f"{letter}_{prefix}{c}") for letter in "gri" for c in names))
+
+
 def assemble_features(phot: DataFrame) -> DataFrame:
-    """The wide feature table: global, per-band, colour and cross-band columns, NULL where there is too little data."""
+    """The wide feature table: global, per-band, colour and cross-band columns, NULL where there is too little data.
+
+    Every part is dealt by object from the first window on and has one row per object when it is joined, so all of it shares one shuffle.
+    """
     bands = dedupe_same_time(phot)
-    cadence, peaks = band_cadence(bands), band_peak(bands)
-    long = cadence.join(peaks, ["obj_id", "band"])
-    for part in (band_statistics(bands).drop("n"), anderson_darling(bands), bazin_grid_fit(bands).withColumnsRenamed({"amplitude": "bazin_amplitude", "baseline": "bazin_baseline", "reduced_chi2": "bazin_reduced_chi2", "reference_time": "bazin_reference_time", "rise_time": "bazin_rise_time", "fall_time": "bazin_fall_time", "fall_over_rise": "bazin_fall_over_rise"})):
-        long = long.join(part, ["obj_id", "band"], "left")
-    names = [c for c in long.columns if c not in ("obj_id", "band")]
-    letters = F.when(F.col("band") == 0, "g").when(F.col("band") == 1, "r").otherwise("i")
-    wide = long.withColumn("letter", letters).groupBy("obj_id").pivot("letter", ["g", "r", "i"]).agg(*(F.first(c).alias(c) for c in names))
-    out = global_cadence(phot).join(wide, "obj_id", "left")
+    out = global_cadence(phot).join(by_band(band_features(bands)), "obj_id", "left").join(by_band(bazin_grid_fit(bands), "bazin_"), "obj_id", "left")
     for name, (a, b) in {"g_r": (0, 1), "r_i": (1, 2)}.items():
         c = colour_stats(nearest_time_pairs(phot, a, b))
         out = out.join(c.withColumnsRenamed({x: f"{name}_{x}" for x in c.columns if x != "obj_id"}), "obj_id", "left")
-    return out.join(cross_band_peak(peaks, cadence), "obj_id", "left")
+    both = lambda c: F.col(f"g_{c}") - F.col(f"r_{c}")
+    return out.withColumns({"gr_peak_dt": both("t_peak"), "gr_peak_logflux_ratio": both("logflux_peak"), "gr_n_ratio": F.col("g_n_obs") / F.greatest("r_n_obs", F.lit(1))})

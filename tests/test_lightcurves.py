@@ -178,3 +178,12 @@ def test_state_survives_batches(spark, tmp_path):
     two = jobs.drained(jobs.source_features(jobs.arriving(spark, f"{tmp_path}/two/*", 1)), "two")
     one = jobs.drained(jobs.source_features(jobs.arriving(spark, f"{tmp_path}/one/*")), "one")
     assert sorted(map(tuple, two.collect())) == sorted(map(tuple, one.collect())) and two.count() == 10
+
+
+def test_the_future_changes_nothing(spark):
+    """Features of a prefix stay as they are whatever happens after the cut."""
+    rows = [(float(i), 1 + i % 3, 18.0 + (i % 4) * 0.3, 0.1) for i in range(30)]
+    other = [r if r[0] <= 12 else (r[0], r[1], 14.0 + r[0] / 10, 0.02) for r in rows] + [(12.4, 2, 15.0, 0.1)]
+    a, b = (lc.assemble_features(lc.horizon_truncate(phot(spark, x), 12)).first().asDict() for x in (rows, other))
+    assert a == b
+    assert lc.nearest_time_pairs(lc.horizon_truncate(phot(spark, rows), 12)).count() == lc.nearest_time_pairs(lc.horizon_truncate(phot(spark, other), 12)).count()
