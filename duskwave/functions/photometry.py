@@ -47,8 +47,10 @@ def snr(err: Column) -> Column:
 
 def valid_detection(mag: Column, err: Column, min_snr: float | None = 3.0) -> Column:
     """Both finite, and an error within 1.0857 / min_snr; None leaves the limit out."""
-    fine = mag.isNotNull() & ~F.isnan(mag) & err.isNotNull() & ~F.isnan(err)
-    return fine if min_snr is None else fine & (err > 0) & (err <= F.lit(SNR_CONST / min_snr))
+    fine = mag.isNotNull() & ~F.isnan(mag)
+    if min_snr is None:
+        return fine & err.isNotNull() & ~F.isnan(err)
+    return fine & (err > 0) & (err <= F.lit(SNR_CONST / min_snr))  # neither NULL nor NaN lies between
 
 
 def degrees(value: Column, is_ra: bool) -> Column:

@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 
-from duskwave.plans import registry
+from duskwave.plans import curves, registry
+from duskwave.plans.base import sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,7 +33,11 @@ def plain(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+#: Queries that return columns of one table; test_all_statistics() checks them together.
+TOGETHER = set(curves._STAT_QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - (set() if os.environ.get("ALL_QUERIES") else TOGETHER - {"stat_skew"})))
 def test_query(spark, duck, name):
     if name in SLOW and not os.environ.get("ALL_QUERIES"):
         pytest.skip("trains several models; set ALL_QUERIES to run it")
@@ -47,6 +52,16 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_all_statistics(spark, duck):
+    from pyspark.sql import functions as F
+
+    columns = [c for cols in curves._STAT_QUERIES.values() for c in cols]
+    got = curves._statistic(columns)(spark, SF).where(F.col("band") >= 0).toArrow()
+    want = duck.sql(sql(curves._STAT + " select obj_id, band, " + ", ".join(f"round({curves._STATS[c]}, 5) + 0.0 as {c}" for c in columns) + " from x group by obj_id, band")).to_arrow_table()
+    rows = lambda t: sorted(tuple(plain(v) for v in r) for r in zip(*(t.column(c).to_pylist() for c in ["obj_id", "band", *columns]), strict=True))
+    assert rows(got) == rows(want) and got.num_rows > 10
+
+
 def test_entry():
     import __spark_entry__ as entry
 
