@@ -2,40 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+from ..session import ship
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
 
 
-def knn(queries: DataFrame, archive: DataFrame, k: int = 5, metric: str = "cosine", blocks: int = 16, most_queries: int = 20000) -> DataFrame:
-    """q_id, a_id, dist, place: the k nearest archive rows (id, v) of each query row (id, v), exactly; ties by a_id.
-
-    A stated set of queries is compared with all rows in blocks: the archive is dealt over `blocks` keys and each query goes to every
-    block, so no task holds the archive; each block keeps its k best per query (a bounded sort per block and query) before the final
-    merge. The queries are copied `blocks` times, so their number is checked.
+def nearest_rows(q_ids: np.ndarray, q: np.ndarray, a_ids: np.ndarray, a: np.ndarray, k: int, metric: str, best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    """Of rows a (and those in best) the k nearest of each q by (distance to nine digits, id), as (number of q, distance, id)."""
+    if metric == "cosine":
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
+        d = 1 - np.divide(q @ a.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+    else:
+        d = np.stack([np.sqrt(((a - x) ** 2).sum(axis=1)) for x in q])
+    d = np.round(d, 9)
+    d[q_ids[:, None] == a_ids[None, :]] = np.inf
+    far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    row, col = np.nonzero((d <= far[:, None]) & np.isfinite(d))
+    row, dist, ids = row, d[row, col], a_ids[col]
+    if best is not None:
+        row, dist, ids = np.concatenate((best[0], row)), np.concatenate((best[1], dist)), np.concatenate((best[2], ids))
+    order = np.lexsort((ids, dist, row))
+    row, dist, ids = row[order], dist[order], ids[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], dist[place < k], ids[place < k]
+
+
+def knn(queries: DataFrame, archive: DataFrame, k: int = 5, metric: str = "cosine", most_queries: int = 20000, cells: int = 1 << 21) -> DataFrame:
+    """q_id, a_id, dist, place: the k nearest archive rows (id, v) of each query row (id, v), exactly; ties by a_id. NULL vectors are nobody's neighbour.
+
+    A stated set of queries is compared with all rows in blocks. The queries are counted first and go to all tasks; each task reads its part of the
+    archive once, in blocks of at most `cells` distances, and hands on its k best for each query, so nothing but these is shuffled.
     """
     if (n := queries.count()) > most_queries:
         raise ValueError(f"{n} queries; send at most {most_queries} at a time")
-    a = archive.select(F.col("id").alias("a_id"), F.col("v").alias("a_v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    q = queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    if metric == "cosine":
-        norm = lambda v: F.sqrt(dot(v, v))
-        a, q = a.withColumn("a_n", norm(F.col("a_v"))), q.withColumn("q_n", norm(F.col("q_v")))
-        dist = 1 - dot(F.col("q_v"), F.col("a_v")) / (F.col("q_n") * F.col("a_n"))
-    else:
-        dist = F.sqrt(squared_distance(F.col("q_v"), F.col("a_v")))
-    met = q.join(a, "block").where("q_id <> a_id").select("q_id", "block", "a_id", F.round(dist, 9).alias("dist"))
-    first = Window.partitionBy("q_id", "block").orderBy("dist", "a_id")
-    best = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
-    last = Window.partitionBy("q_id").orderBy("dist", "a_id")
-    return best.select("q_id", "a_id", "dist", F.row_number().over(last).alias("place")).where(F.col("place") <= k)
+    spark = archive.sparkSession
+    ship(spark)
+    asked = queries.where("v is not null").select("id", "v").toArrow()
+    matrix = np.array(asked.column("v").to_pylist(), dtype=np.float64).reshape(asked.num_rows, -1)
+    shared = spark.sparkContext.broadcast((asked.column("id").to_numpy().astype(np.int64), matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = shared.value
+        best = None
+        for batch in batches:
+            step = max(1, cells // max(len(q_ids), 1))
+            for at in range(0, batch.num_rows if len(q_ids) else 0, step):
+                part = batch.slice(at, step)
+                rows = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                best = nearest_rows(q_ids, q, part.column("id").to_numpy(zero_copy_only=False).astype(np.int64), rows, k, metric, best)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["q_id", "a_id", "dist"])
+
+    met = archive.where("v is not null").select("id", "v").mapInArrow(run, "q_id long, a_id long, dist double")
+    w = Window.partitionBy("q_id").orderBy("dist", "a_id")
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def cells(archive: DataFrame, n: int = 16, rounds: int = 10, seed: int = 7):

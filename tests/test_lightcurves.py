@@ -148,7 +148,7 @@ def test_neighbours_against_brute_force(spark):
     v = [(i, [r.random() for _ in range(4)]) for i in range(60)]
     d = spark.createDataFrame(v, "id long, v array<double>")
     got = {}
-    for x in neighbours.knn(d.where("id < 10"), d, 3, "euclidean", blocks=5).collect():
+    for x in neighbours.knn(d.where("id < 10"), d.repartition(3), 3, "euclidean", cells=50).collect():
         got.setdefault(x["q_id"], {})[x["place"]] = x["a_id"]
     for q in range(10):
         near = sorted((round(sum((a - b) ** 2 for a, b in zip(v[q][1], w)) ** 0.5, 9), i) for i, w in v if i != q)[:3]
