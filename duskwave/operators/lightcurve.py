@@ -59,8 +59,14 @@ def quality(phot: DataFrame, total: int = 8, g: int = 2, r: int = 2, i: int = 0,
     return n.withColumn("passes", (F.col("n") >= total) & (F.col("n_g") >= g) & (F.col("n_r") >= r) & (F.col("n_i") >= i) & (seen >= bands))
 
 
-def quality_cut(phot: DataFrame, **limits: int) -> DataFrame:
-    return phot.join(quality(phot, **limits).where("passes").select("obj_id"), "obj_id", "left_semi")
+def quality_cut(phot: DataFrame, total: int = 8, g: int = 2, r: int = 2, i: int = 0, bands: int = 2) -> DataFrame:
+    """Rows of the objects that pass quality(). Counts by windows: rows are dealt by object already, so nothing is read or moved again."""
+    w = per_object()
+    n = {f"__n_{x}": F.count_if(F.col("band") == b).over(w) for b, x in enumerate("gri")}
+    rows = phot.withColumns(n | {"__n": F.count("*").over(w)})
+    seen = sum(((F.col(x) > 0).cast("int") for x in n), F.lit(0))
+    passes = (F.col("__n") >= total) & (F.col("__n_g") >= g) & (F.col("__n_r") >= r) & (F.col("__n_i") >= i) & (seen >= bands)
+    return rows.where(passes).drop("__n", *n)
 
 
 def nearest_time_pairs(phot: DataFrame, first: int = 0, second: int = 1, days: float = 1.5) -> DataFrame:
