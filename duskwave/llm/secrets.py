@@ -1,6 +1,6 @@
 """Secret scans: patterns, and a battery of randomness tests; DataFrame operations only.
 
-Tokens that no pattern covers get an inferred encoding (hexadecimal, base 32, base 64) and three tests of the hypothesis
+Tokens that no pattern covers get an inferred encoding (hexadecimal, base 32, base 36, base 64, letters) and three tests of the hypothesis
 that their symbols are uniform and independent: chi-squared over the alphabet, folded to as many classes as the length
 supports; runs above and below the middle; serial correlation. A token's p-value is three times the smallest, at most 1.
 Benjamini-Hochberg control, in strata by encoding and length, decides for which tokens randomness is rejected; these are
@@ -19,11 +19,18 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: runs are maximal
 HEX = r"[0-9a-f]{32,}"  # [0-9a-f]+ of 32 or more
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of symbols with their padding: `=` ends a token, so the value in `name=value` is one of its own. Those shorter than LEAST are no tokens.
+TOKEN = r"[A-Za-z0-9+/_-]{14,}+={0,6}"
+LEAST = 20
 #: Alphabets by encoding.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 SPANS = "array<struct<start:bigint,end:bigint,match:string>>"
@@ -60,12 +67,20 @@ def two_sided(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """Inferred from the symbols: digits and letters of one alphabet must both occur; null for what is none of these."""
+    """Inferred from the symbols, the smallest alphabet that has all of them; null for what is none of these.
+
+    These are digits alone, and tokens with one of `+/_-` that lack a digit, a small or a capital letter (words joined by hyphens, paths).
+    """
     body = F.regexp_replace(token, "=+$", "")
     mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
     return (
         F.when(mixed & body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(mixed & body.rlike("^[A-Z2-7]+$"), "base32")
+        .when(mixed & body.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), "base32")
+        .when(mixed & body.rlike("^[0-9a-z]+$"), "lower36")
+        .when(mixed & body.rlike("^[0-9A-Z]+$"), "upper36")
+        .when(body.rlike("^[a-z]+$"), "lower")
+        .when(body.rlike("^[A-Z]+$"), "upper")
+        .when(body.rlike("^[A-Za-z]+$"), "letters")
         .when(mixed & body.rlike("[a-z]") & body.rlike("[A-Z]") & body.rlike("^[A-Za-z0-9+/_-]+$"), "base64")
     )
 
@@ -73,7 +88,7 @@ def encoding(token: Column) -> Column:
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds n (symbols), p_uniform, p_runs, p_serial and p to rows with match and encoding (not null)."""
     body = F.regexp_replace("match", "=+$", "")
-    body = F.when(F.col("encoding") == "hex", F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
+    body = F.when(F.col("encoding") == "hex", F.lower(body)).when(F.col("encoding") == "base32", F.upper(body)).otherwise(F.translate(body, "-_", "+/"))
     alphabet = F.lit(None).cast("string")
     for name, symbols in ALPHABETS.items():
         alphabet = F.when(F.col("encoding") == name, F.lit(symbols)).otherwise(alphabet)
@@ -116,20 +131,20 @@ def scan_secrets(docs: DataFrame, alpha: float = 0.01, doc_id: str = "doc_id", t
     id are scanned each for itself, other columns are ignored, an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    # a token needs a digit: most texts are done after one pass for each pattern
+    # most texts are done after one pass for each pattern
     secret = F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2))
     assign = F.filter(F.zip_with(spans(F.col("t"), ASSIGN), F.when(F.regexp_like("t", F.lit(ASSIGN)), secret).otherwise(F.array().cast("array<string>")), lambda s, g: F.struct(s["start"].alias("start"), s["end"].alias("end"), g.alias("match"))), lambda s: F.char_length(s["match"]) >= 8)
     plain = lambda c, kind: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     found = rows.select("doc_id", plain(assign, 0).alias("a"), plain(spans(F.col("t"), ACCESS), 1).alias("k"), plain(spans(F.col("t"), HEX), 2).alias("x"), spans(F.col("t"), TOKEN).alias("tokens"))
     base = F.array_sort(F.concat("a", "k", "x"))
     found = found.select("doc_id", base.alias("base"), "tokens")
-    alone = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    alone = F.filter("tokens", lambda t: (F.char_length(t["match"]) >= LEAST) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     found = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.filter(F.transform(alone, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["match"].alias("match"), encoding(t["match"]).alias("encoding"))), lambda t: t["encoding"].isNotNull()).alias("tokens"))
     found = stored(found, "secrets")
     tested = battery(found.where(F.size("tokens") > 0).select("row", F.inline("tokens")))
     tested = tested.select("row", "start", "end", "encoding", F.floor(F.log2("n")).cast("int").alias("octave"), F.greatest(F.lit(0), F.least(F.lit(300), F.floor(-10 * F.log10(F.greatest("p", F.lit(1e-31)))))).cast("int").alias("bin"))
     tested = stored(tested, "secrets-tested")
-    # strata are few by construction: three encodings by octaves of a length
+    # strata are few by construction: eight encodings by octaves of a length
     limits = F.broadcast(cutoffs(tested, alpha))
     random = tested.join(limits, ["encoding", "octave"], "left").where("reject_from is null or bin < reject_from")
     random = random.groupBy(F.col("row").alias("random_row")).agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added"))

@@ -424,6 +424,30 @@ def test_secret_scan(spark):
     assert secrets.scan_secrets(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_secret_scan_tests_values_after_a_name_and_every_alphabet(spark):
+    r = random.Random(4)
+    pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    shapes = {
+        "sig=": lambda: base64.b64encode(r.randbytes(31)).decode(),
+        "client_key=": lambda: base64.b64encode(r.randbytes(14)).decode(),  # 18 symbols and padding
+        "session=": lambda: pick(small + digits, 40),
+        "key ": lambda: pick(small + digits, 25),
+        "id ": lambda: pick(small.upper() + digits, 40),
+        "onion ": lambda: pick(small + "234567", 56),
+        "small ": lambda: pick(small, 40),
+        "capital ": lambda: pick(small.upper(), 40),
+        "both ": lambda: pick(small + small.upper(), 40),
+    }
+    planted = [(name, f"{name}{make()}") for name, make in shapes.items() for _ in range(20)]
+    dull = ["sig=" + "Ab1" * 15, "a0z" * 14, "A0Z" * 14, small * 2, small.upper() * 2, "AbstractSingletonProxyFactoryBeanFactoryImplementation", "x=" + "a" * 18, "well-known-state-of-the-art", "1" * 30, "name=" + "=" * 40]
+    texts = [t for _, t in planted] + dull
+    got = {x["doc_id"]: x["all"] for x in secrets.scan_secrets(documents(spark, texts)).select("doc_id", secrets.listed(F.col("spans")).alias("all")).collect()}
+    hits = Counter(name for i, (name, t) in enumerate(planted) if got[i] == f"random:{len(name)}:{len(t)}")
+    assert all(hits[name] >= 18 for name in shapes), hits
+    assert [got[len(planted) + i] for i in range(len(dull))] == [""] * len(dull)
+
+
 def test_battery_p_values_are_uniform_on_random_tokens(spark):
     r = random.Random(2)
     rows = [("hex", "".join(r.choice("0123456789abcdef") for _ in range(64))) for _ in range(400)]
