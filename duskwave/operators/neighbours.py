@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources import io
+
+#: Queries that go out together: at 64 dimensions 10 MB.
+MOST_QUERIES = 20000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -44,10 +48,39 @@ def knn(queries: DataFrame, archive: DataFrame, k: int = 5, metric: str = "cosin
     """
     if (n := queries.count()) > most_queries:
         raise ValueError(f"{n} queries; send at most {most_queries} at a time")
+    return _one_pass(queries, archive, k, metric, cells)[0]
+
+
+def knn_all(queries: DataFrame, archive: DataFrame, k: int = 5, metric: str = "cosine", most_queries: int | None = None, cells: int = 1 << 21) -> DataFrame:
+    """As knn() for any number of queries. Ids are dealt by hash into groups of at most most_queries (MOST_QUERIES where it is None).
+
+    Each group takes one pass over the archive; its result is stored and its broadcast destroyed before the next one, so that driver and tasks hold
+    one group at a time. The work is still queries times rows.
+    """
+    most = most_queries or MOST_QUERIES
+    if (n := queries.count()) <= most:
+        return knn(queries, archive, k, metric, most, cells)
+    groups = -(-n // most)
+    group = lambda: F.pmod(F.xxhash64("id"), F.lit(groups))
+    while queries.groupBy(group().alias("g")).count().agg(F.max("count")).first()[0] > most:
+        if groups > 4 * n:
+            raise ValueError(f"more than {most} queries of one id")
+        groups = groups * 5 // 4 + 1
+    path = io.scratch(archive.sparkSession, "knn")
+    for i in range(groups):
+        got, shared = _one_pass(queries.where(group() == i), archive, k, metric, cells)
+        got.write.mode("append").parquet(path)
+        shared.destroy()
+    return archive.sparkSession.read.schema(got.schema).parquet(path)
+
+
+def _one_pass(queries: DataFrame, archive: DataFrame, k: int, metric: str, cells: int):
+    """The result of knn(), and the broadcast that it needs until it is computed."""
     spark = archive.sparkSession
     ship(spark)
     asked = queries.where("v is not null").select("id", "v").toArrow()
-    matrix = np.array(asked.column("v").to_pylist(), dtype=np.float64).reshape(asked.num_rows, -1)
+    flat = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = flat.reshape(asked.num_rows, -1) if asked.num_rows else np.empty((0, 0))
     shared = spark.sparkContext.broadcast((asked.column("id").to_numpy().astype(np.int64), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +97,7 @@ def knn(queries: DataFrame, archive: DataFrame, k: int = 5, metric: str = "cosin
 
     met = archive.where("v is not null").select("id", "v").mapInArrow(run, "q_id long, a_id long, dist double")
     w = Window.partitionBy("q_id").orderBy("dist", "a_id")
-    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k), shared
 
 
 def cells(archive: DataFrame, n: int = 16, rounds: int = 10, seed: int = 7):

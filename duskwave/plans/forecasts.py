@@ -176,31 +176,31 @@ def _sides(spark, d):
 
 @query("knn_cosine", f"{_COS} select q_id, a_id, place from kn where place <= 5")
 def knn_cosine(spark, d):
-    return nb.knn(*_sides(spark, d)).select("q_id", "a_id", F.col("place").cast("long").alias("place"))
+    return nb.knn_all(*_sides(spark, d)).select("q_id", "a_id", F.col("place").cast("long").alias("place"))
 
 
 @query("knn_euclidean", f"{_EUC} select q_id, a_id, place from kn where place <= 5")
 def knn_euclidean(spark, d):
-    return nb.knn(*_sides(spark, d), metric="euclidean").select("q_id", "a_id", F.col("place").cast("long").alias("place"))
+    return nb.knn_all(*_sides(spark, d), metric="euclidean").select("q_id", "a_id", F.col("place").cast("long").alias("place"))
 
 
 @query("kth_distance_score", f"{_EUC} select q_id, round(max(dist) filter (where place = 5), 6) + 0.0 as kth, round(avg(dist) filter (where place <= 5), 6) + 0.0 as mean_dist from kn where place <= 5 group by q_id")
 def kth_distance_score(spark, d):
-    k = nb.knn(*_sides(spark, d), metric="euclidean")
+    k = nb.knn_all(*_sides(spark, d), metric="euclidean")
     return k.groupBy("q_id").agg(r6(F.max(F.when(F.col("place") == 5, F.col("dist")))).alias("kth"), r6(F.avg("dist")).alias("mean_dist"))
 
 
 @query("knn_vote", f"{_COS}, v as (select q_id, truth, count(*) as n from kn where place <= 5 group by 1, 2) select q_id, arg_max(truth, (n, -truth)) as vote from v group by q_id")
 def knn_vote(spark, d):
     asked, archive = _sides(spark, d)
-    v = nb.knn(asked, archive).join(archive.select(F.col("id").alias("a_id"), "truth"), "a_id").groupBy("q_id", "truth").agg(F.count("*").alias("n"))
+    v = nb.knn_all(asked, archive).join(archive.select(F.col("id").alias("a_id"), "truth"), "a_id").groupBy("q_id", "truth").agg(F.count("*").alias("n"))
     return v.groupBy("q_id").agg(F.max(F.struct("n", (-F.col("truth")).alias("t"))).alias("b")).select("q_id", (-F.col("b.t")).alias("vote"))
 
 
 @query("neighbour_enrichment", f"{_COS} select q_truth as truth, count(*) as n, round(avg((truth = q_truth)::int), 6) + 0.0 as same from kn where place <= 5 group by 1")
 def neighbour_enrichment(spark, d):
     asked, archive = _sides(spark, d)
-    k = nb.knn(asked, archive).join(archive.select(F.col("id").alias("a_id"), F.col("truth").alias("a_truth")), "a_id").join(asked.select(F.col("id").alias("q_id"), "truth"), "q_id")
+    k = nb.knn_all(asked, archive).join(archive.select(F.col("id").alias("a_id"), F.col("truth").alias("a_truth")), "a_id").join(asked.select(F.col("id").alias("q_id"), "truth"), "q_id")
     return k.groupBy("truth").agg(F.count("*").alias("n"), r6(F.avg((F.col("truth") == F.col("a_truth")).cast("double"))).alias("same"))
 
 
@@ -213,7 +213,7 @@ def ivf_search(spark, d):
 def recall_at_k(spark, d):
     """Share of the exact five neighbours that the cell search finds."""
     asked, archive = _sides(spark, d)
-    exact = nb.knn(asked, archive, metric="euclidean").groupBy("q_id").agg(F.collect_set("a_id").alias("e"))
+    exact = nb.knn_all(asked, archive, metric="euclidean").groupBy("q_id").agg(F.collect_set("a_id").alias("e"))
     found = nb.ivf_search(asked, archive).groupBy("q_id").agg(F.collect_set("a_id").alias("f"))
     hit = F.size(F.array_intersect("e", F.coalesce("f", F.array().cast("array<bigint>")))) / F.size("e")
     return exact.join(found, "q_id", "left").agg(F.count("*").alias("n"), r6(F.avg(hit)).alias("recall"))

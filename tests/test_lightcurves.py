@@ -157,6 +157,27 @@ def test_neighbours_against_brute_force(spark):
         neighbours.knn(d, d, most_queries=10)
 
 
+@pytest.mark.parametrize("name", ["knn_cosine", "kth_distance_score", "recall_at_k"])
+def test_neighbours_of_more_queries_than_go_out_together(spark, monkeypatch, name):
+    from duskwave.plans import registry
+
+    rows = lambda: sorted(map(tuple, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    want = rows()
+    monkeypatch.setattr(neighbours, "MOST_QUERIES", 20, raising=False)
+    # before there were groups, the default of knn() was the limit
+    monkeypatch.setattr(neighbours.knn, "__defaults__", (5, "cosine", 20, 1 << 21))
+    assert rows() == want and want
+
+
+def test_neighbours_in_groups_with_null_vectors(spark):
+    d = spark.createDataFrame([(i, None if i % 4 == 1 else [float(i * i % 31), float(i)]) for i in range(40)], "id long, v array<double>")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(neighbours.knn_all(d, d, 3, "euclidean", most_queries=6)) == rows(neighbours.knn(d, d, 3, "euclidean"))
+    with pytest.raises(ValueError):
+        neighbours.knn_all(d.where("id = 2").union(d.where("id = 2")), d, most_queries=1)
+    assert neighbours.knn_all(d.where("id = 1"), d).count() == 0
+
+
 def test_object_weights(spark):
     d = spark.createDataFrame([(x,) for x in (10, 20, 20, 20, 30, 30)], "obj_id long")
     got = models.object_weights(d).groupBy("obj_id").agg(F.round(F.sum("weight"), 9).alias("w")).collect()
