@@ -65,15 +65,37 @@ def dedupe_min_error(spark, d):
     return x.select("obj_id", "fid", F.round("mjd", 0).alias("day"), r6("magerr").alias("magerr"))
 
 
-@query("explode_survey_lists", "select obj_id, count(*) as n, count(*) filter (where fid = 1) as detected from det where mag is not null and obj_id < 100 group by obj_id")
-def explode_survey_lists(spark, d):
-    """One row per object with list columns and a padded id, written and read with the id filter pushed down, then unrolled."""
+def _survey_lists(spark, d):
+    """The path of one row per object with list columns, a type and a padded id."""
     det = src.detections(spark, d).where("mag is not null")
     lists = det.groupBy("obj_id").agg(F.collect_list(F.struct("mjd", F.when(F.col("fid") == 1, 4096).otherwise(0).alias("flag"), "mag")).alias("r"))
+    snid, kind = F.rpad(F.col("obj_id").cast("string"), 12, " "), F.when(F.col("obj_id") % 3 == 0, "SN").otherwise("other")
     path = io.scratch(spark, "survey")
-    lists.select("obj_id", F.rpad(F.col("obj_id").cast("string"), 12, " ").alias("snid"), F.col("r.mjd").alias("mjd"), F.col("r.flag").alias("photflag"), F.col("r.mag").alias("mag")).write.parquet(path)
-    back = spark.read.parquet(path).where("obj_id < 100").select(F.trim("snid").cast("long").alias("obj_id"), F.inline(F.arrays_zip("mjd", "photflag", "mag")))
-    return back.groupBy("obj_id").agg(F.count("*").alias("n"), F.count_if(F.col("photflag").bitwiseAND(4096) > 0).alias("detected"))
+    lists.select("obj_id", snid.alias("snid"), kind.alias("obj_type"), F.col("r.mjd").alias("mjd"), F.col("r.flag").alias("photflag"), F.col("r.mag").alias("mag")).write.parquet(path)
+    return path
+
+
+def _survey_counts(rows):
+    return rows.groupBy("obj_id").agg(F.count("*").alias("n"), F.count_if(F.col("photflag").bitwiseAND(4096) > 0).alias("detected"))
+
+
+@query("explode_survey_lists", "select obj_id, count(*) as n, count(*) filter (where fid = 1) as detected from det where mag is not null and obj_id < 100 group by obj_id")
+def explode_survey_lists(spark, d):
+    """The fixed ids of the SQL, found by a table of padded ids. explode_all_survey_lists has every object."""
+    ids = src.positions(spark, d).where("obj_id < 100").select(F.rpad(F.col("obj_id").cast("string"), 12, " ").alias("snid"))
+    return _survey_counts(io.read_survey_lists(spark, _survey_lists(spark, d), ids))
+
+
+@query("explode_all_survey_lists", "select obj_id, count(*) as n, count(*) filter (where fid = 1) as detected from det where mag is not null group by obj_id")
+def explode_all_survey_lists(spark, d):
+    """Lists of all objects, written, read back and unrolled."""
+    return _survey_counts(io.read_survey_lists(spark, _survey_lists(spark, d)))
+
+
+@query("explode_survey_lists_of_type", "select obj_id, count(*) as n, count(*) filter (where fid = 1) as detected from det where mag is not null and obj_id % 3 = 0 group by obj_id")
+def explode_survey_lists_of_type(spark, d):
+    """As explode_all_survey_lists for one type, which the read is told."""
+    return _survey_counts(io.read_survey_lists(spark, _survey_lists(spark, d), kind="SN"))
 
 
 @query("scan_staged_crossmatch", "select o.obj_id, round(c.ext, 6) + 0.0 as ext, round(case when c.r_kron <> -999 then c.r_kron end, 6) + 0.0 as r_kron from pos o left join cat c on c.src_id = o.obj_id + 97")

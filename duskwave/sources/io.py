@@ -38,6 +38,16 @@ def read_ragged_catalogue(spark: SparkSession, path: str, schema: str) -> DataFr
     return t.dropna(subset=t.columns[:2])
 
 
+def read_survey_lists(spark: SparkSession, path: str, snids: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """Unrolled rows (obj_id, mjd, photflag, mag) of list columns: of all objects, of those in a table of padded ids, of one type (pushed down)."""
+    lists = spark.read.parquet(path)
+    if kind is not None:
+        lists = lists.where(F.col("obj_type") == kind)
+    if snids is not None:
+        lists = lists.join(snids.select("snid").distinct(), "snid", "left_semi")
+    return lists.select(F.trim("snid").cast("long").alias("obj_id"), F.inline(F.arrays_zip("mjd", "photflag", "mag")))
+
+
 def parse_alerts(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Detections of JSON documents: finite numbers, band 1 to 3, positive error."""
     rows = docs.withColumn("a", F.from_json(column, ALERT)).select("obj_id", F.inline("a.detections"))

@@ -178,6 +178,18 @@ def test_neighbours_in_groups_with_null_vectors(spark):
     assert neighbours.knn_all(d.where("id = 1"), d).count() == 0
 
 
+def test_survey_lists_are_read_whole_by_type_or_by_padded_ids(spark):
+    from duskwave.plans import registry, tables
+    from duskwave.sources import io
+
+    path = tables._survey_lists(spark, "/root/testdata/sf0.01")
+    ids = lambda **k: {r["obj_id"] for r in io.read_survey_lists(spark, path, **k).select("obj_id").distinct().collect()}
+    every = ids()
+    assert max(every) >= 100 and ids(kind="SN") == {i for i in every if i % 3 == 0}
+    assert ids(snids=spark.createDataFrame([(f"{i:<12}",) for i in (5, 120)], "snid string")) == {5, 120} & every
+    assert registry.QUERIES["explode_all_survey_lists"](spark, "/root/testdata/sf0.01").count() == len(every)
+
+
 def test_object_weights(spark):
     d = spark.createDataFrame([(x,) for x in (10, 20, 20, 20, 30, 30)], "obj_id long")
     got = models.object_weights(d).groupBy("obj_id").agg(F.round(F.sum("weight"), 9).alias("w")).collect()
