@@ -34,8 +34,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each draw of the mix."""
-    return mixing.mix(docs)
+    """One row for each draw of the mix; texts stay whole."""
+    return mixing.mix(docs, whole=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

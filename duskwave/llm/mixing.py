@@ -117,17 +117,18 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mix itself: the columns of docs, one row per draw, each shard shuffled by hash.
 
-    A text that the end of its source's quota falls into is kept up to there. Options as in mix_plan().
+    A text that the end of its source's quota falls into is kept up to there or, where whole is set, to its end: then no text is cut, and
+    a source exceeds its target by less than one document. Options as in mix_plan().
     """
     renamed, names = set_aside(docs, ("doc_id", "source", "text"))
     others = tuple(c for c in names if c not in ("doc_id", "source"))
     plan = mix_plan(renamed, carry=others, **options)
     rows = plan.select("doc_id", "source", *others, "size", F.explode("draws").alias("d"))
     cut_off = F.when(F.col("d.words") < F.col("size"), first_words(F.col("text"), F.col("d.words"))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut_off).withColumn("n", F.xxhash64("doc_id", "d.pass", F.lit(23)))
+    rows = rows.withColumn("text", F.col("text") if whole else cut_off).withColumn("n", F.xxhash64("doc_id", "d.pass", F.lit(23)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, F.col("d.shard"), F.pmod("n", F.lit(parts))).sortWithinPartitions("d.shard", "n")
     return put_back(rows, names, docs.columns)

@@ -1,7 +1,7 @@
 """The pipeline stage by stage on a small fixture, against what each operator says of the stage's own input."""
 
 import corpus_pipeline
-from duskwave.llm import simhash
+from duskwave.llm import mixing, simhash
 
 from .test_operators import ODD, decontam, documents, prose, speak
 
@@ -34,6 +34,16 @@ def test_stages(spark, tmp_path):
     assert again.count() == seen.count()
 
 
+def test_mixed_texts_are_whole(spark, tmp_path):
+    texts = [prose(i, 40 + 13 * i) for i in range(12)]
+    docs = documents(spark, texts, sources=[f"s{i % 3}" for i in range(12)])
+    want = mixing.mix_plan(docs)
+    assert want.where("exists(draws, x -> x.words < size)").count() > 0  # an end of a quota falls into a text
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()]
+    assert all(t == texts[i] for i, t in got)
+    assert sorted(i for i, _ in got) == sorted(r["doc_id"] for r in want.collect() for _ in r["draws"])
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = documents(spark, ["x"]).limit(0)
