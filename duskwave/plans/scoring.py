@@ -443,14 +443,18 @@ def reliability_curve(spark, d):
     return _bins(spark, d).where("n >= 5").select("bin", "n", r6("c").alias("confidence"), r6("a").alias("accuracy"))
 
 
-@query("macro_auprc", "r as (select cls, p, sum((cls = truth)::int) as tp, count(*) as n from plong group by cls, p), c as (select cls, p, tp, sum(tp) over (partition by cls order by p desc) as ctp, sum(n) over (partition by cls order by p desc) as cn, sum(tp) over (partition by cls) as pos from r), ap as (select cls, sum(tp / pos * (ctp / cn)) as ap from c where pos > 0 group by cls) select cls::bigint as cls, round(ap, 6) + 0.0 as ap from ap")
-def macro_auprc(spark, d):
-    """Average precision one-vs-rest; tied scores are one step."""
-    r = _long(spark, d).groupBy("cls", "p").agg(F.sum((F.col("cls") == F.col("truth")).cast("long")).alias("tp"), F.count("*").alias("n"))
+def average_precision(long):
+    """cls, ap of rows (cls, truth, p): one-vs-rest; tied scores are one step."""
+    r = long.groupBy("cls", "p").agg(F.sum((F.col("cls") == F.col("truth")).cast("long")).alias("tp"), F.count("*").alias("n"))
     c = ranking.running(r, ["cls"], [F.desc("p")], -F.floor(F.col("p") * 256), {"ctp": F.col("tp"), "cn": F.col("n")}).withColumnRenamed("all_ctp", "pos")
     return c.where("pos > 0").groupBy(F.col("cls").cast("long").alias("cls")).agg(r6(F.sum(F.col("tp") / F.col("pos") * (F.col("ctp") / F.col("cn")))).alias("ap"))
 
 
+@query("macro_auprc", "r as (select cls, p, sum((cls = truth)::int) as tp, count(*) as n from plong group by cls, p), c as (select cls, p, tp, sum(tp) over (partition by cls order by p desc) as ctp, sum(n) over (partition by cls order by p desc) as cn, sum(tp) over (partition by cls) as pos from r), ap as (select cls, sum(tp / pos * (ctp / cn)) as ap from c where pos > 0 group by cls) select cls::bigint as cls, round(ap, 6) + 0.0 as ap from ap")
+def macro_auprc(spark, d):
+    return average_precision(_long(spark, d))
+
+
 _AR = "rk as (select *, rank() over (order by e) + (count(*) over (partition by e) - 1) / 2.0::double as r from en)"
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from statistics import median
+
 from pyspark.sql import functions as F
 
-from ..operators import heads, models
+from ..operators import heads, models, ranking
+from ..operators import neighbours as nb
 from ..sources import adapters as src
+from ..sources import io
 from .base import query, r6
+from .scoring import average_precision
 from .tables import _ANCHOR, _future, _recent
 
-N = 8
+#: Values of an embedding; models take all of them.
+N = 64
 COLS = [f"x{i}" for i in range(N)]
 
 
@@ -68,30 +73,37 @@ def oof_predictions(spark, d):
 
 @query("round_selection_cv")
 def round_selection_cv(spark, d):
-    """Boosting rounds: the median over folds of the round with the smallest held-out error of the branch model."""
+    """Boosting rounds: the median over the five folds of the round with the smallest held-out error of the branch model, and the loss of
+    the model refitted on all rows with so many."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
 
     r = _rows(spark, d).withColumn("y", (F.col("truth") == 2).cast("double"))
+    boosted = lambda rounds: Pipeline(stages=[*models.prepared(COLS), GBTClassifier(labelCol="y", featuresCol="features", maxIter=rounds, maxDepth=2, seed=7)])
     best = []
-    for k in range(3):
+    for k in range(5):
         fit, held = r.where(F.col("fold") != k), r.where(F.col("fold") == k)
-        m = Pipeline(stages=[*models.prepared(COLS), GBTClassifier(labelCol="y", featuresCol="features", maxIter=6, maxDepth=2, seed=7)]).fit(fit)
+        m = boosted(6).fit(fit)
         loss = m.stages[-1].evaluateEachIteration(m.stages[0].transform(held))
         best.append((k, min(range(len(loss)), key=loss.__getitem__) + 1))
-    return spark.createDataFrame(best, "fold int, rounds int").withColumn("chosen", F.median("rounds").over(Window.partitionBy(F.lit(0))))
+    chosen = int(median(rounds for _, rounds in best))
+    m = boosted(chosen).fit(r)
+    loss = m.stages[-1].evaluateEachIteration(m.stages[0].transform(r))[-1]
+    return spark.createDataFrame([(k, rounds, float(chosen), float(loss)) for k, rounds in best], "fold int, rounds int, chosen double, refit_loss double")
 
 
 @query("hyperparameter_search")
 def hyperparameter_search(spark, d):
-    """Macro F1 of the validation split for each point of a small space."""
+    """Half macro AUPRC and half macro F1 of the validation split for each point of a small space."""
     r = _rows(spark, d)
     out = None
     for trees, depth in ((4, 2), (8, 3), (12, 4)):
         p = models.probabilities(models.forest(r.where("split = 'train'"), COLS, trees=trees, depth=depth), r.where("split = 'val'"))
         c = p.select("truth", (F.array_position("p", F.array_max("p")) - 1).cast("double").alias("cls"))
         f = c.select("truth", "cls", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c")).groupBy("c").agg(F.count_if((F.col("truth") == F.col("c")) & (F.col("cls") == F.col("c"))).alias("tp"), F.count_if(F.col("truth") == F.col("c")).alias("t"), F.count_if(F.col("cls") == F.col("c")).alias("q"))
-        one = f.agg(F.avg(F.when(F.col("t") + F.col("q") > 0, 2 * F.col("tp") / (F.col("t") + F.col("q"))).otherwise(0.0)).alias("f1")).select(F.lit(trees).alias("trees"), F.lit(depth).alias("depth"), r6("f1").alias("f1"))
+        f1 = f.agg(F.avg(F.when(F.col("t") + F.col("q") > 0, 2 * F.col("tp") / (F.col("t") + F.col("q"))).otherwise(0.0)).alias("f1"))
+        auprc = average_precision(p.select("truth", F.posexplode("p").alias("cls", "p"))).agg(F.avg("ap").alias("auprc"))
+        one = f1.crossJoin(auprc).select(F.lit(trees).alias("trees"), F.lit(depth).alias("depth"), r6("f1").alias("f1"), r6("auprc").alias("auprc"), r6(0.5 * F.col("auprc") + 0.5 * F.col("f1")).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -147,7 +159,7 @@ def top_features_by_gain(spark, d):
 def feature_ablation(spark, d):
     """Accuracy of the validation split with the first k columns."""
     r, out = _rows(spark, d), None
-    for k in (2, 4, 8):
+    for k in (2, 4, 8, N):
         p = models.probabilities(models.forest(r.where("split = 'train'"), COLS[:k], trees=6), r.where("split = 'val'"))
         one = p.agg(F.avg((F.array_position("p", F.array_max("p")) - 1 == F.col("truth")).cast("double")).alias("a")).select(F.lit(k).alias("columns"), r6("a").alias("accuracy"))
         out = one if out is None else out.unionByName(one)
@@ -156,13 +168,30 @@ def feature_ablation(spark, d):
 
 @query("leave_one_class_out")
 def leave_one_class_out(spark, d):
-    """Train without a class; mean highest probability of its objects and of the others."""
+    """Train without a class, for each class; AUROC of energy and of distance, all its objects against the test rows of the others.
+
+    The distance is the mean to the ten nearest training rows, in columns standardised on these.
+    """
+    from pyspark.ml.functions import vector_to_array
+
     r, out = _rows(spark, d), None
-    for c in (0, 3):
-        m = models.forest(r.where((F.col("split") == "train") & (F.col("truth") != c)), COLS, trees=6)
-        one = models.probabilities(m, r.where("split <> 'train'")).groupBy((F.col("truth") == c).alias("left_out")).agg(r6(F.avg(F.array_max("p"))).alias("confidence")).withColumn("cls", F.lit(c))
+    for c in range(6):
+        known = r.where(F.col("truth") != c).withColumn("truth", F.when(F.col("truth") > c, F.col("truth") - 1).otherwise(F.col("truth")))
+        fit = known.where("split = 'train'")
+        asked = known.where("split = 'test'").withColumn("out", F.lit(False)).unionByName(r.where(F.col("truth") == c).withColumn("out", F.lit(True)))
+        m = models.forest(fit, COLS, trees=6)
+        e = m.transform(asked).select("obj_id", "out", heads.energy(vector_to_array("rawPrediction")).alias("energy"))
+        s = fit.agg(*(F.avg(x).alias(f"m_{x}") for x in COLS), *(F.stddev_pop(x).alias(f"s_{x}") for x in COLS)).first()
+        v = F.array(*((F.col(x) - F.lit(s[f"m_{x}"])) / F.lit(s[f"s_{x}"] or 1.0) for x in COLS))
+        near = nb.knn_all(asked.select(F.col("obj_id").alias("id"), v.alias("v")), fit.select(F.col("obj_id").alias("id"), v.alias("v")), 10, "euclidean")
+        one = e.join(near.groupBy(F.col("q_id").alias("obj_id")).agg(F.avg("dist").alias("distance")), "obj_id").withColumn("cls", F.lit(c))
         out = one if out is None else out.unionByName(one)
-    return out
+    path = io.scratch(spark, "left-out")
+    out.write.parquet(path)
+    out = spark.read.parquet(path)
+    n1, n0 = F.count_if("out"), F.count_if(~F.col("out"))
+    one_of = lambda x: ranking.average_ranks(out.select("cls", "out", x), x, F.floor(F.col(x) * 8), by=["cls"]).groupBy("cls").agg(r6((F.sum(F.when(F.col("out"), F.col("rank"))) - n1 * (n1 + 1) / F.lit(2.0)) / (n1 * n0)).alias(f"{x}_auroc"))
+    return one_of("energy").join(one_of("distance"), "cls")
 
 
 def _forecast_rows(spark, d):

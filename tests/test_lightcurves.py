@@ -190,6 +190,22 @@ def test_survey_lists_are_read_whole_by_type_or_by_padded_ids(spark):
     assert registry.QUERIES["explode_all_survey_lists"](spark, "/root/testdata/sf0.01").count() == len(every)
 
 
+def test_models_take_whole_vectors_all_folds_and_all_classes(spark):
+    from pyspark.sql import functions as F
+
+    from duskwave.plans import registry, training
+    from duskwave.sources import adapters as src
+
+    d = "/root/testdata/sf0.001"
+    assert src.scores(spark, d).select(F.size("emb").alias("n")).distinct().collect() == [(len(training.COLS),)]
+    rounds = registry.QUERIES["round_selection_cv"](spark, d).collect()
+    assert {r["fold"] for r in rounds} == set(range(5)) and all(r["refit_loss"] > 0 for r in rounds)
+    got = registry.QUERIES["leave_one_class_out"](spark, d).collect()
+    assert {r["cls"] for r in got} == set(range(6)) and all(0 <= r[k] <= 1 for r in got for k in ("energy_auroc", "distance_auroc"))
+    for r in registry.QUERIES["hyperparameter_search"](spark, d).collect():
+        assert r["score"] == pytest.approx(0.5 * r["auprc"] + 0.5 * r["f1"], abs=2e-6)
+
+
 def test_object_weights(spark):
     d = spark.createDataFrame([(x,) for x in (10, 20, 20, 20, 30, 30)], "obj_id long")
     got = models.object_weights(d).groupBy("obj_id").agg(F.round(F.sum("weight"), 9).alias("w")).collect()
