@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["arrow_map", "cut", "lower_ascii", "put_back", "schema_of", "scratch_path", "set_aside", "shared_dir", "ship", "stored", "table", "text_slices", "with_text"]
+__all__ = ["arrow_map", "cut", "lower_ascii", "put_back", "running_before", "schema_of", "scratch_path", "set_aside", "shared_dir", "ship", "stored", "table", "text_slices", "with_text"]
 
 LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Python workers take this many bytes of text at a time.
@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. A temporary one only on a local master; elsewhere executors would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duskwave-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -49,6 +51,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def running_before(cells: DataFrame, by: list[str], cell: str, value: str, name: str, width: int = 1000) -> DataFrame:
+    """cells (one row for each of by and cell) with the sum of value over all smaller cells of the same by.
+
+    In two levels: sums over stretches of width cells are added up first, so that no task orders more cells than width of a
+    stretch, or one stretch's sum in width cells.
+    """
+    far, near = f"__{name}_far", f"__{name}_near"
+    cells = cells.withColumn(near, F.floor(F.col(cell) / width))
+    so_far = Window.partitionBy(*(by or [F.lit(0)])).orderBy(near).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = cells.groupBy(*by, near).agg(F.sum(value).alias(far)).withColumn(far, F.coalesce(F.sum(far).over(so_far), F.lit(0)))
+    inside = Window.partitionBy(*by, near).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    found = cells.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(stretches, [*by, near])
+    return found.withColumn(name, F.col(name) + F.col(far)).drop(near, far)
+
+
 def lower_ascii(col) -> F.Column:
     """A-Z to a-z and nothing else; lower() does the same on pure ASCII and is cheaper."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, LOWER_FROM, LOWER_TO))
