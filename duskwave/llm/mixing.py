@@ -5,10 +5,12 @@ that sequence are cut into blocks of equal size, and a source's quota is the who
 be short) that holds its target. The tree splits the quotas of all sources among the output shards: a node draws without
 replacement which of its blocks go to its left half, source after source, each count from the exact hypergeometric
 distribution. So every shard gets the mix's proportions but for sampling noise, and the quotas add up exactly. A shard's
-blocks are disjoint stretches of the permuted sequence; inside a shard documents are shuffled by hash.
+blocks are a stretch of the permuted sequence that no other shard has, and a document that reaches over a shard's edge
+is cut there, so that the shards' words are exactly those of their blocks. Inside a shard documents are shuffled by hash.
 
-Only counts by source pass through the tree. Positions in a source come from sums over cells (a thousand documents
-each, by hash), so no source, however large, is sorted in one task.
+Only counts by source pass through the tree: its nodes hold one number for each source, so that it is sized by the number of
+sources, not of documents. Positions in a source come from sums over cells (a thousand documents each, by hash) in two
+levels, so no source, however large, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import put_back, set_aside, stored
+from .common import put_back, running_before, set_aside, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,11 +80,15 @@ def split_quotas(quotas: DataFrame, levels: int = 3, seed: int = 7) -> DataFrame
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, levels: int = 3, block_words: int = 8192, cell_docs: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and draws for every row of docs, and the columns in carry.
 
-    draws: array of (pass, words, shard): the mix takes the first `words` words of the document, once for each draw.
-    A source of target T goes floor(T / size) times through all of its documents, and once more as far as T reaches, so
-    no document is taken more than twice and each source's words miss its target by less than one word. Null texts have
-    size 0 and are never drawn; null sources are one source, the last. Rows that repeat an id are documents of their
-    own. An empty table gives an empty result. Ids decide the order, so reruns agree.
+    draws: array of (pass, first, words, shard): the mix takes `words` words of the document from word `first` (from 0) on
+    into the shard; a document that a shard's edge falls into has a draw for each side of it. A source of target T goes
+    floor(T / size) times through all of its documents, and once more as far as T reaches, so no document is taken more
+    than twice and each source's words miss its target by less than one word. A shard has 8192 words (`block_words`) of a
+    source for each block that the tree gave it; only the last block of a source may be short.
+
+    Null texts have size 0 and are never drawn; null sources are one source, the last. Rows that repeat an id are
+    documents of their own. An empty table gives an empty result. Ids decide the order, so reruns agree. A very long
+    text is one row like any other and may be drawn into several shards; other columns are ignored unless carried.
     """
     n_cells = max(1, docs.count() // cell_docs)
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(11)).alias("h"), *carry)
@@ -95,40 +101,46 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     sources = sources.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     sources = stored(sources, "mixing-sources")
     bounds = split_quotas(sources.select("source", "blocks"), levels)
-    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    places = cells.withColumn("cell_at", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
+    places = running_before(cells, ["key"], "cell", "cell_size", "cell_at")
     places = places.join(sources.drop("source"), "key").join(bounds, "key").select("key", "cell", "cell_at", "source_size", "target", "quota", "bounds")
     inside = Window.partitionBy("key", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.join(places, ["key", "cell"]).withColumn("at", F.col("cell_at") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    shard_of = lambda at: F.least(F.size(F.filter("bounds", lambda b: b <= F.floor(at / F.lit(block_words)))), F.size("bounds") - 1)
 
-    def draw(number: Column) -> Column:
+    def part(number: int, shard: int) -> Column:
+        """What of the document's words falls into a shard's stretch, in one pass through its source."""
         at = F.col("at") + number * F.col("source_size")
-        return F.struct(number.alias("pass"), F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("quota") - at)).alias("words"), shard_of(at).cast("int").alias("shard"))
+        low = F.lit(0).cast("long") if shard == 0 else F.element_at("bounds", shard) * block_words
+        high = F.least(F.element_at("bounds", shard + 1) * block_words, "quota")
+        first = F.greatest(low, at)
+        return F.struct(F.lit(number).alias("pass"), (first - at).alias("first"), (F.least(high, at + F.col("size")) - first).alias("words"), F.lit(shard).alias("shard"))
 
-    rows = rows.withColumn("draws", F.filter(F.array(draw(F.lit(0)), draw(F.lit(1)), draw(F.lit(2))), lambda d: d["words"] > 0))
+    rows = rows.withColumn("draws", F.filter(F.array(*(part(k, s) for k in range(3) for s in range(2**levels))), lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *carry)
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word, unchanged otherwise."""
+def words_between(text: Column, first: Column, n: Column) -> Column:
+    """The text from its word `first` (from 0) on for n words, unchanged otherwise; what stands before the first word goes with it."""
     parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
+    return F.array_join(F.slice(parts, (first + 1).cast("int"), n.cast("int")), "")
 
 
 def mix(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mix itself: the columns of docs, one row per draw, each shard shuffled by hash.
 
-    A text that the end of its source's quota falls into is kept up to there or, where whole is set, to its end: then no text is cut, and
-    a source exceeds its target by less than one document. Options as in mix_plan().
+    A text that a shard's edge or the end of its source's quota falls into is cut there or, where whole is set, goes to
+    the shard of its first word to its end: then no text is cut, and a source exceeds its target by less than one
+    document. Other columns keep their values. Options and cases as in mix_plan().
     """
     renamed, names = set_aside(docs, ("doc_id", "source", "text"))
     others = tuple(c for c in names if c not in ("doc_id", "source"))
     plan = mix_plan(renamed, carry=others, **options)
     rows = plan.select("doc_id", "source", *others, "size", F.explode("draws").alias("d"))
-    cut_off = F.when(F.col("d.words") < F.col("size"), first_words(F.col("text"), F.col("d.words"))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", F.col("text") if whole else cut_off).withColumn("n", F.xxhash64("doc_id", "d.pass", F.lit(23)))
+    if whole:
+        rows = rows.where("d.first = 0")
+    else:
+        rows = rows.withColumn("text", F.when(F.col("d.words") < F.col("size"), words_between(F.col("text"), F.col("d.first"), F.col("d.words"))).otherwise(F.col("text")))
+    rows = rows.withColumn("n", F.xxhash64("doc_id", "d.pass", "d.first", F.lit(23)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, F.col("d.shard"), F.pmod("n", F.lit(parts))).sortWithinPartitions("d.shard", "n")
     return put_back(rows, names, docs.columns)

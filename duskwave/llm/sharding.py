@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, running_before, stored
 
 SALTS = 256
 
@@ -45,7 +45,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, cell_docs:
     """doc_id, size, text_crc32, shard, slot for every row of docs, and the columns in carry.
 
     size is the text's UTF-8 bytes plus 1. Null and empty texts are equal. Rows that repeat an id are rows of their own; null ids share
-    a salt. Fewer documents than shards leave shards empty; an empty table gives an empty result.
+    a salt. Fewer documents than shards leave shards empty; an empty table gives an empty result. A very long text counts as one row
+    (the law is `rows`) and only its digest moves. Columns of docs that are not carried are ignored, whatever their names; carried ones
+    must not be named like the columns above, or text_key, salt, h, at, cell, rank, waits, turn or f.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_key"), *carry)
@@ -80,10 +82,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, cell_docs:
 
 
 def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """rows with a gapless number from 0 inside each value of by, in order of (cell, text_key, h): cells are counted first, and only
-    the rows of one cell are ever sorted together."""
-    counts = rows.groupBy(*by, "cell").agg(F.count("*").alias("cell_n"))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("cell_from", F.coalesce(F.sum("cell_n").over(before), F.lit(0))).drop("cell_n")
+    """rows with a gapless number from 0 inside each value of by, in order of (cell, text_key, h): cells are counted first, their counts
+    are added up in two levels, and only the rows of one cell are ever sorted together."""
+    counts = running_before(rows.groupBy(*by, "cell").agg(F.count("*").alias("cell_n")), by, "cell", "cell_n", "cell_from").drop("cell_n")
     inside = Window.partitionBy(*by, "cell").orderBy("text_key", "h", "doc_id", "size")
     return rows.join(counts, [*by, "cell"]).withColumn(name, F.col("cell_from") + F.row_number().over(inside) - 1).drop("cell_from")
