@@ -2,9 +2,12 @@
 
 Equal fingerprints are merged first, so a group of any number of exact copies is one vertex. Pairs within three bits are
 found by pigeonhole: of six blocks of the fingerprint at least three agree, so each distinct fingerprint goes out under
-the 20 choices of three blocks (about 32 bits a key), and only fingerprints that share a key are compared. A bucket
-yields a spanning forest of its links (at most one edge for each fingerprint, never its pairs); connected components
-of those edges equal those of all links.
+the 20 choices of three blocks (about 32 bits a key), and only fingerprints that share a key are compared. A key that
+more than `most` fingerprints share is split by further blocks of the bits that it leaves open, again by pigeonhole, so no
+link is lost: first by two of five blocks (about 13 bits more), then by one of four (about 5). What is left open then are
+16 bits or fewer, so a bucket has 2^16 fingerprints at most, whatever the data. A bucket yields a spanning forest of its
+links (at most one edge for each fingerprint, never its pairs); connected components of those edges equal those of all
+links.
 """
 
 from __future__ import annotations
@@ -54,10 +57,20 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", words: in
     return arrow_map(picked, run, schema_of(picked, keys) + ", fp long", own)
 
 
-def block_masks() -> list[int]:
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, BLOCKS - 3)]
+def _pieces(bits: list[int], n: int) -> list[int]:
+    """Masks of n blocks of these bits, in order and of about equal size."""
+    edges = [round(i * len(bits) / n) for i in range(n + 1)]
+    return [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def block_masks(within: int | None = None, blocks: int = BLOCKS, equal: int = BLOCKS - 3) -> list[int]:
+    """Masks of all choices of so many equal blocks. With `within` its bits are in every mask and the others are cut into blocks."""
+    open_bits = [x for x in range(64) if not within or not within >> x & 1]
+    return [(within or 0) | sum(c) for c in combinations(_pieces(open_bits, blocks), equal)]
+
+
+#: How the bits that a key leaves open are cut on each level, and how many blocks agree if at most three bits differ.
+LEVELS = ((BLOCKS, BLOCKS - 3), (5, 2), (4, 1))
 
 
 def bucket_forest(fps: np.ndarray, most_bits: int = 3, cells: int = 1 << 22) -> list[tuple[int, int]]:
@@ -79,24 +92,57 @@ def bucket_forest(fps: np.ndarray, most_bits: int = 3, cells: int = 1 << 22) ->
     return [(int(fps[i]), int(fps[r])) for i, r in enumerate(root) if i != r]
 
 
-def links(distinct: DataFrame, most_bits: int = 3) -> DataFrame:
-    """Edges (u, v), u > v, that join what fingerprints at most_bits (up to 3) or fewer differing bits link."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks()]
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
-    buckets = keyed.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
+
+def links(distinct: DataFrame, most_bits: int = 3, most: int = 4096) -> DataFrame:
+    """Edges (u, v), u > v, that join what fingerprints at most_bits (up to 3) or fewer differing bits link.
+
+    A bucket of up to `most` fingerprints is compared in one piece; keys with more go to the next level.
+    """
+    parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    todo, found = distinct.select("fp", F.lit(0).cast("long").alias("mask")).repartition(parts), None
+    masks = {0: [_signed(m) for m in block_masks()]}
+    for level, _ in enumerate(LEVELS):
+        each = F.lit(None).cast("array<bigint>")
+        for mask, finer in masks.items():
+            each = F.when(F.col("mask") == mask, F.array(*map(F.lit, finer))).otherwise(each) if mask else F.array(*map(F.lit, finer))
+        keyed = todo.select("fp", F.explode(each).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        if level < len(LEVELS) - 1:
+            # keys are counted before fingerprints are gathered, so that no long list is ever built
+            crowded = stored(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "key"), "crowded")
+            light = keyed.join(crowded, ["mask", "key"], "left_anti")
+        else:
+            crowded, light = None, keyed
+        buckets = light.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+        edges = _forests(buckets, most_bits)
+        found = edges if found is None else found.union(edges)
+        if crowded is None or crowded.isEmpty():
+            break
+        todo = keyed.join(crowded, ["mask", "key"], "left_semi").select("fp", "mask").repartition(parts)
+        blocks, equal = LEVELS[level + 1]
+        masks = {m: [_signed(x) for x in block_masks(m & (1 << 64) - 1, blocks, equal)] for finer in masks.values() for m in finer}
+    return found.distinct()
+
+
+def _forests(buckets: DataFrame, most_bits: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: set[tuple[int, int]] = set()
         for fps in batch.column("fps"):
-            found.update(bucket_forest(np.sort(fps.values.to_numpy()), most_bits))
+            found.update(bucket_forest(np.unique(fps.values.to_numpy()), most_bits))
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return arrow_map(buckets, run, "u long, v long", "fps").distinct()
+    return arrow_map(buckets, run, "u long, v long", "fps")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(u, root) for every vertex of edges (u > v) but the roots, by alternating large-star and small-star steps."""
+def components(edges: DataFrame) -> DataFrame:
+    """(u, root) for every vertex of edges (u > v) but the roots, by alternating large-star and small-star steps until nothing changes.
+
+    Every round that changes the edges brings a vertex nearer to its root, so this ends; the number of rounds grows with the square
+    of the logarithm of the number of vertices at worst.
+    """
 
     def digest(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -104,7 +150,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now, seen = cut(edges.select("u", "v")), None
     if (seen := digest(now))[0] == 0:
         return now.withColumnRenamed("v", "root")
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select("v", "u")).toDF("x", "y")
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
@@ -114,7 +160,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (got := digest(now)) == seen:
             return now.withColumnRenamed("v", "root")
         seen = got
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, most_bits: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -123,7 +168,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Repeated rows and repeated ids are kept. Null ids are never the smallest unless a class has no other, in which case
     component_id is null. Null, empty and blank texts have fingerprint zero and link like any other. An empty table
-    gives an empty result.
+    gives an empty result. Shingles of a very long text are hashed one after the other and its bits counted in stretches. Columns of
+    docs that are not carried are ignored, whatever their names.
     """
     rows = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry), ["doc_id", *carry], "text", words), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
