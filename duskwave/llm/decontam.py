@@ -6,13 +6,15 @@ says how far the search may move on when it meets a block of bytes; where it may
 selects patterns, and these are compared byte by byte. The search runs over all texts of an Arrow batch at once: each
 lane is a stretch of text with a position of its own, and numpy moves all lanes together by their shifts.
 
-Patterns live in tasks as a broadcast. How many bytes of benchmark text there are is measured first; beyond
-`most_bytes` they are searched for in that many more passes over groups of items, each with a broadcast below the bound.
+Patterns live in tasks as a broadcast. Windows are made and counted in Spark first: at most `most_windows` pairs of window and item go out
+at once (about 400 bytes each in a task with their tables, besides 15 MB of shift tables), and more are searched for in more passes over
+the texts, dealt by hash, so that neither long nor many items outgrow a task.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, schema_of, stored, with_text
+from .common import arrow_map, schema_of, ship, stored, with_text
 
 #: A-Z to a-z; what is neither a digit nor a letter nor beyond ASCII to a space.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -31,6 +33,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split() if text else []
 
 
+def windows_of(text: str | None, width: int) -> Iterator[bytes]:
+    """All runs of width words, or the whole text if it has fewer; none if it has no word."""
+    w = words_of(text)
+    for at in range(max(1, len(w) - width + 1) if w else 0):
+        yield b" " + b" ".join(w[at : at + width]) + b" "
+
+
 @dataclass
 class Search:
     """One Wu-Manber search: patterns of at least m bytes."""
@@ -38,19 +47,16 @@ class Search:
     m: int
     block: int
     shift: np.ndarray  # by block hash
-    buckets: dict[int, list[tuple[bytes, int]]]  # block hash: (pattern, pattern number)
-    starts: np.ndarray  # by block hash: has a bucket
+    buckets: dict[int, dict[int, dict[bytes, int]]]  # block hash, pattern length: pattern numbers
 
 
 class Patterns:
-    """Windows of items, as Wu-Manber tables."""
+    """Windows and their items, as Wu-Manber tables."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = 10, bits: int = 20):
+    def __init__(self, windows: Iterable[tuple[bytes, str]], bits: int = 20):
         self.mask, owners = (1 << bits) - 1, defaultdict(set)
-        for item, text in items:
-            w = words_of(text)
-            for at in range(max(1, len(w) - width + 1) if w else 0):
-                owners[b" " + b" ".join(w[at : at + width]) + b" "].add(item)
+        for window, item in windows:
+            owners[bytes(window)].add(item)
         self.texts = sorted(owners)
         self.items = [frozenset(owners[t]) for t in self.texts]
         self.words = [t.count(b" ") - 1 for t in self.texts]
@@ -73,10 +79,10 @@ class Patterns:
         shift, base = np.full(self.mask + 1, m - block + 1, np.int16), np.arange(len(group)) * m
         for end in range(block, m + 1):
             np.minimum.at(shift, self.hashes(heads, base + end, block), np.int16(m - end))
-        buckets = defaultdict(list)
+        buckets: dict[int, dict[int, dict[bytes, int]]] = {}
         for (t, number), h in zip(group, self.hashes(heads, base + m, block).tolist(), strict=True):
-            buckets[h].append((t, number))
-        return Search(m, block, shift, dict(buckets), shift == 0)
+            buckets.setdefault(h, {}).setdefault(len(t), {})[t] = number
+        return Search(m, block, shift, buckets)
 
     def find(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """For each text, (byte offset, pattern number) of all occurrences."""
@@ -101,8 +107,9 @@ class Patterns:
                     lane = live[i]
                     t, at = text_of[lane], int(pos[lane]) - s.m
                     room = int(first[t] + size[t]) - at
-                    for pattern, number in s.buckets.get(int(h[i]), ()):
-                        if len(pattern) <= room and whole.startswith(pattern, at):
+                    # patterns that begin alike share a bucket: those of one length are compared with the text in one step
+                    for length, patterns in s.buckets.get(int(h[i]), {}).items():
+                        if length <= room and (number := patterns.get(whole[at : at + length])) is not None:
                             found[t].append((at - int(first[t]), number))
                 pos[live] += np.maximum(step, 1)
                 live = live[pos[live] < stop[live]]
@@ -140,21 +147,43 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], width: int = 10, text: str = "text", item_id: str = "item_id", most_bytes: int = 8 << 20) -> DataFrame:
+def windows(benchmark: DataFrame, width: int = 10, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The different (window, item) pairs of a benchmark."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        names: list[str] = []
+        for batch in batches:
+            for item, t in zip(batch.column("item").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                for window in windows_of(t, width):
+                    held.append(window)
+                    names.append(item)
+                    if len(held) == 10000:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(names, pa.string())], ["window", "item"])
+                        held, names = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(names, pa.string())], ["window", "item"])
+
+    ship(benchmark.sparkSession)
+    return items.mapInArrow(run, "window binary, item string").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], width: int = 10, text: str = "text", item_id: str = "item_id", most_windows: int = 50_000) -> DataFrame:
     """keys, n_words, hits (array of word ranges), items (sorted array of item ids as strings) for every row of docs.
 
     A window is `width` consecutive words of an item, or all its words if it has fewer; an item without words, or with a
     null text, has none. A null item id counts as the item named by the empty string; rows that repeat an id are one
-    item. A null document has no words. Equal windows of several items count for each of them.
+    item. A null document has no words. Equal windows of several items count for each of them. An empty benchmark hits
+    nothing, an empty table gives an empty result. Very long texts are searched in lanes like all others, very long items
+    are windows like any other; columns of docs that are not in keys are ignored.
     """
-    bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col("text").alias("t"))
-    size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = -(-size // most_bytes) or 1
+    bench = stored(windows(benchmark, width, "text", item_id), "windows")
+    passes = -(-bench.count() // most_windows) or 1
     now, own = with_text(docs, keys, text)
     carried, extra = schema_of(now, keys), [] if own in keys else [own]
     for k in range(passes):
-        group = bench.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else bench
-        shared = docs.sparkSession.sparkContext.broadcast(Patterns([(r["item"], r["t"]) for r in group.toLocalIterator()], width))
+        group = bench.where(F.pmod(F.xxhash64("window", "item"), F.lit(passes)) == k) if passes > 1 else bench
+        shared = docs.sparkSession.sparkContext.broadcast(Patterns((r["window"], r["item"]) for r in group.toLocalIterator()))
         last, again = k == passes - 1, k > 0
 
         def run(batch: pa.RecordBatch, shared=shared, last=last, again=again) -> pa.RecordBatch:
