@@ -4,7 +4,8 @@ Every language has a codeword. One binary n-gram classifier per bit says on whic
 text lies; decoding sums a loss per bit, weighted by how well the bit separates, and takes the nearest codeword.
 
 Training counts are gathered over all labelled rows, so nothing is sampled: each task folds its texts into a table of
-(language, bucket) counts, Spark adds these up, and only languages x buckets numbers reach the driver.
+(language, bucket) counts, Spark adds these up, and only languages x buckets numbers reach the driver (64 KB a language: 4 MB
+for the 60 languages of a large web corpus, and 64 MB if a dirty label column names a thousand).
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def codewords(k: int, s: Settings) -> np.ndarray:
     for _ in range(40):
         code = rng.choice(np.array([-1.0, 1.0], np.float32), size=(k, width))
         code = code[:, np.abs(code.sum(axis=0)) < k]
-        apart = ((code[:, None, :] != code[None, :, :]).sum(axis=2) + np.eye(k, dtype=int) * 10**6).min()
+        apart = ((code.shape[1] - code @ code.T) / 2 + np.eye(k) * 10**6).min()
         if apart > far:
             best, far = code, apart
     return best
@@ -119,7 +120,11 @@ def fit_counts(counts: dict[str, np.ndarray], s: Settings = Settings()) -> Model
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", s: Settings = Settings()) -> Model:
-    """Learns from the rows of docs where train holds and text and lang are not null."""
+    """Learns from the rows of docs where train holds and text and lang are not null.
+
+    A null condition does not hold, so rows with a null id teach nothing where train asks for a part of the id. Texts without a letter
+    teach nothing. Without any row to learn from the model has no language. Repeated rows count each time.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -138,19 +143,16 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     ship(docs.sparkSession)
     rows = docs.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, np.ndarray] = {}
-    names, at, n = found.column("lang").to_pylist(), found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    for name in set(names):
-        own = np.fromiter((x == name for x in names), bool, len(names))
-        counts[name] = np.zeros(s.buckets)
-        counts[name][at[own]] = n[own]
-    return fit_counts(counts, s)
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    table = np.zeros((len(names.dictionary), s.buckets))
+    table[names.indices.to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return fit_counts(dict(zip(names.dictionary.to_pylist(), table, strict=True)), s)
 
 
 def identify(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, lang_pred, score, ambiguous for every row; whole texts.
+    """keys, lang_pred, score, ambiguous for every row; whole texts, however long: their n-grams are counted in arrays of their length.
 
-    Null texts and texts without a letter are `und` with score 0. Repeated rows get equal results; an empty table gives
+    Null texts and texts without a letter are `und` with score 0. Null ids and other null keys are returned as they are. Repeated rows get equal results; an empty table gives
     an empty result; a model without languages says `und` throughout.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x bits numbers

@@ -37,7 +37,9 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    draws = F.transform("draws", lambda d: F.concat_ws(":", d["pass"].cast("string"), d["first"].cast("string"), d["words"].cast("string"), d["shard"].cast("string")))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.array_join(draws, ",").alias("draws"))
 
 
 def warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +104,13 @@ t as (select r, list_sort(list(distinct item)) as items from (select r, unnest(i
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
   sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (r) left join t using (r)""",
+    # base 32: five hexadecimal digits of the SHA-1 are four symbols
+    "op7_warc_reassembly": """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+f as (select sha, min(page_id) as first_id, count(*) as copies from p group by sha),
+j as (select p.*, f.first_id, f.copies > 1 and p.page_id is distinct from f.first_id as again from p join f using (sha))
+select page_id, strlen(html)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || sha[(i // 4) * 5 + 1 : (i // 4) * 5 + 5])::bigint >> (15 - 5 * (i % 4))) & 31) + 1]), '') as payload_digest,
+  case when again then 'revisit' else 'response' end as record_type, case when again then first_id end as refers_to
+from j""",
 }

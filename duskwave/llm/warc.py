@@ -191,7 +191,8 @@ def page_records(pages: DataFrame, **options) -> DataFrame:
     """Writes the archives of pages to the shared folder and reads them back: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to for every row of pages.
 
-    A revisit has the payload length of the response that it refers to.
+    A revisit has the payload length of the response that it refers to. Very long pages are written in segments, and read and put
+    together again one record at a time; an empty table writes no archive and gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")

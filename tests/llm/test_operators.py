@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,14 +159,14 @@ def brute_contamination(docs, items, width=10):
     return Counter(out)
 
 
-@pytest.mark.parametrize("most_bytes", [8 << 20, 400])
-def test_decontamination(spark, most_bytes):
+@pytest.mark.parametrize("most_windows", [50_000, 30])
+def test_decontamination(spark, most_windows):
     items = [(1, prose(100, 30)), (2, prose(101, 10)), (3, "Tiny QUESTION"), (4, "x"), (5, None), (6, "!!! ..."), (7, prose(100, 30)), (None, prose(102, 15)), (1, prose(103, 12)), (8, "é" * 5 + " ü9"), (9, prose(100, 14))]
     docs = [(i, prose(i, 60)) for i in range(30)]
     docs += [(40, f"{prose(1, 20)}, {prose(100, 30)}! {prose(2, 5)}"), (41, prose(100, 30)[3:]), (42, "a tiny, question x"), (43, None), (44, ""), (45, prose(101, 10).upper()), (46, "ÉÉ ééééé ü9"), (None, prose(102, 15) + " " + prose(102, 15)), (45, prose(103, 12)), (48, (prose(7, 3000) + " " + prose(101, 10)) * 3), (49, "xx x xx")]
     frame = documents(spark, [t for _, t in docs], ids=[i for i, _ in docs])
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, hits string")
-    got = decontam.contamination(frame, bench, ["doc_id"], most_bytes=most_bytes).collect()
+    got = decontam.contamination(frame, bench, ["doc_id"], most_windows=most_windows).collect()
     assert Counter((r["doc_id"], r["n_words"], sum(x["b"] - x["a"] for x in r["hits"]), tuple(r["items"])) for r in got) == brute_contamination(docs, items)
     assert decontam.contamination(frame, bench.limit(0), ["doc_id"]).where(F.size("hits") > 0).count() == 0
     assert decontam.contamination(frame.limit(0), bench, ["doc_id"]).count() == 0
@@ -181,6 +182,8 @@ def test_main_text(spark):
     rows = [page("a.com", i, f"<p>Body  of\n{i} &amp; more&nbsp;text</p><p>Shared paragraph</p><div>Read our weekly letter</div><div class=comments><p>nice</p></div>") for i in range(20)]
     rows += [page("b.com", 100 + i, "<p>Same text on every page</p>") for i in range(20)]
     rows += [(200, None, None), (201, "bad url", ""), (202, "http://c.com/", "<p>open <b>bold <p>next<br>line</p> x < y"), (203, "http://c.com/", "text &#233; only"), (None, "http://c.com/", "<div>" * 600 + "deep"), (204, "http://c.com/", "<form><p>f</p></form><p>a</p><!-- <p>c</p> --><style>p{}</style>")]
+    rows += [(400 + i, f"http://two.com/{i}", f"<div><div>Start</div><div><p>Only here {i}</p></div><div>End</div></div>") for i in range(2)]  # two pages suffice
+    rows += [(500, "http://one.com/", "<div><div>Start</div><p>A host with one page</p></div>"), (501, "http://two.com/x", "<a " * 300000 + "<p>end"), (502, "http://two.com/y", "<div>" * 50000 + "<nav>no</nav><p>deep</p>")]
     rows += [(300 + i, f"http://plain.com/{i}", f"<body><div>Menu of plain</div><div><p>Own words {i}</p></div><div>Contact plain</div></body>") for i in range(12)]
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, tree string")
     got = {r["page_id"]: r["text"] for r in htmlmain.main_text(frame).collect()}
@@ -189,7 +192,12 @@ def test_main_text(spark):
     assert got[105] == "Title 105\nSame text on every page"
     assert got[200] == got[201] == "" and got[203] == "text é only" and got[None] == "deep" and got[204] == "a"
     assert got[202] == "open bold\nnext line\nx < y"
-    assert got[304] == "Own words 4"
+    assert got[304] == "Own words 4" and got[400] == "Only here 0" and got[401] == "Only here 1"
+    assert got[500] == "Start\nA host with one page" and got[501].count("<a") == 299999 and got[502] == "deep"
+    joined = {r["page_id"]: r["text"] for r in htmlmain.main_text(frame, most_broadcast=0).collect()}
+    assert joined == got
+    counted = {r["page_id"]: (r["n_template"], r["text"]) for r in htmlmain.main_text(frame, kinds=False).collect()}
+    assert counted[304] == (2, "Own words 4") and counted[105][0] >= 3 and counted[105][1] == "Title 105\nSame text on every page"
     assert htmlmain.main_text(frame.limit(0)).count() == 0
 
 
@@ -343,12 +351,14 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
-def test_links_lose_nothing_in_dense_buckets(spark):
+@pytest.mark.parametrize("most", [4096, 20])
+def test_links_lose_nothing_in_dense_buckets(spark, most):
     r = random.Random(3)
     centres = [r.getrandbits(64) for _ in range(4)]
     fps = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(150)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    star = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")))
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    star = simhash.components(simhash.links(fps, most=most))  # a lower bound sends keys to the next levels
     got = {r["u"]: r["root"] for r in star.collect()}
     label = {x: got.get(x, x) for x in signed}
     todo, classes = set(signed), 0
@@ -411,6 +421,7 @@ def test_secret_scan(spark):
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     texts = [None, "", 'password = "abcdefgh1"', "token: secret: abcdefghij", "TOKEN='short'", "é\U0001f600 api_key=" + pick(b64, 30), "xAKIA" + pick("ABCDEFGH01234567", 16) + " AKIA123", "AKIAAKIA" + "A" * 12, pick("0123456789abcdef", 40) + " " + pick("0123456789abcdef", 31), "a" * 50, "passwd:" + pick("0123456789abcdef", 40), "ſecret=abcdefghijk tokEN := x", prose(3, 4000) + " secret=abcdefgh " + prose(4, 10)]
     planted = [f"see {pick('0123456789ABCDEF', 40)} here {pick(b64, 44)}." for _ in range(40)]
+    planted[0] += " " + prose(5, 20000)  # text is modelled on the corpus, so there has to be some
     dull = ["A1" * 20 + "b", "Ab1" * 15, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop0123"] * 3
     texts += planted + dull
     got = {x["doc_id"]: x for x in secrets.scan_secrets(documents(spark, texts)).select("doc_id", secrets.listed(F.filter("spans", lambda s: s["kind"] < 3)).alias("base"), secrets.listed(F.col("spans")).alias("all")).collect()}
@@ -430,9 +441,9 @@ def test_secret_scan_tests_values_after_a_name_and_every_alphabet(spark):
     small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     shapes = {
         "sig=": lambda: base64.b64encode(r.randbytes(31)).decode(),
-        "client_key=": lambda: base64.b64encode(r.randbytes(14)).decode(),  # 18 symbols and padding
+        "client_key=": lambda: base64.b64encode(r.randbytes(34)).decode(),  # 46 symbols and padding
         "session=": lambda: pick(small + digits, 40),
-        "key ": lambda: pick(small + digits, 25),
+        "key ": lambda: pick(small + digits, 36),
         "id ": lambda: pick(small.upper() + digits, 40),
         "onion ": lambda: pick(small + "234567", 56),
         "small ": lambda: pick(small, 40),
@@ -441,11 +452,29 @@ def test_secret_scan_tests_values_after_a_name_and_every_alphabet(spark):
     }
     planted = [(name, f"{name}{make()}") for name, make in shapes.items() for _ in range(20)]
     dull = ["sig=" + "Ab1" * 15, "a0z" * 14, "A0Z" * 14, small * 2, small.upper() * 2, "AbstractSingletonProxyFactoryBeanFactoryImplementation", "x=" + "a" * 18, "well-known-state-of-the-art", "1" * 30, "name=" + "=" * 40]
-    texts = [t for _, t in planted] + dull
+    texts = [t for _, t in planted] + dull + [prose(i, 2000) for i in range(20)]
     got = {x["doc_id"]: x["all"] for x in secrets.scan_secrets(documents(spark, texts)).select("doc_id", secrets.listed(F.col("spans")).alias("all")).collect()}
     hits = Counter(name for i, (name, t) in enumerate(planted) if got[i] == f"random:{len(name)}:{len(t)}")
     assert all(hits[name] >= 18 for name in shapes), hits
-    assert [got[len(planted) + i] for i in range(len(dull))] == [""] * len(dull)
+    assert [got[len(planted) + i] for i in range(len(dull) + 20)] == [""] * (len(dull) + 20)
+
+
+def test_secret_scan_of_many_matches_in_one_text(spark):
+    r = random.Random(6)
+    text = " ".join(r.choice(["deadbeef" * 5, "AKIA" + "B" * 16, "token=abcdefghij", "0123456789abcdefXYZ", "é" * 20]) for _ in range(20000))
+    began = time.time()
+    got = secrets.scan_secrets(documents(spark, [text])).select(secrets.listed(F.filter("spans", lambda s: s["kind"] < 3)).alias("base")).first()["base"]
+    assert got == brute_base(text) and time.time() - began < 60
+
+
+def test_ordinary_tokens_have_large_p_text(spark):
+    r = random.Random(8)
+    corpus = spark.createDataFrame([(" ".join(r.choice(WORDS) for _ in range(3000)),) for _ in range(10)], "text string")
+    joined = ["".join(r.choice(WORDS) for _ in range(5)) for _ in range(400)]
+    tokens = spark.createDataFrame([("lower", x) for x in joined], "encoding string, match string")
+    got = [x["p_text"] for x in secrets.likeness(secrets.battery(tokens), secrets.text_model(spark, corpus)).select("p_text").collect()]
+    for level in (0.01, 0.05, 0.2):
+        assert sum(p <= level for p in got) / 400 <= level * 1.3 + 0.005
 
 
 def test_battery_p_values_are_uniform_on_random_tokens(spark):
