@@ -50,3 +50,20 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], bu
         part = lambda place: F.max(F.when(F.col("place") == place, F.col(value)))
         out[name] = part(below) + F.max(at - F.floor(at)) * (part(above) - part(below))
     return p.groupBy(*by).agg(F.max("all_place").alias("n"), *(c.alias(n) for n, c in out.items()))
+
+
+def last_reached(asked: DataFrame, steps: DataFrame, by: list[str], value: Column, at: str, step: str, bucket) -> DataFrame:
+    """asked with the column `step` of the row of steps (by, at, step) with the largest at <= value in its `by`; NULL if there is none.
+
+    bucket(Column) maps values to integers that never fall. Steps and rows of one bucket are ordered together; what a bucket starts
+    with is the last step of the buckets before it, one row each.
+    """
+    rows = asked.withColumn("__row", F.struct(*asked.columns)).select(*by, value.alias("__v"), "__row", F.lit(None).cast(steps.schema[step].dataType).alias(step))
+    marks = steps.select(*by, F.col(at).alias("__v"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), step)
+    both = rows.unionByName(marks).withColumn("__b", bucket(F.col("__v")).cast("long"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = both.groupBy(*by, "__b").agg(F.max(F.when(F.col("__row").isNull(), F.struct("__v", step))).alias("__last"))
+    first = first.withColumn("__first", F.last("__last", ignorenulls=True).over(before)).select(*by, "__b", "__first")
+    inside = Window.partitionBy(*by, "__b").orderBy("__v", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(step, F.last(step, ignorenulls=True).over(inside)).where(F.col("__row").isNotNull()).join(first, [*by, "__b"])
+    return found.select("__row.*", F.coalesce(step, F.col(f"__first.{step}")).alias(step))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import heads, ranking
+from ..operators import calibration, heads, ranking
 from ..sources import adapters as src
 from .base import query, r6
 
@@ -213,39 +213,17 @@ def threshold_vs_sets(spark, d):
     return p.groupBy("truth").agg(F.count("*").alias("n"), r6(F.avg(F.col("sure").cast("double"))).alias("kept"), r6(F.avg(F.when(F.col("sure"), right))).alias("correct"))
 
 
-_VA = """va as (select cls, round(p * 200) / 200 as s, (cls = truth)::int as y from plong where split = 'val'),
-blk as (select cls, s, sum(y) as sy, count(*) as n, row_number() over (partition by cls order by s) as i from va group by cls, s)"""
-
-
-def venn_abers_table(cal, by=("cls",)):
-    """Step functions p0, p1 by class: isotonic values with a test point of label 0 or 1 added at each distinct score.
-
-    The isotonic value at rank i is min over b >= i of max over a <= i of the mean over ranks a to b; equal scores are one rank. Prefix
-    sums make each mean two lookups, and the rank pairs of a class are joined on the class.
-    """
-    blk = cal.groupBy(*by, "s").agg(F.sum("y").alias("sy"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("s")
-    blk = blk.withColumn("i", F.row_number().over(w)).withColumn("cy", F.sum("sy").over(w)).withColumn("cn", F.sum("n").over(w))
-    lo = blk.select(*by, F.col("i").alias("a"), (F.col("cy") - F.col("sy")).alias("ay"), (F.col("cn") - F.col("n")).alias("an"))
-    hi = blk.select(*by, F.col("i").alias("b"), F.col("cy").alias("by_"), F.col("cn").alias("bn"))
-    at = blk.select(*by, "i", "s")
-    below = at.join(lo, list(by)).where("a <= i")
-    pairs = below.join(hi, list(by)).where("b >= i")
-    value = lambda y: (F.col("by_") - F.col("ay") + y) / (F.col("bn") - F.col("an") + 1)
-    per_b = pairs.groupBy(*by, "i", "s", "b").agg(F.max(value(0)).alias("m0"), F.max(value(1)).alias("m1"))
-    return per_b.groupBy(*by, "i", "s").agg(F.min("m0").alias("p0"), F.min("m1").alias("p1"))
-
-
-_VAT = _VA + """, cum as (select cls, i, s, sy, n, sum(sy) over (partition by cls order by s) as cy, sum(n) over (partition by cls order by s) as cn from blk),
-pr as (select x.cls, x.i, x.s, b.i as b, max((b.cy - a.cy + a.sy) / (b.cn - a.cn + a.n + 1.0::double)) as m0, max((b.cy - a.cy + a.sy + 1) / (b.cn - a.cn + a.n + 1.0::double)) as m1
+_VAT = """va as (select cls, p as s, (cls = truth)::int as y from plong where split = 'val'),
+blk as (select cls, s, sum(y) as sy, count(*) as n from va group by cls, s),
+cum as (select cls, row_number() over w as i, s, sum(sy) over w as cy, sum(n) over w as cn from blk window w as (partition by cls order by s) union all select distinct cls, 0, null::double, 0, 0 from blk),
+pr as (select x.cls, x.i, x.s, b.i as b, max((b.cy - a.cy) / (b.cn - a.cn + 1.0::double)) as m0, max((b.cy - a.cy + 1) / (b.cn - a.cn + 1.0::double)) as m1
   from cum x join cum a on a.cls = x.cls and a.i <= x.i join cum b on b.cls = x.cls and b.i >= x.i group by x.cls, x.i, x.s, b.i),
 vat as (select cls, i, s, min(m0) as p0, min(m1) as p1 from pr group by cls, i, s)"""
 
 
 def _steps(spark, d):
-    """Scores on a grid of 201 values, so a class has at most so many ranks however many calibration rows there are."""
-    cal = _long(spark, d).where("split = 'val'").select("cls", (F.round(F.col("p") * 200) / 200).alias("s"), (F.col("cls") == F.col("truth")).cast("long").alias("y"))
-    return venn_abers_table(cal)
+    cal = _long(spark, d).where("split = 'val'").select("cls", F.col("p").alias("s"), (F.col("cls") == F.col("truth")).cast("long").alias("y"))
+    return calibration.venn_abers_table(cal, ["cls"])
 
 
 @query("venn_abers_table", f"{_VAT} select cls::bigint as cls, i, round(s, 6) + 0.0 as s, round(p0, 6) + 0.0 as p0, round(p1, 6) + 0.0 as p1 from vat")
@@ -253,14 +231,11 @@ def venn_abers_table_query(spark, d):
     return _steps(spark, d).select(F.col("cls").cast("long").alias("cls"), F.col("i").cast("long").alias("i"), *(r6(c).alias(c) for c in ("s", "p0", "p1")))
 
 
-@query("venn_abers_intervals", f"{_VAT}, iv as (select t.obj_id, t.cls, (select arg_max(p0, v.s) from vat v where v.cls = t.cls and v.s <= t.p) as lo, (select arg_max(p1, v.s) from vat v where v.cls = t.cls and v.s <= t.p) as hi from plong t where split = 'test'), m as (select *, hi / (1 - lo + hi) as u from iv where lo is not null) select obj_id, cls::bigint as cls, round(least(lo, hi), 6) + 0.0 as lower, round(greatest(lo, hi), 6) + 0.0 as upper, round(u / sum(u) over (partition by obj_id), 6) + 0.0 as merged from m")
+@query("venn_abers_intervals", f"{_VAT}, iv as (select t.obj_id, t.cls, (select arg_max(p0, coalesce(v.s, -1)) from vat v where v.cls = t.cls and coalesce(v.s, -1) <= t.p) as lo, (select arg_max(p1, coalesce(v.s, -1)) from vat v where v.cls = t.cls and coalesce(v.s, -1) <= t.p) as hi from plong t where split = 'test'), m as (select *, hi / (1 - lo + hi) as u from iv where lo is not null) select obj_id, cls::bigint as cls, round(least(lo, hi), 6) + 0.0 as lower, round(greatest(lo, hi), 6) + 0.0 as upper, round(u / sum(u) over (partition by obj_id), 6) + 0.0 as merged from m")
 def venn_abers_intervals(spark, d):
-    """The step below each score. A class's steps, 201 at most, travel as one array."""
-    steps = _steps(spark, d).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("s", "p0", "p1"))).alias("steps"))
-    asked = _long(spark, d).where("split = 'test'").join(F.broadcast(steps), "cls")
-    got = asked.withColumn("step", F.try_element_at(F.filter("steps", lambda x: x["s"] <= F.col("p")), F.lit(-1))).where("step is not null")
-    got = got.withColumn("u", F.col("step.p1") / (1 - F.col("step.p0") + F.col("step.p1")))
-    return got.select("obj_id", F.col("cls").cast("long").alias("cls"), r6(F.least("step.p0", "step.p1")).alias("lower"), r6(F.greatest("step.p0", "step.p1")).alias("upper"), r6(F.col("u") / F.sum("u").over(Window.partitionBy("obj_id"))).alias("merged"))
+    """Exact intervals of all test rows and classes, and the merged probabilities, which add up to 1 for each object."""
+    got = calibration.venn_abers_intervals(_long(spark, d).where("split = 'test'").select("obj_id", "cls", "p"), _steps(spark, d), ["cls"], "p")
+    return got.select("obj_id", F.col("cls").cast("long").alias("cls"), r6("lower").alias("lower"), r6("upper").alias("upper"), r6(F.col("merged") / F.sum("merged").over(Window.partitionBy("obj_id"))).alias("merged"))
 
 
 @query("anomaly_likelihood_ratio", f"{_E} select obj_id, round(exp(greatest(-50, least(50, 0.8::double * e + 2))) * 0.0326 / (1 - 0.0326::double + exp(greatest(-50, least(50, 0.8::double * e + 2))) * 0.0326), 6) + 0.0 as p_anomaly from en")

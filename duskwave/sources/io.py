@@ -14,14 +14,23 @@ ALERT = "struct<detections:array<struct<mjd:double,fid:int,magpsf:double,sigmaps
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary folder only where none is set."""
+    """A new path in the folder that the cluster shares. A temporary folder only on a local master; elsewhere executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="duskwave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: computed once, short lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
