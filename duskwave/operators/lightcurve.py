@@ -103,6 +103,13 @@ def colour_stats(pairs: DataFrame) -> DataFrame:
     return out.withColumn("late_minus_early", F.col("late") - F.col("early"))
 
 
+def cumulative_trapezoid(df: DataFrame, by: list[Column | str], order: list[Column | str], x: str, y: str, name: str) -> DataFrame:
+    """df with the integral of y over x from the first row of its group up to each row, by the trapezoid rule."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    step = F.coalesce((F.col(y) + F.lag(y).over(w)) / 2 * (F.col(x) - F.lag(x).over(w)), F.lit(0.0))
+    return df.withColumn(name, step).withColumn(name, F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def leakage(phot: DataFrame, days: float) -> DataFrame:
     """Pairs of the full curve that a cut at `days` would not have had: per object, how many partners lie after it."""
     ahead = nearest_time_pairs(phot).where((F.col("dt") <= days) & (F.col("partner_dt") > days))
@@ -137,9 +144,9 @@ def global_cadence(phot: DataFrame) -> DataFrame:
     return phot.groupBy("obj_id").agg(F.count("*").alias("n_obs_total"), F.count_distinct("band").alias("n_bands"), F.max("dt").alias("span_total"))
 
 
-def cross_band_peak(peaks: DataFrame, cadence: DataFrame) -> DataFrame:
-    """g minus r: peak times, peak brightness, counts; NULL unless both bands are there. One pivot, no self-join."""
-    both = peaks.join(cadence, ["obj_id", "band"]).where(F.col("band") < 2).groupBy("obj_id").pivot("band", [0, 1]).agg(F.first("t_peak").alias("t"), F.first("logflux_peak").alias("f"), F.first("n_obs").alias("n"))
+def cross_band_peak(bands: DataFrame) -> DataFrame:
+    """g minus r: peak times, peak brightness, counts; NULL unless both bands are there. One aggregation and one pivot."""
+    both = band_features(bands).where(F.col("band") < 2).groupBy("obj_id").pivot("band", [0, 1]).agg(F.first("t_peak").alias("t"), F.first("logflux_peak").alias("f"), F.first("n_obs").alias("n"))
     return both.select("obj_id", (F.col("0_t") - F.col("1_t")).alias("gr_peak_dt"), (F.col("0_f") - F.col("1_f")).alias("gr_peak_logflux_ratio"), (F.col("0_n") / F.greatest("1_n", F.lit(1))).alias("gr_n_ratio"))
 
 
@@ -237,7 +244,7 @@ def bazin_grid_fit(bands: DataFrame, min_n: int = 6) -> DataFrame:
     fit = fit.withColumn("det", F.col("s0") * F.col("shh") - F.col("sh") * F.col("sh")).where(F.col("det") > 1e-9 * F.col("s0") * F.col("shh"))
     fit = fit.withColumn("a", (F.col("s0") * F.col("shy") - F.col("sh") * F.col("sy")) / F.col("det")).withColumn("b", (F.col("sy") - F.col("a") * F.col("sh")) / F.col("s0"))
     fit = fit.withColumn("chi2", (F.col("syy") - F.col("a") * F.col("shy") - F.col("b") * F.col("sy")) / F.greatest(F.col("n") - 5, F.lit(1)))
-    best = F.min(F.struct(F.round("chi2", 9).alias("k"), "t0", "rise", "fall", "a", "b", "chi2"))
+    best = F.min(F.struct(F.round("chi2", 6).alias("k"), "t0", "rise", "fall", "a", "b", "chi2"))
     out = fit.where("a > 0").groupBy("obj_id", "band").agg(best.alias("f"))
     return out.select("obj_id", "band", F.col("f.a").alias("amplitude"), F.col("f.b").alias("baseline"), F.col("f.t0").alias("reference_time"), F.col("f.rise").alias("rise_time"), F.col("f.fall").alias("fall_time"), F.col("f.chi2").alias("reduced_chi2"), (F.col("f.fall") / F.col("f.rise")).alias("fall_over_rise"))
 
@@ -252,7 +259,8 @@ def by_band(part: DataFrame, prefix: str = "") -> DataFrame:
 def assemble_features(phot: DataFrame) -> DataFrame:
     """The wide feature table: global, per-band, colour and cross-band columns, NULL where there is too little data.
 
-    Every part is dealt by object from the first window on and has one row per object when it is joined, so all of it shares one shuffle.
+    Every part is dealt by object from the first window on and has one row per object when it is joined. phot is read once for each part, so
+    it should be a stored table.
     """
     bands = dedupe_same_time(phot)
     out = global_cadence(phot).join(by_band(band_features(bands)), "obj_id", "left").join(by_band(bazin_grid_fit(bands), "bazin_"), "obj_id", "left")

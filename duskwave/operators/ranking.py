@@ -13,11 +13,15 @@ def running(df: DataFrame, by: list[str], order: list[Column | str], bucket: Col
     after that only the rows of one bucket are ordered together.
     """
     b = df.withColumn("__b", bucket.cast("long")).withColumns({f"__{n}": c for n, c in sums.items()})
-    keys = [*by, "__b"]
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*(by or [F.lit(0)]))
-    per = b.groupBy(*keys).agg(*(F.sum(f"__{n}").alias(f"__s_{n}") for n in sums))
-    per = per.select(*keys, *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums), *(F.sum(f"__s_{n}").over(every).alias(f"all_{n}") for n in sums))
+    keys, one = [*by, "__b"], by or [F.lit(0)]
+    # buckets in two levels: stretches of a thousand first, so that a fine bucket costs no long window
+    per = b.groupBy(*keys).agg(*(F.sum(f"__{n}").alias(f"__s_{n}") for n in sums)).withColumn("__far", F.floor(F.col("__b") / 1000))
+    before = lambda key, *cells: Window.partitionBy(*one, *cells).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    far = per.groupBy(*by, "__far").agg(*(F.sum(f"__s_{n}").alias(f"__f_{n}") for n in sums))
+    far = far.select(*by, "__far", *(so_far(f"__f_{n}", before("__far")).alias(f"__far_{n}") for n in sums), *(F.sum(f"__f_{n}").over(Window.partitionBy(*one)).alias(f"all_{n}") for n in sums))
+    per = per.withColumns({f"__before_{n}": so_far(f"__s_{n}", before("__b", "__far")) for n in sums}).join(far, [*by, "__far"])
+    per = per.select(*keys, *((F.col(f"__before_{n}") + F.col(f"__far_{n}")).alias(f"__before_{n}") for n in sums), *(f"all_{n}" for n in sums))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = b.withColumns({n: F.sum(f"__{n}").over(inside) for n in sums}).join(per, keys)
     out = out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums})
@@ -30,10 +34,15 @@ def places(df: DataFrame, by: list[str], order: list[Column | str], bucket: Colu
 
 
 def average_ranks(df: DataFrame, value: str, bucket: Column, name: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """df with the rank of value from 1, ties averaged, and all_<name>, the number of rows."""
+    """df with the rank of value from 1, ties averaged, and all_<name>, the number of rows; rows without a value go.
+
+    Equal values are counted first, so a value that many rows share is one row when ranks are made.
+    """
     by = by or []
-    p = places(df, by, [value], bucket)
-    return p.withColumn(name, F.avg("place").over(Window.partitionBy(*by, value))).withColumnRenamed("all_place", f"all_{name}").drop("place")
+    n = df.where(F.col(value).isNotNull()).withColumn("__b", bucket).groupBy(*by, value, "__b").agg(F.count("*").alias("__n"))
+    r = running(n.withColumnRenamed("__b", "__at"), by, [value], F.col("__at"), {"__upto": F.col("__n")})
+    r = r.select(*by, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name), F.col("all___upto").alias(f"all_{name}"))
+    return df.join(r, [*by, value])
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], bucket: Column) -> DataFrame:

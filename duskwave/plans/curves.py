@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import photometry as ph
 from ..operators import lightcurve as lc
 from ..sources import adapters as src
+from ..sources import io
 from .base import query, r6
 
 
@@ -112,9 +113,8 @@ def luminosity_knots(spark):
     """z and comoving distance on a fixed grid to z = 5 (a few hundred rows whatever the input), by the trapezoid rule."""
     z = spark.range(_GRID + 1).select(F.col("id").alias("i"), (F.lit(5.0) * F.col("id") / _GRID).alias("z"))
     z = z.withColumn("e", 1 / F.sqrt(F.lit(ph.OMEGA_M) * F.pow(1 + F.col("z"), F.lit(3.0)) + F.lit(1 - ph.OMEGA_M)))
+    z = lc.cumulative_trapezoid(z, [F.lit(0)], ["i"], "z", "e", "c").withColumn("c", F.lit(ph.CLIGHT / ph.H0) * F.col("c"))
     order = Window.partitionBy(F.lit(0)).orderBy("i")
-    step = F.coalesce((F.col("e") + F.lag("e").over(order)) / 2 * (F.col("z") - F.lag("z").over(order)), F.lit(0.0))
-    z = z.withColumn("step", step).withColumn("c", F.lit(ph.CLIGHT / ph.H0) * F.sum("step").over(order))
     return z.select("i", F.col("z").alias("z0"), F.col("c").alias("c0"), F.lead("z").over(order).alias("z1"), F.lead("c").over(order).alias("c1"))
 
 
@@ -140,9 +140,11 @@ def pseudo_absolute_magnitude(spark, d):
     return with_distance(_redshifts(spark, d), spark).select("p_partkey", r6(ph.absolute_magnitude(F.col("peak"), F.col("d_mpc"))).alias("m_pseudo"))
 
 
-@query("cumulative_trapezoid", f"{_LUM} select i, round(z, 6) + 0.0 as z, round(c, 5) + 0.0 as c from cum")
+@query("cumulative_trapezoid", "t as (select obj_id, band, mjd, mag, magerr, coalesce((flux + lag(flux) over w) / 2 * (mjd - lag(mjd) over w), 0) as step from phot window w as (partition by obj_id, band order by mjd, mag, magerr)) select obj_id, band, round(mjd, 6) + 0.0 as mjd, round(sum(step) over (partition by obj_id, band order by mjd, mag, magerr rows unbounded preceding), 5) + 0.0 as fluence from t")
 def cumulative_trapezoid(spark, d):
-    return luminosity_knots(spark).select("i", r6("z0").alias("z"), (F.round("c0", 5) + F.lit(0.0)).alias("c"))
+    """The light collected so far at each detection of a band."""
+    f = lc.cumulative_trapezoid(_phot(spark, d), ["obj_id", "band"], ["mjd", "mag", "magerr"], "mjd", "flux", "fluence")
+    return f.select("obj_id", "band", r6("mjd").alias("mjd"), (F.round("fluence", 5) + F.lit(0.0)).alias("fluence"))
 
 
 @query("astrometry_features", "select p_partkey, round(case when p_size % 5 > 0 then p_retailprice / 1000 / (p_size % 5) end, 6) + 0.0 as parallax_over_error, round(sqrt(pow((p_partkey % 13 - 6)::double, 2) + pow((p_partkey % 7 - 3)::double, 2)), 6) + 0.0 as pm, round(case when p_size % 5 > 0 then sqrt(pow((p_partkey % 13 - 6)::double, 2) + pow((p_partkey % 7 - 3)::double, 2)) / (p_size % 5) end, 6) + 0.0 as pm_over_error from part")
@@ -354,8 +356,7 @@ def global_cadence(spark, d):
 @query("cross_band_peak", f"""{_BANDS}, k as (select obj_id, band, arg_max(dt, flux) as t, max(logflux) as f, count(*) as n from bands where band < 2 group by obj_id, band)
 select o.obj_id, round(g.t - r.t, 6) + 0.0 as gr_peak_dt, round(g.f - r.f, 6) + 0.0 as gr_peak_logflux_ratio, round(g.n / greatest(r.n, 1)::double, 6) + 0.0 as gr_n_ratio from (select distinct obj_id from k) o left join k g on g.obj_id = o.obj_id and g.band = 0 left join k r on r.obj_id = o.obj_id and r.band = 1""")
 def cross_band_peak(spark, d):
-    b = _bands(spark, d)
-    return _r(lc.cross_band_peak(lc.band_peak(b), lc.band_cadence(b)))
+    return _r(lc.cross_band_peak(_bands(spark, d)))
 
 
 _STAT = _BANDS + """, x0 as (select obj_id, band, dt as t, mjd, logflux as m, logflux_err as d, count(*) over w as n, avg(logflux) over w as mu, stddev_samp(logflux) over w as s, median(logflux) over w as med, max(logflux) over w as mx, min(logflux) over w as mn,
@@ -420,18 +421,70 @@ def stat_anderson_darling(spark, d):
 
 
 _RF = ", ".join(f"({r}::double, {f}::double)" for r in lc.BAZIN_RISE for f in lc.BAZIN_FALL if f > r)
-
-
-@query("bazin_grid_fit", f"""{_BANDS}, n6 as (select *, count(*) over w as n, min(dt) over w as t1, max(dt) over w as t2 from bands window w as (partition by obj_id, band)),
+_BAZIN = f"""n6 as (select *, count(*) over w as n, min(dt) over w as t1, max(dt) over w as t2 from bands window w as (partition by obj_id, band)),
 g as (select obj_id, band, n, flux, t1 + (t2 - t1) * i / {lc.BAZIN_STEPS - 1} as t0, rise, fall, 1 / (flux_err * flux_err) as w, dt from n6, (select unnest(generate_series(0, {lc.BAZIN_STEPS - 1})) as i), (values {_RF}) v(rise, fall) where n >= 6),
 h as (select *, exp(-(dt - t0) / fall) / (1 + exp(-(dt - t0) / rise)) as h from g),
 s as (select obj_id, band, t0, rise, fall, any_value(n) as n, sum(w) as s0, sum(w * h) as sh, sum(w * h * h) as shh, sum(w * flux) as sy, sum(w * h * flux) as shy, sum(w * flux * flux) as syy from h group by obj_id, band, t0, rise, fall),
-f as (select *, (s0 * shy - sh * sy) / (s0 * shh - sh * sh) as a from s where s0 * shh - sh * sh > 1e-9 * s0 * shh), k as (select *, (sy - a * sh) / s0 as b from f where a > 0), c as (select *, (syy - a * shy - b * sy) / greatest(n - 5, 1) as chi2 from k)
-select obj_id, band, round(min(chi2), 4) + 0.0 as reduced_chi2 from c group by obj_id, band""")
-def bazin_grid_fit(spark, d):
-    return lc.bazin_grid_fit(_bands(spark, d)).select("obj_id", "band", (F.round("reduced_chi2", 4) + F.lit(0.0)).alias("reduced_chi2"))
+f as (select *, (s0 * shy - sh * sy) / (s0 * shh - sh * sh) as a from s where s0 * shh - sh * sh > 1e-9 * s0 * shh), k as (select *, (sy - a * sh) / s0 as b from f where a > 0), c as (select *, (syy - a * shy - b * sy) / greatest(n - 5, 1) as chi2 from k),
+bz as (select obj_id, band, a as amplitude, b as baseline, t0 as reference_time, rise as rise_time, fall as fall_time, chi2 as reduced_chi2, fall / rise as fall_over_rise from (select *, row_number() over (partition by obj_id, band order by round(chi2, 6), t0, rise, fall) as best from c) where best = 1)"""
+_BAZIN_COLUMNS = ("amplitude", "baseline", "reference_time", "rise_time", "fall_time", "reduced_chi2", "fall_over_rise")
+_r4 = lambda c: f"round({c}, 4) + 0.0"
 
 
-@query("assemble_features")
+@query("bazin_grid_fit", f"{_BANDS}, {_BAZIN} select obj_id, band, " + ", ".join(f"{_r4(c)} as {c}" for c in _BAZIN_COLUMNS) + " from bz")
+def bazin_grid_fit(spark, d):
+    return lc.bazin_grid_fit(_bands(spark, d)).select("obj_id", "band", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in _BAZIN_COLUMNS))
+
+
+_SLOPE = _STATS["linear_fit_slope"]
+_DET = "(sum(1 / (d * d)) * sum(t * t / (d * d)) - pow(sum(t / (d * d)), 2))"
+_REST = "greatest(0, regr_syy(m, t) - pow(regr_sxy(m, t), 2) / regr_sxx(m, t))"
+#: All statistics of a band, in the order of lightcurve.band_features.
+_ALL_STATS = {
+    **{k: v for k, v in _STATS.items() if k not in ("chi2", "standard_deviation", "stetson_k")},
+    "linear_fit_slope_sigma": f"sqrt(sum(1 / (d * d)) / {_DET})",
+    "linear_fit_reduced_chi2": f"(sum(m * m / (d * d)) - {_SLOPE} * sum(t * m / (d * d)) - (sum(m / (d * d)) - {_SLOPE} * sum(t / (d * d))) / sum(1 / (d * d)) * sum(m / (d * d))) / (any_value(n) - 2)",
+    "linear_trend_sigma": f"sqrt({_REST} / (any_value(n) - 2) / regr_sxx(m, t))",
+    "chi2": _STATS["chi2"], "standard_deviation": _STATS["standard_deviation"], "stetson_k": _STATS["stetson_k"],
+}
+_COLOUR_STATS = ("n", "mean", "wmean", "std", "slope", "early", "late", "late_minus_early")
+
+
+def _feature_sql():
+    """The feature table in SQL: what the queries above return, side by side."""
+    good = "good as (select * from pre where obj_id in (select obj_id from pre group by obj_id having count(*) >= 8 and count(*) filter (where band = 0) >= 2 and count(*) filter (where band = 1) >= 2))"
+    bands = _STAT.replace("from pre)", "from good)")
+    views = [good, bands]
+    views.append("st as (select obj_id, band, " + ", ".join(f"{v} as {k}" for k, v in _ALL_STATS.items()) + " from x group by obj_id, band)")
+    views.append(f"y as (select *, 1 / (1 + 0.2316419::double * abs(z)) as u from x), fz as (select *, greatest(1e-12, least(1 - 1e-12, {_PHI})) as f from y)")
+    views.append("ad as (select obj_id, band, (-any_value(n) - sum((2 * i - 1) * ln(f) + (2 * (n - i) + 1) * ln(1 - f)) / any_value(n)) * (1 + 4.0::double / any_value(n) - 25.0::double / (any_value(n) * any_value(n))) as anderson_darling_normal from fz group by obj_id, band)")
+    views.append("gap as (select *, mjd - lag(mjd) over (partition by obj_id, band order by mjd) as gap, first_value(dt) over w as tp, first_value(logflux) over w as lp, last_value(logflux) over (partition by obj_id, band order by dt rows between unbounded preceding and unbounded following) as ll from bands window w as (partition by obj_id, band order by flux desc, dt))")
+    views.append("cad as (select obj_id, band, count(*) as n_obs, max(mjd) - min(mjd) as span, median(gap) as gap_median, max(gap) as gap_max, avg((1 / ln(10::double)) / greatest(logflux_err, 1e-6)) as snr_mean, min(tp) as t_peak, min(lp) as logflux_peak, min(ll) - min(lp) as logflux_last_minus_peak, avg((dt < tp)::int) as frac_obs_before_peak from gap group by obj_id, band)")
+    views.append(_BAZIN)
+    own = [*lc.CADENCE, *lc.PEAK]
+    b = [f"b{i} as (select cad.*, " + ", ".join(f"st.{k}" for k in _ALL_STATS) + ", anderson_darling_normal, " + ", ".join(f"bz.{k} as bazin_{k}" for k in _BAZIN_COLUMNS) + f" from cad left join st using (obj_id, band) left join ad using (obj_id, band) left join bz using (obj_id, band) where cad.band = {i})" for i in range(3)]
+    views += b
+    for name, (x, y) in {"g_r": (0, 1), "r_i": (1, 2)}.items():
+        pairs = _PAIR.format(t="good").replace("pairs as", f"{name}_p as").replace("a.band = 0", f"a.band = {x}").replace("b.band = 1", f"b.band = {y}").replace("(a.band = 1 and b.band = 0)", f"(a.band = {y} and b.band = {x})")
+        views.append(pairs)
+        views.append(f"{name}_h as (select *, min(dt) over (partition by obj_id) + (max(dt) over (partition by obj_id) - min(dt) over (partition by obj_id)) / 2 as half, 1 / pow(greatest(err, 1e-6), 2) as w from {name}_p)")
+        views.append(f"{name}_c as (select obj_id, count(*) as n, avg(colour) as mean, sum(w * colour) / sum(w) as wmean, case when count(*) > 1 then stddev_pop(colour) end as std, case when count(*) > 2 and max(dt) > min(dt) then regr_slope(colour, dt) end as slope, avg(colour) filter (where dt <= half) as early, avg(colour) filter (where dt > half) as late, avg(colour) filter (where dt > half) - avg(colour) filter (where dt <= half) as late_minus_early from {name}_h group by obj_id)")
+    views.append("totals as (select obj_id, count(*) as n_obs_total, count(distinct band) as n_bands, max(dt) as span_total from good group by obj_id)")
+    columns = ["totals.obj_id", "n_obs_total", "n_bands", f"{_r4('span_total')} as span_total"]
+    for i, letter in enumerate("gri"):
+        columns += [f"b{i}.{k} as {letter}_{k}" if k == "n_obs" else f"{_r4(f'b{i}.{k}')} as {letter}_{k}" for k in [*own, *_ALL_STATS, "anderson_darling_normal", *(f"bazin_{k}" for k in _BAZIN_COLUMNS)]]
+    for name in ("g_r", "r_i"):
+        columns += [f"{name}_c.{k} as {name}_{k}" if k == "n" else f"{_r4(f'{name}_c.{k}')} as {name}_{k}" for k in _COLOUR_STATS]
+    columns += [f"{_r4('b0.t_peak - b1.t_peak')} as gr_peak_dt", f"{_r4('b0.logflux_peak - b1.logflux_peak')} as gr_peak_logflux_ratio", f"{_r4('b0.n_obs / greatest(b1.n_obs, 1)::double')} as gr_n_ratio"]
+    return ",\n".join(views) + "\nselect " + ", ".join(columns) + " from totals left join b0 using (obj_id) left join b1 using (obj_id) left join b2 using (obj_id) left join g_r_c using (obj_id) left join r_i_c using (obj_id)"
+
+
+def features(spark, d):
+    """The feature table of the first 20 days. Detections are read, cut and written once; all parts start from there."""
+    return lc.assemble_features(io.stored(lc.quality_cut(_pre(spark, d)), "detections"))
+
+
+@query("assemble_features", _feature_sql())
 def assemble_features(spark, d):
-    return lc.assemble_features(lc.quality_cut(_pre(spark, d)))
+    f = features(spark, d)
+    return f.select(*((F.round(c, 4) + F.lit(0.0)).alias(c) if t == "double" else c for c, t in f.dtypes))

@@ -54,21 +54,23 @@ def stream_source_state(spark, d):
     return got.select("obj_id", "n", (F.round("span", 4) + F.lit(0.0)).alias("span"), r6("peak").alias("peak"), (F.round("recent_mean", 5) + F.lit(0.0)).alias("recent_mean"))
 
 
-@query("stream_late_detections")
+@query("stream_late_detections", """m as (select min(ts) + (max(ts) - min(ts)) / 2 as middle, max(ts) - interval 5 day as mark from events), x as (select ts >= middle or date_trunc('day', ts) + interval 1 day > mark as kept from events, m)
+select count(*) filter (where kept) as kept, count(*) filter (where not kept) as dropped from x""")
 def stream_late_detections(spark, d):
-    """The later half of the rows arrives first; of the earlier half what is older than the watermark is dropped, and counted."""
+    """The later half of the time arrives first; then, in the same stream, the earlier half, of which nights older than the watermark are dropped."""
     e, path = src.table(spark, d, "events"), scratch(spark, "late")
-    middle = e.agg(F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)").alias("m")).first()["m"]
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    e.where(micros >= middle).coalesce(1).write.parquet(f"{path}/a")
-    e.where(micros < middle).coalesce(1).write.parquet(f"{path}/b")
-    stream = jobs.arriving(spark, f"{path}/*", per_batch=1)
-    counts = stream.withWatermark("at", "5 days").groupBy(F.window("at", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("night"), "n")
+    first, last = e.agg(F.min(micros), F.max(micros)).first()
+    middle = first + (last - first) // 2 if first is not None else 0
     out = scratch(spark, "late-out")
-    q = counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
-    q.awaitTermination()
+    for part, rows in (("a", e.where(micros >= middle)), ("b", e.where(micros < middle))):
+        rows.write.parquet(f"{path}/{part}")
+        counts = jobs.arriving(spark, f"{path}/*").withWatermark("at", "5 days").groupBy(F.window("at", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("night"), "n")
+        # a batch that is run again replaces its own folder
+        batch = lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
     last = spark.read.parquet(out).groupBy("night").agg(F.max_by("n", "batch").alias("n"))
-    return last.agg(F.sum("n").alias("kept"), (F.lit(e.count()) - F.sum("n")).alias("dropped"))
+    return last.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept")).crossJoin(e.agg(F.count("*").alias("all"))).select("kept", (F.col("all") - F.col("kept")).alias("dropped"))  # one row each
 
 
 @query("stream_review_refit")
@@ -80,10 +82,12 @@ def stream_review_refit(spark, d):
     rows = _in(spark, d).select(F.col("event_id").alias("key"), F.col("event_type").alias("family"), F.coalesce("value", F.lit(0.0)).alias("score"), (F.col("user_id") % 3 == 0).cast("double").alias("y"))
 
     def nightly(batch, n):
+        # each batch has a folder of its own, which a batch that is run again replaces; it only looks at earlier ones
         new = batch.dropDuplicates(["key"])
         if n:
-            new = append_new(spark.read.parquet(store), new, "key")
-        new.write.mode("append").parquet(store)
+            earlier = spark.read.option("basePath", store).parquet(*(f"{store}/batch={k}" for k in range(n)))
+            new = append_new(earlier.drop("batch"), new, "key")
+        new.write.mode("overwrite").parquet(f"{store}/batch={n}")
 
     rows.writeStream.option("checkpointLocation", f"{store}-checkpoint").trigger(availableNow=True).foreachBatch(nightly).start().awaitTermination()
     kept = spark.read.parquet(store)

@@ -105,11 +105,12 @@ def scan_staged_crossmatch(spark, d):
     return src.positions(spark, d).join(staged, "obj_id", "left").select("obj_id", r6("ext").alias("ext"), r6(ph.null_if(F.col("r_kron"), -999.0)).alias("r_kron"))
 
 
-@query("sink_feature_table")
+@query("sink_feature_table", "select obj_id, h.horizon, count(*) as n_obs_total, count(distinct band) as n_bands, round(max(dt), 6) + 0.0 as span_total from phot join (values (5), (10), (20)) h(horizon) on dt <= h.horizon group by 1, 2")
 def sink_feature_table(spark, d):
     phot = _phot(spark, d)
     parts = [lc.global_cadence(lc.horizon_truncate(phot, h)).withColumn("horizon", F.lit(h)) for h in (5, 10, 20)]
-    return io.feature_sink(parts[0].unionByName(parts[1]).unionByName(parts[2]), io.scratch(spark, "features"))
+    kept = io.feature_sink(parts[0].unionByName(parts[1]).unionByName(parts[2]), io.scratch(spark, "features"))
+    return kept.withColumn("span_total", r6("span_total"))
 
 
 _UPS = "old as (select user_id as key, max(event_id) as v from events where event_id % 3 <> 0 group by 1), new as (select user_id as key, max(event_id) as v from events where event_id % 3 = 0 group by 1)"
@@ -150,13 +151,15 @@ def input_fingerprint(spark, d):
     return io.table_digest(e).select("n", F.col("digest").cast("string").alias("digest"))
 
 
-@query("manifest_check", "select event_type, count(*) as n, false as ok from events where event_type = 'view' group by 1")
+@query("manifest_check", "select event_type, count(*) as n, false as ok from events group by 1 having max(ts) >= (select date_trunc('day', max(ts)) from events)")
 def manifest_check(spark, d):
-    """Tables whose fingerprint differs from a manifest: one entry of it is made stale."""
+    """The entries of a manifest, written before the last day's rows came in, that the table no longer agrees with."""
     e = src.table(spark, d, "events")
-    found = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.crc32(F.col("event_id").cast("string"))).alias("digest"))
-    stated = found.select("event_type", F.when(F.col("event_type") == "view", F.col("digest") + 1).otherwise(F.col("digest")).alias("stated"))
-    both = found.join(stated, "event_type").withColumn("ok", F.col("digest") == F.col("stated"))
+    entries = lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.crc32(F.col("event_id").cast("string"))).alias("digest"))
+    today = e.agg(F.date_trunc("day", F.max("ts")).alias("today"))
+    stated = io.stored(entries(e.join(F.broadcast(today), F.col("ts") < F.col("today"))), "manifest")
+    both = entries(e).join(stated.select("event_type", F.col("n").alias("stated_n"), F.col("digest").alias("stated")), "event_type", "left")
+    both = both.withColumn("ok", F.coalesce((F.col("digest") == F.col("stated")) & (F.col("n") == F.col("stated_n")), F.lit(False)))
     return both.where("not ok").select("event_type", "n", "ok")
 
 
@@ -207,7 +210,7 @@ def intersect_known_unknown(spark, d):
     return src.table(spark, d, "customer").select(F.col("c_custkey").alias("id")).intersect(_seen(spark, d))
 
 
-_BOX = """bx as (select o.obj_id, c.src_id, c.ext, c.r_kron, c.n_det, 3600::double * sqrt(pow((c.ra - o.ra) * cos(radians(o.decl)), 2) + pow(c.decl - o.decl, 2)) as sep from pos o join cat c on abs(c.decl - o.decl) <= {h}::double / 3600 and abs(c.ra - o.ra) <= {h}::double / 3600 / greatest(cos(radians(o.decl)), 0.05) and c.n_det >= 3)"""
+_BOX = """bx as (select o.obj_id, c.src_id, c.ext, c.r_kron, c.n_det, 3600::double * sqrt(pow(((c.ra - o.ra + 540) % 360 - 180) * cos(radians(o.decl)), 2) + pow(c.decl - o.decl, 2)) as sep from pos o join cat c on abs(c.decl - o.decl) <= {h}::double / 3600 and abs((c.ra - o.ra + 540) % 360 - 180) <= least(180, {h}::double / 3600 / greatest(cos(radians(o.decl)), 1e-9)) and c.n_det >= 3)"""
 
 
 def _box(spark, d, half):
