@@ -64,11 +64,11 @@ def with_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in columns} | {c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in columns})
 
 
-def forest(df: DataFrame, columns: list[str], label: str = "truth", weight: str | None = None, trees: int = 12, depth: int = 4, seed: int = 7) -> PipelineModel:
+def forest(df: DataFrame, columns: list[str], label: str = "truth", weight: str | None = None, trees: int = 12, depth: int = 4, seed: int = 7, impute: bool = False) -> PipelineModel:
     learner = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probability", rawPredictionCol="rawPrediction")
     if weight:
         learner = learner.setWeightCol(weight)
-    return Pipeline(stages=[*prepared(columns), learner]).fit(df)
+    return Pipeline(stages=[*prepared(columns, impute), learner]).fit(df)
 
 
 def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -76,12 +76,12 @@ def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train_hierarchy(df: DataFrame, columns: list[str], rounds: int = 5) -> tuple[PipelineModel, PipelineModel]:
-    """Top level with classes 1 and 2 merged (weights by class), and a boosted branch between these two."""
+def train_hierarchy(df: DataFrame, columns: list[str], rounds: int = 5, impute: bool = False) -> tuple[PipelineModel, PipelineModel]:
+    """Top level with classes 1 and 2 merged (weights by class), and a boosted branch between these two. With impute, rows come from with_missing()."""
     top = class_weights(df.withColumn("top", F.when(F.col("truth") <= 1, F.col("truth")).when(F.col("truth") == 2, 1).otherwise(F.col("truth") - 1).cast("double")), "top")
     branch = df.where("truth in (1, 2)").withColumn("is_slsn", (F.col("truth") == 2).cast("double"))
     learner = GBTClassifier(labelCol="is_slsn", featuresCol="features", maxIter=rounds, maxDepth=3, seed=7)
-    return forest(top, columns, "top", "weight"), Pipeline(stages=[*prepared(columns), learner]).fit(branch)
+    return forest(top, columns, "top", "weight", impute=impute), Pipeline(stages=[*prepared(columns, impute), learner]).fit(branch)
 
 
 def predict_hierarchy(models: tuple[PipelineModel, PipelineModel], df: DataFrame) -> DataFrame:

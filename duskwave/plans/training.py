@@ -11,6 +11,7 @@ from ..operators import neighbours as nb
 from ..sources import adapters as src
 from ..sources import io
 from .base import query, r6
+from .curves import features
 from .scoring import average_precision
 from .tables import _ANCHOR, _future, _recent
 
@@ -58,6 +59,28 @@ def train_hierarchy(spark, d):
     return _named(models.predict_hierarchy(models.train_hierarchy(r.where("split = 'train'"), COLS), r.where("split <> 'train'")))
 
 
+@query("classify_features")
+def classify_features(spark, d):
+    """From light curves to sets: the feature table, the two-level model on its training objects, thresholds by class on the validation
+    objects, and for each test object the probabilities, the label and the set."""
+    f = io.stored(features(spark, d).join(src.scores(spark, d).select("obj_id", F.col("truth").cast("double").alias("truth"), "split"), "obj_id"), "features")
+    fit = f.where("split = 'train'")
+    # a column without any value in training tells trees nothing
+    seen = fit.agg(*(F.count(c).alias(c) for c in f.columns)).first()
+    columns = [c for c in f.columns if c not in ("obj_id", "truth", "split") and seen[c]]
+    rows = models.with_missing(f.withColumns({c: F.col(c).cast("double") for c in columns}), columns)
+    p = models.predict_hierarchy(models.train_hierarchy(rows.where("split = 'train'"), columns, impute=True), rows.where("split <> 'train'"))
+    p = io.stored(p.select("obj_id", F.col("truth").cast("int").alias("truth"), "split", "p"), "probabilities")
+    long = p.where("split = 'val'").select("obj_id", "truth", F.posexplode("p").alias("cls", "p"))
+    q = heads.calibrate(long.where("cls = truth").select("cls", (1 - F.col("p")).alias("s")), ["cls"])
+    limits = q.agg(F.map_from_entries(F.collect_list(F.struct("cls", "q"))).alias("limits"))
+    test = p.where("split = 'test'").join(F.broadcast(limits))  # one row
+    # a class without a threshold stays in every set
+    inside = F.filter(F.transform("p", lambda x, i: F.when(1 - x <= F.coalesce(F.try_element_at("limits", i), F.lit(1.0)), i)), lambda x: x.isNotNull())
+    label = F.element_at(F.array(*map(F.lit, heads.CLASSES)), F.array_position("p", F.array_max("p")).cast("int"))
+    return test.select("obj_id", *(r6(F.element_at("p", i + 1)).alias(f"p_{c.lower()}") for i, c in enumerate(heads.CLASSES)), label.alias("label"), inside.alias("set"))
+
+
 @query("train_five_class")
 def train_five_class(spark, d):
     """The flat model over five broad groups, with its sets at a fixed mass."""

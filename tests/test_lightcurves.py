@@ -1,10 +1,13 @@
 """Hand-made light curves: leaks, ties, schedules, gates and edges."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from duskwave.functions import photometry as ph
-from duskwave.operators import heads, models, neighbours, sky
+from duskwave.operators import heads, models, neighbours, ranking, sky
 from duskwave.operators import lightcurve as lc
 from duskwave.sources import io
 from duskwave.streaming import jobs
@@ -236,3 +239,28 @@ def test_the_future_changes_nothing(spark):
     a, b = (lc.assemble_features(lc.horizon_truncate(phot(spark, x), 12)).first().asDict() for x in (rows, other))
     assert a == b
     assert lc.nearest_time_pairs(lc.horizon_truncate(phot(spark, rows), 12)).count() == lc.nearest_time_pairs(lc.horizon_truncate(phot(spark, other), 12)).count()
+
+
+def test_box_matches_go_round_the_sky_and_over_the_poles(spark):
+    half = 25.5 / 3600
+    r = random.Random(12)
+    objects = [(i, ra, dec) for i, (ra, dec) in enumerate([(0.001, 10.0), (359.999, -35.0), (180.0, 88.5), (5.0, 89.99), (200.0, -89.999), (0.0, 0.0), (77.0, 90.0)])]
+    sources = []
+    for _, ra, dec in objects:
+        for _ in range(60):
+            d = max(-90.0, min(90.0, dec + r.uniform(-1.5, 1.5) * half))
+            sources.append((len(sources), (ra + r.uniform(-1.5, 1.5) * min(180, half / max(math.cos(math.radians(dec)), 1e-9))) % 360, d))
+    got = sky.box_crossmatch(spark.createDataFrame(objects, "obj_id int, ra double, decl double"), spark.createDataFrame(sources, "src_id int, ra double, decl double"), 25.5, ["src_id"])
+    want = set()
+    for i, ra, dec in objects:
+        dra = min(180, half / max(math.cos(math.radians(dec)), 1e-9))
+        want |= {(i, k) for k, s_ra, s_dec in sources if abs((s_ra - ra + 540) % 360 - 180) <= dra and abs(s_dec - dec) <= half}
+    rows = [(x["obj_id"], x["src_id"]) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and len({i for i, _ in want}) == len(objects)
+
+
+def test_ranks_of_a_value_that_many_rows_share(spark):
+    values = [0.5] * 200 + [r / 100 for r in range(50)] + [-3.0, 700.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(999, None)], "id int, v double")
+    got = {x["id"]: (x["rank"], x["all_rank"]) for x in ranking.average_ranks(df, "v", F.floor(F.col("v") * 4096)).collect()}
+    assert got == {i: (sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2, len(values)) for i, v in enumerate(values)}

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from duskwave.plans.base import sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"hyperparameter_search", "feature_ablation", "leave_one_class_out", "oof_predictions", "train_forecaster", "train_real_delta", "train_parameter_models", "round_selection_cv", "forecast_grid"}
+SLOW = {"hyperparameter_search", "feature_ablation", "leave_one_class_out", "oof_predictions", "train_forecaster", "train_real_delta", "train_parameter_models", "round_selection_cv", "forecast_grid", "classify_features"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="no tables here")
 
@@ -37,13 +38,44 @@ def plain(x):
 TOGETHER = set(curves._STAT_QUERIES)
 
 
+def adds_up(t):
+    return all(abs(sum(r[c] for c in r if re.fullmatch(r"p\d|p_[a-z_]+", c)) - 1) < 1e-4 for r in t.to_pylist())
+
+
+def rising(t, x, y):
+    pairs = sorted((r[x], r[y]) for r in t.to_pylist())
+    return all(a[1] <= b[1] + 1e-6 for a, b in zip(pairs, pairs[1:], strict=False))
+
+
+#: What must hold of the results of queries without SQL.
+INVARIANTS = {
+    "train_hierarchy": lambda t: adds_up(t) and t.num_rows > 0,
+    "oof_predictions": lambda t: adds_up(t) and len(set(t["obj_id"].to_pylist())) == t.num_rows,
+    "classify_features": adds_up,
+    "train_five_class": lambda t: all(0 <= c <= 4 for c in t["cls"].to_pylist()),
+    "balanced_logistic": lambda t: all(0 <= p <= 1 for p in t["p"].to_pylist()) and t.num_rows > 0,
+    "review_combiner_fit": lambda t: all(0 <= p <= 1 for p in t["p"].to_pylist()),
+    "isotonic_calibration": lambda t: rising(t, "score", "calibrated") and t.num_rows > 0,
+    "top_features_by_gain": lambda t: t.num_rows == 64 and abs(sum(t["gain"].to_pylist()) - 1) < 1e-6,
+    "feature_ablation": lambda t: sorted(t["columns"].to_pylist()) == [2, 4, 8, 64] and all(0 <= a <= 1 for a in t["accuracy"].to_pylist()),
+    "leave_one_class_out": lambda t: t.num_rows == 6 and all(0 <= r[c] <= 1 for r in t.to_pylist() for c in ("energy_auroc", "distance_auroc")),
+    "round_selection_cv": lambda t: sorted(t["fold"].to_pylist()) == list(range(5)) and all(1 <= r <= 6 for r in t["rounds"].to_pylist()),
+    "hyperparameter_search": lambda t: t.num_rows == 3 and all(abs(r["score"] - (r["f1"] + r["auprc"]) / 2) < 1e-5 for r in t.to_pylist()),
+    "train_forecaster": lambda t: all(r["lo"] is None or r["lo"] <= r["hi"] for r in t.to_pylist()),
+    "forecast_grid": lambda t: all(r["lo95"] <= r["lo68"] <= r["mag"] <= r["hi68"] <= r["hi95"] for r in t.to_pylist()),
+    "train_parameter_models": lambda t: set(t["parameter"].to_pylist()) == {"t0", "mb"} and all(h >= 0 for h in t["half_width"].to_pylist()),
+    "stream_review_refit": lambda t: sum(t["n"].to_pylist()) > 0 and len(set(t["weight"].to_pylist())) == 1,
+    "recall_at_k": lambda t: all(0.9 <= v <= 1 for c in t.schema.names if "recall" in c for v in t[c].to_pylist()),
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - (set() if os.environ.get("ALL_QUERIES") else TOGETHER - {"stat_skew"})))
 def test_query(spark, duck, name):
     if name in SLOW and not os.environ.get("ALL_QUERIES"):
         pytest.skip("trains several models; set ALL_QUERIES to run it")
     got = registry.QUERIES[name](spark, SF).toArrow()
     if name not in registry.ORACLE_SQL:
-        assert got.num_rows >= 0 and got.schema.names
+        assert got.schema.names and INVARIANTS.get(name, lambda t: t.num_rows > 0)(got)
         return
     want = duck.sql(registry.ORACLE_SQL[name]).to_arrow_table()
     names = sorted(got.schema.names)
