@@ -193,7 +193,7 @@ def test_main_text(spark):
     assert got[200] == got[201] == "" and got[203] == "text é only" and got[None] == "deep" and got[204] == "a"
     assert got[202] == "open bold\nnext line\nx < y"
     assert got[304] == "Own words 4" and got[400] == "Only here 0" and got[401] == "Only here 1"
-    assert got[500] == "Start\nA host with one page" and got[501].count("<a") == 299999 and got[502] == "deep"
+    assert got[500] == "Start\nA host with one page" and got[501] == "end" and got[502] == "deep"  # a tag that is never closed ends with the next one
     joined = {r["page_id"]: r["text"] for r in htmlmain.main_text(frame, most_broadcast=0).collect()}
     assert joined == got
     counted = {r["page_id"]: (r["n_template"], r["text"]) for r in htmlmain.main_text(frame, kinds=False).collect()}
