@@ -204,19 +204,28 @@ def neighbour_enrichment(spark, d):
     return k.groupBy("truth").agg(F.count("*").alias("n"), r6(F.avg((F.col("truth") == F.col("a_truth")).cast("double"))).alias("same"))
 
 
+def _indexed(spark, d):
+    """The test rows, and every row."""
+    asked, _ = _sides(spark, d)
+    return asked, src.scores(spark, d).select(F.col("obj_id").alias("id"), F.col("emb").alias("v"))
+
+
 @query("ivf_search")
 def ivf_search(spark, d):
-    return nb.ivf_search(*_sides(spark, d))
+    asked, every = _indexed(spark, d)
+    return nb.ivf_search(asked, nb.cell_index(every))
 
 
 @query("recall_at_k")
 def recall_at_k(spark, d):
-    """Share of the exact five neighbours that the cell search finds."""
-    asked, archive = _sides(spark, d)
-    exact = nb.knn_all(asked, archive, metric="euclidean").groupBy("q_id").agg(F.collect_set("a_id").alias("e"))
-    found = nb.ivf_search(asked, archive).groupBy("q_id").agg(F.collect_set("a_id").alias("f"))
+    """Share of the exact five neighbours among all rows that the cell search finds, with its number of cells and those that a query looks at."""
+    asked, every = _indexed(spark, d)
+    index = nb.cell_index(every)
+    exact = nb.knn_all(asked, every, metric="euclidean").groupBy("q_id").agg(F.collect_set("a_id").alias("e"))
+    found = nb.ivf_search(asked, index).groupBy("q_id").agg(F.collect_set("a_id").alias("f"))
     hit = F.size(F.array_intersect("e", F.coalesce("f", F.array().cast("array<bigint>")))) / F.size("e")
-    return exact.join(found, "q_id", "left").agg(F.count("*").alias("n"), r6(F.avg(hit)).alias("recall"))
+    n = exact.join(found, "q_id", "left").agg(F.count("*").alias("n"), r6(F.avg(hit)).alias("recall"))
+    return n.withColumns({"cells": F.lit(len(index.centres)), "probes": F.lit(index.probes)})
 
 
 @query("pca_map")

@@ -181,6 +181,25 @@ def test_neighbours_in_groups_with_null_vectors(spark):
     assert neighbours.knn_all(d.where("id = 1"), d).count() == 0
 
 
+def test_cell_search(spark):
+    import random
+
+    r = random.Random(8)
+    d = spark.createDataFrame([(i, None if i % 50 == 7 else [r.gauss(c, 0.2) for c in (i % 3, i % 5, i % 7)]) for i in range(400)], "id long, v array<double>").repartition(3)
+    asked = d.where("id % 9 = 0")
+    rows = lambda x: sorted(map(tuple, x.select("q_id", "a_id", "dist", "place").collect()))
+    exact = rows(neighbours.knn(asked, d, 4, "euclidean"))
+    index = neighbours.cell_index(d, k=4)
+    assert index.rows.count() == 392 and 16 <= len(index.centres) <= 20 and index.probes < len(index.centres)
+    found = rows(neighbours.ivf_search(asked, index, 4))
+    assert len(set(found) & set(exact)) >= 0.9 * len(exact)
+    # all cells: the exact neighbours, whatever the size of a group of queries or of a block
+    assert rows(neighbours.ivf_search(asked, index._replace(probes=len(index.centres)), 4, most_queries=11, block=64)) == exact
+    assert neighbours.ivf_search(asked.where("id < 0"), index).count() == 0
+    assert neighbours.ivf_search(asked, neighbours.cell_index(d.where("id < 0"))).count() == 0
+    assert rows(neighbours.ivf_search(d.where("id < 3"), neighbours.cell_index(d.where("id < 3")), 4)) == rows(neighbours.knn(d.where("id < 3"), d.where("id < 3"), 4, "euclidean"))
+
+
 def test_survey_lists_are_read_whole_by_type_or_by_padded_ids(spark):
     from duskwave.plans import registry, tables
     from duskwave.sources import io
