@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,38 @@ def last_reached(asked: DataFrame, steps: DataFrame, by: list[str], value: Colum
     inside = Window.partitionBy(*by, "__b").orderBy("__v", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn(step, F.last(step, ignorenulls=True).over(inside)).where(F.col("__row").isNotNull()).join(first, [*by, "__b"])
     return found.select("__row.*", F.coalesce(step, F.col(f"__first.{step}")).alias(step))
+
+
+#: Replicates of a bootstrap.
+REPLICATES = 2000
+
+
+def hashed(*parts: Column | str) -> Column:
+    """The first 32 bits of the md5 of the parts, joined by slashes."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def poisson_steps() -> list[int]:
+    """Where the Poisson(1) weight of a 32-bit hash rises by one."""
+    total, out = 0.0, []
+    for k in range(13):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(round(total * 2**32))
+    return [x for x in out if x < 2**32]
+
+
+def replicated(df: DataFrame, n: int = REPLICATES) -> DataFrame:
+    """Every row of df once for each replicate rep from 0; rows are dealt out first, so that a small table's replicates are not one task's work."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def poisson_bootstrap(df: DataFrame, key: str, values: list[str], n: int = REPLICATES) -> DataFrame:
+    """rep and the mean of each value in n resamples of the rows: each row counts as often as a Poisson(1) draw from the hash of replicate and key.
+
+    A row's draws need no other row, so nothing is joined, and sums by replicate are folded before anything moves: n rows a task. Means of a
+    replicate that draws no row are NULL.
+    """
+    drawn = replicated(df.select(*values, key), n).withColumn("__h", hashed("rep", key))
+    drawn = drawn.withColumn("__w", sum(((F.col("__h") >= t).cast("int") for t in poisson_steps()), F.lit(0)))
+    return drawn.groupBy("rep").agg(*((F.sum(F.col("__w") * F.col(v)) / F.nullif(F.sum("__w"), F.lit(0))).alias(v) for v in values))

@@ -60,17 +60,14 @@ def grouped_interval_calibration(spark, d):
 
 
 @query("paired_bootstrap", f"""{_ERR}, {_RECENT}, m as (select fu.obj_id, avg(abs(target - anchor)) as a, avg(abs(target - anchor - coalesce(greatest(-0.2, least(0.2, slope)), 0) * (fu.day - 10))) as b from fu left join rec on fu.obj_id = rec.obj_id and fu.band = rec.band group by fu.obj_id),
-num as (select a, b, row_number() over (order by obj_id) - 1 as i, count(*) over () as n from m), pick as (select rep, ('0x' || substr(md5(rep || '/' || i), 1, 8))::bigint % n as j from num, (select unnest(generate_series(0, 49)) as rep)),
-s as (select rep, avg(a - b) as gain from pick join num on num.i = pick.j group by rep) select round(avg(gain), 5) + 0.0 as gain, round(quantile_cont(gain, 0.025), 5) + 0.0 as lo, round(quantile_cont(gain, 0.975), 5) + 0.0 as hi from s""")
-def paired_bootstrap(spark, d):
-    """Objects resampled jointly for two methods, by hash."""
+pick as (select a - b as gain, rep, ('0x' || substr(md5(rep || '/' || obj_id), 1, 8))::bigint as h from m, (select unnest(generate_series(0, {ranking.REPLICATES - 1})) as rep)),
+w as (select rep, gain, {" + ".join(f"(h >= {t})::int" for t in ranking.poisson_steps())} as w from pick), s as (select rep, sum(w * gain) / nullif(sum(w), 0) as gain from w group by rep) select round(avg(gain), 5) + 0.0 as gain, round(quantile_cont(gain, 0.025), 5) + 0.0 as lo, round(quantile_cont(gain, 0.975), 5) + 0.0 as hi from s""")
+def paired_bootstrap(spark, d, n=ranking.REPLICATES):
+    """Objects resampled jointly for two methods: an object's weight in a replicate is a Poisson draw from the hash of both."""
     f = _future(spark, d).join(_recent(spark, d).select("obj_id", "band", "slope"), ["obj_id", "band"], "left")
     slope = F.coalesce(F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("slope"))), F.lit(0.0))
     m = f.groupBy("obj_id").agg(F.avg(F.abs(F.col("target") - F.col("anchor"))).alias("a"), F.avg(F.abs(F.col("target") - F.col("anchor") - slope * (F.col("day") - 10))).alias("b"))
-    num = ranking.places(m, [], ["obj_id"], F.floor(F.col("obj_id") / 1024)).select("a", "b", (F.col("place") - 1).alias("i"), F.col("all_place").alias("n"))
-    pick = num.select("n", "i", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("rep"))
-    pick = pick.select("rep", (F.conv(F.substring(F.md5(F.concat_ws("/", "rep", "i")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("j"))
-    s = pick.join(num.select(F.col("i").cast("long").alias("j"), "a", "b"), "j").groupBy("rep").agg(F.avg(F.col("a") - F.col("b")).alias("gain"))
+    s = ranking.poisson_bootstrap(m.withColumn("gain", F.col("a") - F.col("b")), "obj_id", ["gain"], n)
     r5 = lambda c: F.round(c, 5) + F.lit(0.0)
     return s.agg(r5(F.avg("gain")).alias("gain"), r5(F.percentile("gain", F.lit(0.025))).alias("lo"), r5(F.percentile("gain", F.lit(0.975))).alias("hi"))
 

@@ -448,20 +448,18 @@ def tpr_at_far(spark, d):
     return e.where("novel").agg(r6(F.avg((F.col("e") > F.lit(t)).cast("double"))).alias("tpr"))
 
 
-_BOOT = f"""{_PRED}, num as (select truth, (truth = cls)::int as ok, row_number() over (partition by truth order by obj_id) - 1 as i, count(*) over (partition by truth) as n from pred),
-pick as (select rep, num.truth, (('0x' || substr(md5(rep || '/' || num.truth || '/' || num.i), 1, 8))::bigint % num.n) as j from num, (select unnest(generate_series(0, 49)) as rep)),
-b as (select rep, avg(num.ok) as acc from pick join num on num.truth = pick.truth and num.i = pick.j group by rep)"""
+_BOOT = f"""{_PRED}, num as (select truth, row_number() over (partition by truth order by obj_id) - 1 as i, count(*) over (partition by truth) as n, sum((truth = cls)::int) over (partition by truth) as hits from pred),
+b as (select rep, avg(((('0x' || substr(md5(rep || '/' || truth || '/' || i), 1, 8))::bigint % n) < hits)::int) as acc from num, (select unnest(generate_series(0, {ranking.REPLICATES - 1})) as rep) group by rep)"""
 
 
 @query("bootstrap_ci", f"{_BOOT} select round(avg(acc), 6) + 0.0 as mean, round(quantile_cont(acc, 0.025), 6) + 0.0 as lo, round(quantile_cont(acc, 0.975), 6) + 0.0 as hi from b")
-def bootstrap_ci(spark, d):
-    """Stratified resampling by hash: each replicate's slot names a row number of its class."""
-    num = ranking.places(_pred(spark, d).select("obj_id", "truth", (F.col("truth") == F.col("cls")).cast("int").alias("ok")), ["truth"], ["obj_id"], F.floor(F.col("obj_id") / 1024))
-    num = num.select("truth", "ok", (F.col("place") - 1).alias("i"), F.col("all_place").alias("n"))
-    pick = num.select("truth", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("rep"))
-    j = F.conv(F.substring(F.md5(F.concat_ws("/", "rep", "truth", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    got = pick.select("rep", "truth", j.alias("j")).join(num.select("truth", F.col("i").cast("long").alias("j"), "ok"), ["truth", "j"])
-    b = got.groupBy("rep").agg(F.avg("ok").alias("acc"))
+def bootstrap_ci(spark, d, n=ranking.REPLICATES):
+    """Stratified resampling by hash: each replicate draws as many rows of a class as it has. Rows of a class only differ in being right or
+    wrong, so they stand in that order and a drawn place says which: nothing is joined but the counts of the classes."""
+    p = _pred(spark, d).select("obj_id", "truth", (F.col("truth") == F.col("cls")).cast("int").alias("ok"))
+    num = ranking.places(p, ["truth"], ["obj_id"], F.floor(F.col("obj_id") / 1024)).select("truth", (F.col("place") - 1).alias("i"), F.col("all_place").alias("n"))
+    hits = p.groupBy("truth").agg(F.sum("ok").alias("hits"))
+    b = ranking.replicated(num.join(F.broadcast(hits), "truth"), n).groupBy("rep").agg(F.avg((ranking.hashed("rep", "truth", "i") % F.col("n") < F.col("hits")).cast("int")).alias("acc"))
     return b.agg(r6(F.avg("acc")).alias("mean"), r6(F.percentile("acc", F.lit(0.025))).alias("lo"), r6(F.percentile("acc", F.lit(0.975))).alias("hi"))
 
 

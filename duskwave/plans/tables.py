@@ -79,10 +79,11 @@ def _survey_counts(rows):
     return rows.groupBy("obj_id").agg(F.count("*").alias("n"), F.count_if(F.col("photflag").bitwiseAND(4096) > 0).alias("detected"))
 
 
-@query("explode_survey_lists", "select obj_id, count(*) as n, count(*) filter (where fid = 1) as detected from det where mag is not null and obj_id < 100 group by obj_id")
+@query("explode_survey_lists", "select obj_id, count(*) as n, count(*) filter (where fid = 1) as detected from det where mag is not null and obj_id in (select c_custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY')) group by obj_id")
 def explode_survey_lists(spark, d):
-    """The fixed ids of the SQL, found by a table of padded ids. explode_all_survey_lists has every object."""
-    ids = src.positions(spark, d).where("obj_id < 100").select(F.rpad(F.col("obj_id").cast("string"), 12, " ").alias("snid"))
+    """The objects named in a table of padded ids, which grows with the data. explode_all_survey_lists has every object."""
+    wanted = src.table(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    ids = wanted.select(F.rpad(F.col("c_custkey").cast("string"), 12, " ").alias("snid"))
     return _survey_counts(io.read_survey_lists(spark, _survey_lists(spark, d), ids))
 
 

@@ -181,6 +181,31 @@ def test_neighbours_in_groups_with_null_vectors(spark):
     assert neighbours.knn_all(d.where("id = 1"), d).count() == 0
 
 
+def test_poisson_bootstrap(spark):
+    import hashlib
+    import random
+
+    from duskwave.operators import ranking
+
+    steps = ranking.poisson_steps()
+    share = [b - a for a, b in zip([0, *steps], steps, strict=False)]
+    assert all(abs(s / 2**32 - math.exp(-1) / math.factorial(k)) < 1e-9 for k, s in enumerate(share))
+    r = random.Random(3)
+    v = {i: r.gauss(5, 2) for i in range(200)}
+    got = {x["rep"]: x["v"] for x in ranking.poisson_bootstrap(spark.createDataFrame(list(v.items()), "id long, v double"), "id", ["v"], 400).collect()}
+    weight = lambda rep, i: sum(int(hashlib.md5(f"{rep}/{i}".encode()).hexdigest()[:8], 16) >= t for t in steps)
+    for rep in (0, 7, 399):
+        w = {i: weight(rep, i) for i in v}
+        assert abs(got[rep] - sum(w[i] * v[i] for i in v) / sum(w.values())) < 1e-9
+    mean = sum(v.values()) / 200
+    error = (sum((x - mean) ** 2 for x in v.values()) / 200) ** 0.5 / 200**0.5
+    spread = (sum((x - mean) ** 2 for x in got.values()) / 400) ** 0.5
+    assert len(got) == 400 and 0.85 < spread / error < 1.15
+    # a replicate may draw no row of a tiny table
+    tiny = [x["v"] for x in ranking.poisson_bootstrap(spark.createDataFrame([(1, 2.0)], "id long, v double"), "id", ["v"], 50).collect()]
+    assert set(tiny) == {2.0, None}
+
+
 def test_cell_search(spark):
     import random
 
