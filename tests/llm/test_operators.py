@@ -317,17 +317,31 @@ def brute_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def test_near_duplicates(spark):
+def brute_print(text, which):
+    """The fingerprint of this number, bit by bit."""
+    w = text.lower().split() if text else []
+    found = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    for _ in range(2 if which else 0):
+        found = [((h + which) * 0x9E3779B97F4A7C15) % 2**64 for h in found]
+        found = [h ^ (h >> 32) for h in found]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+
+
+@pytest.mark.parametrize("prints", [1, 4])
+def test_near_duplicates(spark, prints):
     texts = [prose(i, 80) for i in range(30)]
-    for i in range(12):
+    for i in range(24):
         w = texts[i % 3].split()
-        w[40] = f"edit{i}"
+        for k in range(1 + i // 6):
+            w[(40 + 17 * k + i) % 80] = f"edit{i}"
         texts.append(" ".join(w))
     texts += [None, "", " \t", "One two", "one TWO", texts[5], texts[5], "word " * 20000]
     ids = [1000 - i for i in range(len(texts))]
     ids[7] = ids[8] = None
     docs = documents(spark, texts, ids=ids)
     fps = [brute_fingerprint(t) for t in texts]
+    every = [[brute_print(t, k) for k in range(prints)] for t in texts]
+    assert [f[0] for f in every] == fps
     root = list(range(len(texts)))
 
     def find(x):
@@ -337,18 +351,19 @@ def test_near_duplicates(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(every[i], every[j], strict=True)):
                 root[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     want = Counter((d, fps[i] - (1 << 64) if fps[i] >> 63 else fps[i], least.get(find(i))) for i, d in enumerate(ids))
-    got = simhash.near_duplicates(docs)
+    got = simhash.near_duplicates(docs, prints=prints)
     assert Counter((r["doc_id"], r["fp"], r["component_id"]) for r in got.collect()) == want
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, prints)
     assert kept.columns == docs.columns and kept.count() == len({find(i) for i in range(len(texts))})
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+    none = docs.limit(0)
+    assert simhash.near_duplicates(none, prints=prints).count() == 0 and simhash.keep_one(none, prints).count() == 0
 
 
 @pytest.mark.parametrize("most", [4096, 20])

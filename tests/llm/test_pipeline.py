@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path):
         if k == 0:
             assert {r["doc_id"] for r in seen.select("doc_id").collect()} - {r["doc_id"] for r in out.select("doc_id").collect()} == {60 + i for i, t in enumerate(ODD) if not any(c.isalpha() for c in t or "")}
         if k == 1:
-            named = simhash.near_duplicates(seen)
+            named = simhash.near_duplicates(seen, prints=simhash.PRINTS)
             assert {r["doc_id"] for r in out.collect()} == {r["component_id"] for r in named.collect()}
         if k == 2:
             left = {r["doc_id"] for r in out.collect()}
