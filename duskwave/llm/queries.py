@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, linededup, media, mixing, secrets, sharding, simhash, warc
+from . import decontam, htmlmain, langid, linededup, media, mixing, secrets, sharding, simhash, warc, weighted
 from .common import stored, table
 
 
@@ -63,6 +63,11 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weighted.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_line_dedup": line_dedup,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup,
     "op9_balanced_sharding": balanced_sharding,
     "op10_secret_scan": secret_scan,
+    "op11_weighted_fingerprints": weighted_fingerprints,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
