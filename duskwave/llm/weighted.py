@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,18 @@ from .common import arrow_map, schema_of, ship, text_slices, with_text
 SAMPLES = 128
 #: Hexadecimal digits of a sample in a fingerprint.
 DIGITS = 8
+HALF = np.float32(0.5)
 #: A-Z to a-z; what is neither a digit nor a letter nor beyond ASCII to a space.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
 
+def normal(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(NORMAL) if text else b""
+
+
 def word_counts(text: str | None) -> Counter[bytes]:
     """Words (runs of digits, letters and characters beyond ASCII, A-Z in lower case) and how often each occurs."""
-    return Counter(text.encode("utf-8", "surrogatepass").translate(NORMAL).split() if text else ())
+    return Counter(normal(text).split())
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -48,50 +54,76 @@ class Sampler:
     """Fingerprints of weighted bags; holds the costs of at most `most` pairs of word and weight (0.5 KB each at 128 samples)."""
 
     def __init__(self, samples: int = SAMPLES, most: int = 1 << 17, at_once: int = 4096):
-        self.samples, self.most, self.at_once = samples, max(most, at_once), at_once
-        self.place: dict[tuple[bytes, float], int] = {}
-        self.held = np.empty((0, samples), np.float32)
+        self.samples, self.most, self.at_once = samples, max(most, 2 * at_once), at_once
+        self.place: dict[bytes, int] = {}
+        self.held, self.used = np.empty((0, samples), np.float32), np.zeros(self.most, bool)
 
     def costs(self, words: list[bytes], weights: list[float]) -> np.ndarray:
-        """The cost of each word at its weight, for every sample."""
+        """The cost of each word at its weight, for every sample. Three hashes: two halves for r, two for c, one for b."""
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
         low, high = ((h >> np.uint64(bits)).astype(np.uint32)[:, None] for bits in (0, 32))
-        seeds = (scrambled(low + np.arange(5, dtype=np.uint32) * np.uint32(0x85157AF5)) ^ high)[:, :, None]
-        steps = np.arange(1, self.samples + 1, dtype=np.uint32) * np.uint32(0x9E3779B9)
-        u = (scrambled(seeds + steps) >> np.uint32(8)).astype(np.float32)
-        u = (u + np.float32(0.5)) * np.float32(2.0**-24)
-        r, c, b = -np.log(u[:, 0] * u[:, 1]), -np.log(u[:, 2] * u[:, 3]), u[:, 4]
-        s = np.log(np.array(weights)).astype(np.float32)[:, None]
-        return np.log(c) - r * (np.floor(s / r + b) - b) - r
-
-    def places(self, pairs: list[tuple[bytes, float]]) -> list[int]:
-        """Where the costs of up to at_once pairs stand; those of all others may go to make room."""
-        found = [*map(self.place.get, pairs)]
-        if None not in found:
-            return found
-        new = [p for p, at in zip(pairs, found, strict=True) if at is None]
-        if len(self.place) + len(new) > self.most:
-            self.place, new = {}, pairs
-        first, room = len(self.place), len(self.held)
-        if first + len(new) > room:
-            self.held = np.concatenate((self.held, np.empty((min(self.most, max(2 * room, first + len(new), self.at_once)) - room, self.samples), np.float32)))
-        self.place.update(zip(new, range(first, first + len(new)), strict=True))
-        for at in range(0, len(new), 128):
-            some = new[at : at + 128]
-            self.held[first + at : first + at + len(some)] = self.costs([w for w, _ in some], [s for _, s in some])
-        return [*map(self.place.__getitem__, pairs)]
+        seeds = (scrambled(low + np.arange(3, dtype=np.uint32) * np.uint32(0x85157AF5)) ^ high)[:, :, None]
+        x = scrambled(seeds + np.arange(1, self.samples + 1, dtype=np.uint32) * np.uint32(0x9E3779B9))
+        two = ((x[:, :2] & np.uint32(0xFFFF)).astype(np.float32) + HALF) * ((x[:, :2] >> np.uint32(16)).astype(np.float32) + HALF)
+        gamma = -np.log(two * np.float32(2.0**-32))
+        r, b = gamma[:, 0], ((x[:, 2] >> np.uint32(8)).astype(np.float32) + HALF) * np.float32(2.0**-24)
+        cost = np.log(gamma[:, 1]) - r
+        some = [i for i, s in enumerate(weights) if s != 1]  # the level of weight 1 is 0
+        s = np.log(np.array([weights[i] for i in some], np.float32))[:, None]
+        level = np.floor(s / r[some] + b[some])
+        b[some] -= level
+        return cost + r * b
+
+    def places(self, words: list[bytes], weights: list[float]) -> np.ndarray:
+        """Where the costs of up to at_once words at their weights stand; those of all others may go to make room."""
+        keys = [w if s == 1 else b"%b %r" % (w, s) for w, s in zip(words, weights, strict=True)]
+        found = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(self.place) + (found < 0).sum() > self.most:
+            self.make_room()
+            found = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0).tolist()
+        self.used[found[found >= 0]] = True
+        if new:
+            first, room = len(self.place), len(self.held)
+            if first + len(new) > room:
+                self.held = np.concatenate((self.held, np.empty((min(self.most, max(2 * room, first + len(new), self.at_once)) - room, self.samples), np.float32)))
+            for k, i in enumerate(new):
+                self.place[keys[i]] = first + k
+            for at in range(0, len(new), 128):
+                some = new[at : at + 128]
+                self.held[first + at : first + at + len(some)] = self.costs([words[i] for i in some], [weights[i] for i in some])
+            found[new] = np.arange(first, first + len(new))
+        return found
+
+    def make_room(self) -> None:
+        """Forgets what was not asked for again since the last time; everything if that leaves more than half."""
+        names, keep = list(self.place), np.flatnonzero(self.used[: len(self.place)])
+        keep = keep if 2 * len(keep) <= self.most - self.at_once else keep[:0]
+        self.place = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.held[: len(keep)] = self.held[keep]
+        self.used[:] = False
 
     def sample(self, weights: Mapping[bytes, float]) -> np.ndarray:
         """The least cost of each sample; infinite for an empty bag. Weights are positive."""
-        best, pairs = np.full(self.samples, np.inf, np.float32), list(weights.items())
-        for at in range(0, len(pairs), self.at_once):
-            own = self.places(pairs[at : at + self.at_once])
+        best, words, sizes = np.full(self.samples, np.inf, np.float32), list(weights), list(weights.values())
+        for at in range(0, len(words), self.at_once):
+            own = self.places(words[at : at + self.at_once], sizes[at : at + self.at_once])
             np.minimum(best, self.held[own].min(axis=0), out=best)
         return best
 
     def fingerprint(self, text: str | None) -> np.ndarray:
         return self.sample(word_counts(text))
 
+    def fingerprints_of_edit(self, text: str, cut: int, end: str) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of text, and of text with `end` in place of its last `cut` code points; words that weigh the same in both are looked up once."""
+        head = normal(text[: len(text) - cut])
+        whole, begun = head[: (at := head.rfind(b" ") + 1)], head[at:]
+        both, old, new = Counter(whole.split()), Counter((begun + normal(text[len(text) - cut :])).split()), Counter((begun + normal(end)).split())
+        changed = old.keys() | new.keys()
+        same = self.sample({w: n for w, n in both.items() if w not in changed})
+        own, other = (self.sample({w: n for w in changed if (n := both[w] + x[w])}) for x in (old, new))
+        return np.minimum(same, own), np.minimum(same, other)
+
 
 def written(costs: np.ndarray) -> str:
     """A fingerprint as text: the bits of each sample as DIGITS hexadecimal digits."""
@@ -162,24 +194,33 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, held = Sampler(samples), None
+        # a row waits for the text of its follower, and then for the follower's fingerprint
+        sampler, held, done = Sampler(samples), None, None
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 out: list[tuple] = []
                 ids: list[pa.Array] = []
-                for i, (t, stretch, ahead) in enumerate(zip(batch.column("text").to_pylist(), batch.column("stretch").to_pylist(), batch.column("ahead").to_pylist(), strict=True)):
-                    costs = sampler.fingerprint(t)
-                    if held is not None and held[1] == stretch:
-                        own_id, _, own, mine = held
-                        cut = len(own) // share
-                        changed = own[: len(own) - cut] + t[:cut]
-                        other = sampler.fingerprint(changed)
-                        out.append((len(own), changed, written(mine), written(other), float((mine == other).mean()), float((mine == costs).mean())))
-                        ids.append(own_id)
-                    held = None if ahead else (batch.column("doc_id").slice(i, 1), stretch, t, costs)
+
+                def finish(following: np.ndarray) -> None:
+                    own_id, size, changed, own, other = done  # noqa: B023
+                    ids.append(own_id)  # noqa: B023
+                    out.append((size, changed, written(own), written(other), float((own == other).mean()), float((own == following).mean())))  # noqa: B023
+
+                for i, (t, ahead) in enumerate(zip(batch.column("text").to_pylist(), batch.column("ahead").to_pylist(), strict=True)):
+                    if held is not None:
+                        own_id, text_ = held
+                        cut = len(text_) // share
+                        own, other = sampler.fingerprints_of_edit(text_, cut, t[:cut])
+                        if done is not None:
+                            finish(own)
+                        done = (own_id, len(text_), text_[: len(text_) - cut] + t[:cut], own, other)
+                    if ahead and done is not None:
+                        finish(sampler.fingerprint(t))
+                        done = None
+                    held = None if ahead else (batch.column("doc_id").slice(i, 1), t)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True))], names)
 
     ship(spark)
-    found = dealt.select("doc_id", "text", "stretch", "ahead")
+    found = dealt.select("doc_id", "text", "ahead")
     return found.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
