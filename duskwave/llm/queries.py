@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, linededup, media, mixing, secrets, sharding, simhash, warc, weighted
+from . import decontam, htmlmain, langid, linededup, media, mixing, phrases, ranked, secrets, sharding, simhash, warc, weighted
 from .common import stored, table
 
 
@@ -68,6 +68,14 @@ def weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_line_dedup": line_dedup,
@@ -80,10 +88,13 @@ QUERIES = {
     "op9_balanced_sharding": balanced_sharding,
     "op10_secret_scan": secret_scan,
     "op11_weighted_fingerprints": weighted_fingerprints,
+    "op12_phrase_mining": phrase_mining,
+    "op13_ranked_search": ranked_search,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+')"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{40}}\\x{{5B}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+')"
 
 ORACLE_SQL = {
     "op2_line_dedup": f"""
@@ -119,4 +130,29 @@ select page_id, strlen(html)::bigint as payload_bytes,
   array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || sha[(i // 4) * 5 + 1 : (i // 4) * 5 + 5])::bigint >> (15 - 5 * (i % 4))) & 31) + 1]), '') as payload_digest,
   case when again then 'revisit' else 'response' end as record_type, case when again then first_id end as refers_to
 from j""",
+    "op12_phrase_mining": f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^ \\t]+') as w from p),
+tot as (select lang, sum(len(w))::hugeint as n from w group by lang),
+g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from w, (select unnest([1, 2, 3, 4, 5]) as k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= 100),
+cut as (select lang, phrase, a, string_split(phrase, ' ') as w, unnest(generate_series(1, k - 1)) as j from f where k >= 2),
+s as (select c.lang, c.phrase, c.a, x.a as l, y.a as r, tot.n, j, (1000::hugeint * c.a * tot.n) // (x.a::hugeint * y.a) as score
+  from cut c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[j + 1 :], ' ') join tot on tot.lang = c.lang),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as o from s) where o = 1),
+sub as (select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as longer
+  from (select lang, a, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from (select lang, a, string_split(phrase, ' ') as w from f where k > 2), (select unnest([2, 3, 4]) as m) where m < len(w)) group by all),
+t as (select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b left join sub using (lang, phrase) where longer is null or 100 * longer < 100 * a)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from t where rank <= 2000""",
+    "op13_ranked_search": f"""
+with d as (select row_number() over () as doc, doc_id, {_TERMS} as w from documents),
+s as (select count(*) filter (len(w) > 0) as n_docs, sum(len(w))::bigint as n_terms from d),
+tf as (select doc, term, count(*) as tf from (select doc, unnest(w) as term from d) group by all),
+df as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as weight from tf, s group by term, n_docs),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+x as (select item_id, doc, any_value(doc_id) as doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * n_docs) // n_terms))))::bigint as score
+  from q join df using (term) join tf using (term) join d using (doc), s group by item_id, doc),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from x where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50""",
 }
