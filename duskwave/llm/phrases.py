@@ -6,12 +6,14 @@ A phrase is a run of words inside a piece of text. Two readings of the corpus fi
    and mines every stretch of up to `most_words` of these completely: level by level, and a run of k words is only counted where
    both of its runs of k - 1 words are frequent. A stretch with a share of the group's words asks for the same share of the
    support, rounded up. What occurs often enough in the corpus does so in one stretch at least, so the union of what
-   stretches report misses nothing. Stretches overlap by the longest phrase less one word, so no occurrence is lost at a cut.
+   stretches report misses nothing. Stretches overlap by the longest phrase less one word, so no occurrence is lost at a cut. The counts
+   that are reported bound a run's occurrences from above, and what can't reach the support is left out.
 2. All these candidates are counted in all texts. Candidates set bits in a filter of fixed size, which goes to all tasks; a
    task counts exactly, and hands on, the runs that the filter lets through. What it lets through by chance is counted as exactly as
    the rest and has too few occurrences in the end.
 
-With support s a group should have few more than s stretches: beyond, a stretch asks for a single occurrence and reports every run.
+A stretch of a group of n words asks for s * most_words / n occurrences: with support 100 and 16 million words a stretch, a group of 1.6 billion words
+comes down to one occurrence. Beyond that every run is reported with its count, and the first reading alone has all counts.
 """
 
 from __future__ import annotations
@@ -110,21 +112,39 @@ def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, number, times
 
 
-def frequent_runs(sequence: np.ndarray, least: int, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each length the starts of one occurrence of every run that occurs `least` times or more."""
-    at = np.flatnonzero(sequence)
-    first, number, times = _count(sequence[at])
-    for k in range(1, longest + 1):
-        keep = times >= least
-        if not keep.any():
-            return
-        yield k, at[first[keep]]
-        if k == longest:
+def ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of numbers whose sizes add up to about `most`, or which are one number."""
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes) // most, append=-1)) + 1
+    return zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)
+
+
+def frequent_runs(sequence: np.ndarray, least: int, longest: int, at_once: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length the starts of one occurrence of every run that occurs `least` times or more, and how often it does.
+
+    Runs are counted by ranges of the runs that they begin with, so that temporaries have about at_once entries, or as many as one run's occurrences.
+    """
+    times = np.bincount(sequence)
+    times[0] = 0
+    number = np.cumsum(times >= least, dtype=np.int32) - 1
+    run = np.where(times[sequence] >= least, number[sequence], -1).astype(np.int32)  # number of the frequent run that starts here
+    first = np.full(int((times >= least).sum()), len(sequence), np.int64)
+    np.minimum.at(first, run[at := np.flatnonzero(run >= 0)], at)
+    yield 1, first, times[times >= least]
+    for k in range(2, longest + 1):
+        n = len(first)
+        if not n:
             return
-        run = np.full(len(sequence) + 1, -1, np.int64)  # number of the frequent run of k words that starts here
-        run[at] = np.where(keep, np.cumsum(keep) - 1, -1)[number]
-        at = np.flatnonzero((run[:-1] >= 0) & (run[1:] >= 0))
-        first, number, times = _count(run[at] * int(keep.sum()) + run[at + 1])
+        longer, firsts, counts, found = np.full(len(sequence), -1, np.int32), [], [], 0
+        for low, high in ranges(np.bincount(run[run >= 0], minlength=n), at_once):
+            at = np.flatnonzero((run[:-1] >= low) & (run[:-1] < high) & (run[1:] >= 0))
+            place, own, times = _count(run[at].astype(np.int64) * n + run[at + 1])
+            keep = times >= least
+            longer[at] = np.where(keep, np.cumsum(keep) - 1 + found, -1)[own]
+            firsts.append(at[place[keep]])
+            counts.append(times[keep])
+            found += len(firsts[-1])
+        run, first = longer, np.concatenate(firsts)
+        yield k, first, np.concatenate(counts)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -149,19 +169,28 @@ def _phrases(words: list[bytes], sequence: np.ndarray, at: np.ndarray, k: int) -
 
 
 def candidates(shards: DataFrame, support: int, longest: int, most_words: int) -> DataFrame:
-    """g, phrase, h: what is frequent in a stretch at the stretch's share of the support. shards has g, n (words of the group) and t (bytes)."""
+    """g, phrase, h: what may occur `support` times, from what is frequent in a stretch at the stretch's share of the support.
+
+    A stretch that asks for t occurrences and does not report a run has t - 1 of it at most, so what all stretches report, and t - 1 for each of the
+    others, bounds a run's occurrences: runs that can't reach the support are not counted again. shards has g, n (words of the group) and t (bytes).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda group, p, h, over: pa.RecordBatch.from_arrays([pa.array([group] * len(p), pa.string()), p, pa.array(h, pa.int64()), pa.array(over, pa.int64())], ["g", "phrase", "h", "over"])
         for group, total, words, sequence, own in stretches(batches, most_words, longest - 1):
-            mine = int(np.count_nonzero(sequence[:own]))
+            least = max(1, -(-support * int(np.count_nonzero(sequence[:own])) // max(total, 1)))
             hashes = word_hashes(words)
-            for k, at in frequent_runs(sequence, max(1, -(-support * mine // max(total, 1))), longest):
-                for part in (at[i : i + 50_000] for i in range(0, len(at), 50_000)):
-                    h = run_hashes(group, hashes, sequence, part, k).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(part), pa.string()), _phrases(words, sequence, part, k), pa.array(h)], ["g", "phrase", "h"])
+            yield rows(group, pa.nulls(1, pa.string()), [0], [least - 1])
+            for k, at, times in frequent_runs(sequence, least, longest):
+                for i in range(0, len(at), 50_000):
+                    part = at[i : i + 50_000]
+                    yield rows(group, _phrases(words, sequence, part, k), run_hashes(group, hashes, sequence, part, k).view(np.int64), times[i : i + 50_000] - (least - 1))
 
     ship(shards.sparkSession)
-    return shards.select("g", "n", "t").mapInArrow(run, "g string, phrase string, h long").distinct()
+    found = shards.select("g", "n", "t").mapInArrow(run, "g string, phrase string, h long, over long").groupBy("g", "phrase").agg(F.max("h").alias("h"), F.sum("over").alias("over"))
+    found = stored(found, "phrase-reports")
+    unseen = found.where(F.col("phrase").isNull()).select("g", F.col("over").alias("unseen"))
+    return found.where(F.col("phrase").isNotNull()).join(unseen, "g").where(F.col("over") + F.col("unseen") >= support).select("g", "phrase", "h")
 
 
 def filter_of(found: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -182,37 +211,40 @@ def let_through(h: np.ndarray, bloom: np.ndarray) -> np.ndarray:
     return ok
 
 
-def counted(rows: DataFrame, bloom: np.ndarray, longest: int, most_words: int) -> DataFrame:
+def counted(shards: DataFrame, bloom: np.ndarray, longest: int, most_words: int) -> DataFrame:
     """g, phrase, f: occurrences in all texts of every run that the filter lets through together with all runs that it begins with."""
-    shared = rows.sparkSession.sparkContext.broadcast(bloom)
+    shared = shards.sparkSession.sparkContext.broadcast(bloom)
+
+    def counts(words: list[bytes], hashes: np.ndarray, group: str, sequence: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number, h = sequence[at].astype(np.int64), run_hashes(group, hashes, sequence, at, 1)
+        for k in range(1, longest + 1):
+            ok = let_through(h, shared.value)
+            at, number, h = at[ok], number[ok], h[ok]
+            if not len(at):
+                return
+            first, own, times = _count(number)
+            for i in range(0, len(first), 50_000):
+                part = first[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(part), pa.string()), _phrases(words, sequence, at[part], k), pa.array(times[i : i + 50_000], pa.int64())], ["g", "phrase", "f"])
+            more = at + k < len(sequence)
+            more[more] = sequence[at[more] + k] != 0
+            at, h, following = at[more], h[more], sequence[at[more] + k]
+            number = own[more] * len(words) + following
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + hashes[following])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, _, words, sequence, own in stretches(batches, most_words, longest - 1):
             hashes = word_hashes(words)
-            at = np.flatnonzero(sequence[:own])
-            number, h = sequence[at].astype(np.int64), run_hashes(group, hashes, sequence, at, 1)
-            for k in range(1, longest + 1):
-                ok = let_through(h, shared.value)
-                at, number, h = at[ok], number[ok], h[ok]
-                if not len(at):
-                    break
-                first, number, times = _count(number)
-                for i in range(0, len(first), 50_000):
-                    part = first[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(part), pa.string()), _phrases(words, sequence, at[part], k), pa.array(times[i : i + 50_000], pa.int64())], ["g", "phrase", "f"])
-                more = at + k < len(sequence)
-                more[more] = sequence[at[more] + k] != 0
-                at, number, h = at[more], number[more], h[more]
-                following = sequence[at + k]
-                number = number * len(words) + following
-                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + hashes[following])
-
-    ship(rows.sparkSession)
-    return rows.select("g", "n", "t").mapInArrow(run, "g string, phrase string, f long").groupBy("g", "phrase").agg(F.sum("f").alias("f"))
+            # all runs that begin with a word are counted in one step
+            for low, high in ranges(np.bincount(sequence[:own], minlength=1), 1 << 20):
+                yield from counts(words, hashes, group, sequence, np.flatnonzero((sequence[:own] >= max(low, 1)) & (sequence[:own] < high)))
+
+    ship(shards.sparkSession)
+    return shards.select("g", "n", "t").mapInArrow(run, "g string, phrase string, f long").groupBy("g", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(
-    docs: DataFrame, support: int = 100, longest: int = 5, group: str = "lang", text: str = "text", doc_id: str = "doc_id", most_words: int = 1 << 22, shards: int = 32
+    docs: DataFrame, support: int = 100, longest: int = 5, group: str = "lang", text: str = "text", doc_id: str = "doc_id", most_words: int = 1 << 24, shards: int = 8
 ) -> tuple[DataFrame, DataFrame]:
     """(g, phrase, f) of all phrases of up to `longest` words that occur `support` times or more in their group, and (g, n), the groups' words.
 
@@ -225,8 +257,9 @@ def frequent_phrases(
     total = sizes.agg(F.sum("n")).first()[0] or 0
     each = min(most_words, max(total // shards, 1))
     rows = named.join(sizes, "g").select("g", "n", F.col("text").cast("binary").alias("t"), F.pmod("salt", F.greatest(F.ceil(F.col("n") / F.lit(each)), F.lit(1))).alias("shard"))
-    found = stored(candidates(rows.repartition("g", "shard"), support, longest, most_words), "phrase-candidates")
-    return stored(counted(rows, filter_of(found), longest, most_words).where(F.col("f") >= support), "phrases"), sizes
+    dealt = rows.repartition("g", "shard")
+    bloom = filter_of(candidates(dealt, support, longest, most_words))
+    return stored(counted(dealt, bloom, longest, most_words).where(F.col("f") >= support), "phrases"), sizes
 
 
 def _run(words: Column, start: Column, length: Column) -> Column:
@@ -234,7 +267,7 @@ def _run(words: Column, start: Column, length: Column) -> Column:
 
 
 def collocations(
-    docs: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, percent: int = 100, group: str = "lang", text: str = "text", doc_id: str = "doc_id", most_words: int = 1 << 22, shards: int = 32
+    docs: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, percent: int = 100, group: str = "lang", text: str = "text", doc_id: str = "doc_id", most_words: int = 1 << 24, shards: int = 8
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each group's `top` phrases of two to `longest` words by score, a and phrase.
 
