@@ -6,7 +6,7 @@ Trees take no NULL, so features go through a median imputer with missing indicat
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -29,7 +29,7 @@ def object_weights(df: DataFrame, key: str = "obj_id") -> DataFrame:
     return df.withColumn("weight", own * F.lit(df.count()) / objects)
 
 
-def _share(key: Column, salt: str) -> Column:
+def share_of(key: Column, salt: str) -> Column:
     """A number in [0, 1) from a hash, the same in every engine."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"/{salt}"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
@@ -38,7 +38,7 @@ def context_dropout(df: DataFrame, blocks: dict[str, list[str]], rate: float = 0
     """Each block of columns becomes NULL on about `rate` of the rows, independently, by hash."""
     out = df
     for name, columns in blocks.items():
-        keep = _share(F.col(key), f"{name}{salt}") >= rate
+        keep = share_of(F.col(key), f"{name}{salt}") >= rate
         out = out.withColumns({c: F.when(keep, F.col(c)) for c in columns})
     return out
 
@@ -76,22 +76,6 @@ def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train_hierarchy(df: DataFrame, columns: list[str], rounds: int = 5, impute: bool = False) -> tuple[PipelineModel, PipelineModel]:
-    """Top level with classes 1 and 2 merged (weights by class), and a boosted branch between these two. With impute, rows come from with_missing()."""
-    top = class_weights(df.withColumn("top", F.when(F.col("truth") <= 1, F.col("truth")).when(F.col("truth") == 2, 1).otherwise(F.col("truth") - 1).cast("double")), "top")
-    branch = df.where("truth in (1, 2)").withColumn("is_slsn", (F.col("truth") == 2).cast("double"))
-    learner = GBTClassifier(labelCol="is_slsn", featuresCol="features", maxIter=rounds, maxDepth=3, seed=7)
-    return forest(top, columns, "top", "weight", impute=impute), Pipeline(stages=[*prepared(columns, impute), learner]).fit(branch)
-
-
-def predict_hierarchy(models: tuple[PipelineModel, PipelineModel], df: DataFrame) -> DataFrame:
-    from .heads import hierarchical
-
-    t = probabilities(models[0], df).withColumnRenamed("p", "t")
-    both = models[1].transform(t).withColumn("b", vector_to_array("probability")[1])
-    return both.withColumn("p", hierarchical(F.col("t"), F.col("b"))).select(*df.columns, "p")
-
-
 def logistic(df: DataFrame, columns: list[str], label: str, balanced: bool = True) -> PipelineModel:
     rows = class_weights(df, label, 1.0) if balanced else df.withColumn("weight", F.lit(1.0))
     return Pipeline(stages=[*prepared(columns), LogisticRegression(labelCol=label, featuresCol="features", weightCol="weight", maxIter=50, standardization=True)]).fit(rows)

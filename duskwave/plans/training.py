@@ -6,7 +6,7 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
-from ..operators import heads, models, ranking
+from ..operators import boosting, heads, leaves, models, ranking
 from ..operators import neighbours as nb
 from ..sources import adapters as src
 from ..sources import io
@@ -56,7 +56,20 @@ def multiview_augment(spark, d):
 @query("train_hierarchy")
 def train_hierarchy(spark, d):
     r = _rows(spark, d)
-    return _named(models.predict_hierarchy(models.train_hierarchy(r.where("split = 'train'"), COLS), r.where("split <> 'train'")))
+    return _named(boosting.predict_hierarchy(boosting.train_hierarchy(r.where("split = 'train'"), COLS), r.where("split <> 'train'")))
+
+
+@query("boosting_rounds")
+def boosting_rounds(spark, d):
+    """The trees that each model of the hierarchy kept, of how many at most, and the loss of the validation split beside that of a forest."""
+    r = _rows(spark, d)
+    fit, held = r.where("split = 'train'"), r.where("split = 'val'")
+    h = boosting.train_hierarchy(fit, COLS)
+    boosted = boosting.predict_hierarchy(h, held).agg(boosting.log_loss(held).alias("loss")).first()["loss"]
+    plain = models.probabilities(models.forest(models.class_weights(fit), COLS, weight="weight"), held).agg(boosting.log_loss(held).alias("loss")).first()["loss"]
+    rows = [("top", k, n) for k, n in enumerate(h.top.rounds)] + [("branch", 0, n) for n in h.branch.rounds]
+    kept = spark.createDataFrame([(level, k, n, boosting.Settings().most_rounds) for level, k, n in rows], "level string, class int, rounds int, most_rounds int")
+    return kept.withColumns({"loss": r6(F.lit(boosted)), "forest_loss": r6(F.lit(plain))})
 
 
 @query("classify_features")
@@ -69,7 +82,7 @@ def classify_features(spark, d):
     seen = fit.agg(*(F.count(c).alias(c) for c in f.columns)).first()
     columns = [c for c in f.columns if c not in ("obj_id", "truth", "split") and seen[c]]
     rows = models.with_missing(f.withColumns({c: F.col(c).cast("double") for c in columns}), columns)
-    p = models.predict_hierarchy(models.train_hierarchy(rows.where("split = 'train'"), columns, impute=True), rows.where("split <> 'train'"))
+    p = boosting.predict_hierarchy(boosting.train_hierarchy(rows.where("split = 'train'"), columns, impute=True), rows.where("split <> 'train'"))
     p = io.stored(p.select("obj_id", F.col("truth").cast("int").alias("truth"), "split", "p"), "probabilities")
     long = p.where("split = 'val'").select("obj_id", "truth", F.posexplode("p").alias("cls", "p"))
     q = heads.calibrate(long.where("cls = truth").select("cls", (1 - F.col("p")).alias("s")), ["cls"])
@@ -166,8 +179,8 @@ def review_combiner_fit(spark, d):
     lab = src.table(spark, d, "labels").select(F.col("doc_id").alias("obj_id"), F.col("quality").cast("double").alias("y"))
     e = _rows(spark, d).withColumn("e", heads.energy(F.col("raw"))).withColumn("m", F.array_max(heads.softmax(F.col("raw")))).join(lab, "obj_id").where("y is not null")
     out = None
-    for k in range(3):
-        got = models.logistic(e.where(F.col("fold") % 3 != k), ["e", "m"], "y").transform(e.where(F.col("fold") % 3 == k)).select("obj_id", r6(vector_to_array("probability")[1]).alias("p"))
+    for k in range(5):
+        got = models.logistic(e.where(F.col("fold") != k), ["e", "m"], "y").transform(e.where(F.col("fold") == k)).select("obj_id", r6(vector_to_array("probability")[1]).alias("p"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -224,14 +237,30 @@ def _forecast_rows(spark, d):
     return models.object_weights(f), x
 
 
+def _forecaster(f, x, shares):
+    """The median model, and quantiles of its residuals in the leaves of trees on their size, counted on objects that neither was fitted to."""
+    calibration = boosting.held_out(F.col("obj_id"), 0.4, "leaves")
+    fit = f.where(~F.col("held") & ~calibration)
+    m = models.boosted_regressor(fit, x, "target", "weight")
+    residuals = lambda rows: m.transform(rows).withColumn("residual", F.col("target") - F.col("prediction")).select(*rows.columns, "residual")
+    return m, leaves.fit_leaf_quantiles(residuals(fit), residuals(f.where(~F.col("held") & calibration)), x, "residual", "weight", shares)
+
+
 @query("train_forecaster")
 def train_forecaster(spark, d):
-    """Absolute-loss forecast; the band is the 16% and 84% quantile of training residuals by lead bin."""
+    """Absolute-loss forecast; the band is the 16% and 84% quantile of the residuals in a row's leaves."""
+    f, x = _forecast_rows(spark, d)
+    m, bands = _forecaster(f, x, [0.16, 0.84])
+    out = leaves.with_quantiles(bands, m.transform(f.where("held")).select("obj_id", "band", *x, "target", "prediction"), [0.16, 0.84])
+    return out.select("obj_id", "band", r6("day").alias("day"), r6("target").alias("target"), r6("prediction").alias("median"), r6(F.col("prediction") + F.col("q")[0]).alias("lo"), r6(F.col("prediction") + F.col("q")[1]).alias("hi"))
+
+
+@query("forecast_leaves")
+def forecast_leaves(spark, d):
+    """Each tree's leaves (-1: all of a tree): the weight of the calibration rows in it, and its quantiles."""
     f, x = _forecast_rows(spark, d)
-    m = models.boosted_regressor(f.where("not held"), x, "target", "weight")
-    lead = F.floor((F.col("day") - 10) / 10)
-    res = m.transform(f.where("not held")).groupBy(lead.alias("lead")).agg(F.percentile(F.col("target") - F.col("prediction"), F.array(F.lit(0.16), F.lit(0.84))).alias("q"))
-    return m.transform(f.where("held")).withColumn("lead", lead).join(F.broadcast(res), "lead", "left").select("obj_id", "band", r6("day").alias("day"), r6("prediction").alias("median"), r6(F.col("prediction") + F.col("q")[0]).alias("lo"), r6(F.col("prediction") + F.col("q")[1]).alias("hi"))
+    table = _forecaster(f, x, [0.16, 0.5, 0.84])[1].table
+    return table.select("tree", "leaf", r6("weight").alias("weight"), *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(("q16", "q50", "q84"))))
 
 
 @query("train_real_delta")
@@ -244,21 +273,23 @@ def train_real_delta(spark, d):
 
 @query("forecast_grid")
 def forecast_grid(spark, d):
-    """The forecaster on a day grid: median and half-widths at 68% and 95%."""
+    """The forecaster on a day grid: the median, and the residuals' quantiles for 68% and 95%, 0.05 from it at least."""
     f, x = _forecast_rows(spark, d)
-    m = models.boosted_regressor(f.where("not held"), x, "target", "weight")
-    half = m.transform(f.where("not held")).agg(F.percentile(F.abs(F.col("target") - F.col("prediction")), F.array(F.lit(0.68), F.lit(0.95))).alias("h")).first()["h"]
+    shares = [0.025, 0.16, 0.84, 0.975]
+    m, bands = _forecaster(f, x, shares)
     grid = f.where("held").dropDuplicates(["obj_id", "band"]).withColumn("day", F.explode(F.array(*(F.lit(float(t)) for t in (11, 15, 20, 25, 30, 40, 50, 60, 75, 90)))))
-    out = m.transform(grid.select("obj_id", "band", *x))
-    return out.select("obj_id", "band", "day", r6("prediction").alias("mag"), *(r6(F.col("prediction") + s * max(h, 0.05)).alias(n) for n, s, h in (("lo68", -1, half[0]), ("hi68", 1, half[0]), ("lo95", -1, half[1]), ("hi95", 1, half[1]))))
+    out = leaves.with_quantiles(bands, m.transform(grid.select("obj_id", "band", *x)).select("obj_id", "band", *x, "prediction"), shares)
+    wide = lambda i, s, least: F.col("prediction") + (F.least if s < 0 else F.greatest)(F.col("q")[i], F.lit(s * least))
+    return out.select("obj_id", "band", "day", r6("prediction").alias("mag"), *(r6(wide(i, s, 0.05)).alias(n) for n, i, s in (("lo68", 1, -1), ("hi68", 2, 1), ("lo95", 0, -1), ("hi95", 3, 1))))
 
 
 @query("train_parameter_models")
 def train_parameter_models(spark, d):
-    """Regressors for two parameters with conformal half-widths from the validation rows."""
-    r, out = _rows(spark, d).withColumn("t0", F.element_at("raw", 1)).withColumn("mb", F.element_at("raw", 2)), None
-    for target in ("t0", "mb"):
-        m = models.boosted_regressor(r.where("split = 'train'"), COLS[2:], target)
+    """Regressors for four parameters with conformal half-widths from the validation rows."""
+    targets = ("t0", "mb", "x1", "c")
+    r, out = _rows(spark, d).withColumns({t: F.element_at("raw", i + 1) for i, t in enumerate(targets)}), None
+    for target in targets:
+        m = models.boosted_regressor(r.where("split = 'train'"), COLS[len(targets) :], target)
         cal = m.transform(r.where("split = 'val'")).select(F.lit(0).alias("g"), F.abs(F.col(target) - F.col("prediction")).alias("s"))
         q = heads.calibrate(cal, ["g"], tenths=7).first()["q"]
         one = m.transform(r.where("split = 'test'")).select("obj_id", F.lit(target).alias("parameter"), r6("prediction").alias("value"), r6(F.lit(q)).alias("half_width"))

@@ -63,7 +63,7 @@ INVARIANTS = {
     "hyperparameter_search": lambda t: t.num_rows == 3 and all(abs(r["score"] - (r["f1"] + r["auprc"]) / 2) < 1e-5 for r in t.to_pylist()),
     "train_forecaster": lambda t: all(r["lo"] is None or r["lo"] <= r["hi"] for r in t.to_pylist()),
     "forecast_grid": lambda t: all(r["lo95"] <= r["lo68"] <= r["mag"] <= r["hi68"] <= r["hi95"] for r in t.to_pylist()),
-    "train_parameter_models": lambda t: set(t["parameter"].to_pylist()) == {"t0", "mb"} and all(h >= 0 for h in t["half_width"].to_pylist()),
+    "train_parameter_models": lambda t: set(t["parameter"].to_pylist()) == {"t0", "mb", "x1", "c"} and all(h >= 0 for h in t["half_width"].to_pylist()),
     "stream_review_refit": lambda t: sum(t["n"].to_pylist()) > 0 and len(set(t["weight"].to_pylist())) == 1,
     "recall_at_k": lambda t: all(0.9 <= v <= 1 for c in t.schema.names if "recall" in c for v in t[c].to_pylist()),
 }
