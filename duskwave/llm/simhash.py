@@ -232,9 +232,9 @@ def near_duplicates(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", *carry)
 
 
-#: Fingerprints of a text where near copies are removed: of pairs with 0.9 to 0.95 of their five-word shingles in common they link about three in
-#: four, where one links two in five; below 0.6 there are hardly any. More find more, and the search costs as many times more.
-PRINTS = 4
+#: Fingerprints of a text where near copies are removed: each finds about two in five of the pairs with 0.9 to 0.95 of their five-word shingles in common.
+#: More find more, and the search costs as many times more.
+PRINTS = 8
 
 
 def keep_one(docs: DataFrame, prints: int = PRINTS, **options) -> DataFrame:
