@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import adapters as src
 from ..sources.io import append_new, scratch
-from ..streaming import jobs
+from ..streaming import jobs, state
 from .base import query, r6
 
 
@@ -54,6 +54,27 @@ def stream_source_state(spark, d):
     return got.select("obj_id", "n", (F.round("span", 4) + F.lit(0.0)).alias("span"), r6("peak").alias("peak"), (F.round("recent_mean", 5) + F.lit(0.0)).alias("recent_mean"))
 
 
+_VAR = "(avg(mag * mag) filter (where fid = {b}) over w - pow(avg(mag) filter (where fid = {b}) over w, 2))"
+_BY_BAND = ", ".join(f"count(*) filter (where fid = {b}) over w as n{b}, avg(mag) filter (where fid = {b}) over w as mean{b}, sqrt(greatest({_VAR.format(b=b)}, 0 * {_VAR.format(b=b)})) as sd{b}" for b in state.BANDS)
+_ROUNDED = ", ".join(f"n{b}, round(mean{b}, 5) + 0.0 as mean{b}, round(sd{b}, 4) + 0.0 as sd{b}" for b in state.BANDS)
+
+
+@query("stream_source_features", f"""x as (select user_id as obj_id, ts, case event_type when 'view' then 1 when 'click' then 2 else 3 end as fid, 23.9::double - 2.5::double * log10(value) as mag
+  from events where event_type in ('view', 'click', 'purchase') and value > 0 and user_id is not null),
+o as (select x.* from x, (select date_trunc('millisecond', max(ts)) - interval 10 day as mark from x) where ts < mark),
+g as (select *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by obj_id order by ts, fid, mag) > 100 * 86400000000, false)::int as new from o),
+s as (select *, sum(new) over (partition by obj_id order by ts, fid, mag rows unbounded preceding) as part from g),
+c as (select obj_id, row_number() over w as n, (epoch_us(ts) - min(epoch_us(ts)) over w) / 86400000000.0::double as span, min(mag) over w as peak,
+  avg(mag) over (partition by obj_id, part order by ts, fid, mag rows between 4 preceding and current row) as recent, {_BY_BAND} from s window w as (partition by obj_id, part order by ts, fid, mag rows unbounded preceding))
+select obj_id, n, round(span, 4) + 0.0 as span, round(peak, 6) + 0.0 as peak, round(recent, 5) + 0.0 as recent_mean, {_ROUNDED} from c where n between 3 and 40 or (n > 40 and n % 5 = 0)""")
+def stream_source_features(spark, d, slices=3):
+    """Features of every scheduled prefix that the watermark has passed, from events that arrive in bounded batches, oldest first."""
+    path = state.in_time_slices(src.table(spark, d, "events"), slices)
+    got = state.drained_features(jobs.arriving(spark, f"{path}/*", per_batch=8))
+    by_band = [c for b in state.BANDS for c in (F.col(f"n{b}"), (F.round(f"mean{b}", 5) + F.lit(0.0)).alias(f"mean{b}"), (F.round(f"sd{b}", 4) + F.lit(0.0)).alias(f"sd{b}"))]
+    return got.select("obj_id", "n", (F.round("span", 4) + F.lit(0.0)).alias("span"), r6("peak").alias("peak"), (F.round("recent_mean", 5) + F.lit(0.0)).alias("recent_mean"), *by_band)
+
+
 @query("stream_late_detections", """m as (select min(ts) + (max(ts) - min(ts)) / 2 as middle, max(ts) - interval 5 day as mark from events), x as (select ts >= middle or date_trunc('day', ts) + interval 1 day > mark as kept from events, m)
 select count(*) filter (where kept) as kept, count(*) filter (where not kept) as dropped from x""")
 def stream_late_detections(spark, d):

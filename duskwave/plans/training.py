@@ -6,12 +6,12 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, heads, leaves, models, ranking
+from ..operators import boosting, heads, leaves, models, nextpoint, ranking
 from ..operators import neighbours as nb
 from ..sources import adapters as src
 from ..sources import io
 from .base import query, r6
-from .curves import features
+from .curves import _phot, features
 from .scoring import average_precision
 from .tables import _ANCHOR, _future, _recent
 
@@ -94,6 +94,35 @@ def classify_features(spark, d):
     return test.select("obj_id", *(r6(F.element_at("p", i + 1)).alias(f"p_{c.lower()}") for i, c in enumerate(heads.CLASSES)), label.alias("label"), inside.alias("set"))
 
 
+@query("next_observation_sets")
+def next_observation_sets(spark, d, horizon=10.0, draws=16, seed=0):
+    """What one more g or r point on the night after the horizon is worth to each test object: how much smaller its prediction set gets.
+
+    The model sees prefixes of the horizon's length, its thresholds by class are those of the validation objects, and so is the scatter of the
+    next point around its forecast.
+    """
+    phot = io.stored(_phot(spark, d), "photometry")
+    sums = io.stored(nextpoint.prefix_sums(phot, horizon).join(src.scores(spark, d).select("obj_id", F.col("truth").cast("double").alias("truth"), "split"), "obj_id"), "prefix-sums")
+    fit = nextpoint.with_features(sums.where("split = 'train'"))
+    seen = fit.agg(*(F.count(c).alias(c) for c in nextpoint.FEATURES)).first()
+    columns = [c for c in nextpoint.FEATURES if seen[c]]
+    m = models.forest(models.class_weights(models.with_missing(fit, columns)), columns, weight="weight", impute=True)
+    asked = lambda rows: models.probabilities(m, models.with_missing(nextpoint.with_features(rows), columns))
+    val = sums.where("split = 'val'")
+    own = asked(val).select(F.col("truth").cast("int").alias("cls"), (1 - F.element_at("p", F.col("truth").cast("int") + 1)).alias("s"))
+    limits = {r["cls"]: r["q"] for r in heads.calibrate(own, ["cls"]).collect()}  # one row a class
+    limit = F.array(*(F.lit(float(limits[c]) if limits.get(c) is not None else 1.0) for c in range(len(heads.CLASSES))))
+    sized = lambda rows: asked(rows).withColumn("size", F.size(F.filter(F.zip_with("p", limit, lambda p, q: 1 - p <= q), lambda x: x)))
+    later = phot.where((F.col("dt") > horizon) & (F.col("dt") <= horizon + 2)).groupBy("obj_id", "band").agg(F.min_by("mag", "dt").alias("mag"))
+    told = val.select("obj_id", F.inline(F.array(*(F.struct(F.lit(b).alias("band"), mean.alias("mean")) for b, mean in enumerate(nextpoint.forecast_next(horizon))))))
+    off = told.join(later, ["obj_id", "band"]).select("band", F.abs(F.col("mag") - F.col("mean")).alias("e")).where("e is not null")
+    measured = {r["band"]: r["scatter"] for r in ranking.quantiles(off, ["band"], "e", {"scatter": 0.68}, F.floor(F.col("e") * 64)).collect()}  # two rows
+    scatter = spark.createDataFrame([(b, float(measured.get(b) or 0.3)) for b in (0, 1)], "band int, scatter double")
+    test = sums.where("split = 'test'")
+    value = nextpoint.set_value(sized(test), sized(nextpoint.drawn(test, horizon, scatter, draws, seed)))
+    return value.select("obj_id", "band", "set_before", *(r6(c).alias(c) for c in ("mean_set", "delta_s", "p_singleton")), "best")
+
+
 @query("train_five_class")
 def train_five_class(spark, d):
     """The flat model over five broad groups, with its sets at a fixed mass."""

@@ -52,6 +52,9 @@ INVARIANTS = {
     "train_hierarchy": lambda t: adds_up(t) and t.num_rows > 0,
     "oof_predictions": lambda t: adds_up(t) and len(set(t["obj_id"].to_pylist())) == t.num_rows,
     "classify_features": adds_up,
+    "next_observation_sets": lambda t: all(0 <= r["mean_set"] <= 6 and abs(r["set_before"] - r["mean_set"] - r["delta_s"]) < 1e-5 and 0 <= r["p_singleton"] <= 1 for r in t.to_pylist()),
+    "boosting_rounds": lambda t: t.num_rows == 6 and all(1 <= r["rounds"] <= r["most_rounds"] for r in t.to_pylist()),
+    "forecast_leaves": lambda t: all(r["q16"] <= r["q50"] <= r["q84"] for r in t.to_pylist()) and t.num_rows >= 8,
     "train_five_class": lambda t: all(0 <= c <= 4 for c in t["cls"].to_pylist()),
     "balanced_logistic": lambda t: all(0 <= p <= 1 for p in t["p"].to_pylist()) and t.num_rows > 0,
     "review_combiner_fit": lambda t: all(0 <= p <= 1 for p in t["p"].to_pylist()),
