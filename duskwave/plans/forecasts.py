@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lightcurve as lc
+from ..operators import metric
 from ..operators import neighbours as nb
 from ..operators import ranking
 from ..sources import adapters as src
@@ -181,6 +182,29 @@ def knn_euclidean(spark, d):
     return nb.knn_all(*_sides(spark, d), metric="euclidean").select("q_id", "a_id", F.col("place").cast("long").alias("place"))
 
 
+def _hundredth(spark, d):
+    """Every vector whose id is divisible by 100 against all vectors."""
+    s = src.scores(spark, d).select(F.col("obj_id").alias("id"), F.col("emb").alias("v"))
+    return s.where(F.col("id") % 100 == 0), s
+
+
+@query("knn_metric_index", """kd as (select q.vec_id as q_id, a.vec_id as a_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, a.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 9) as dist
+  from embeddings q join embeddings a on q.vec_id % 100 = 0 and a.vec_id <> q.vec_id), kn as (select *, row_number() over (partition by q_id order by dist, a_id) as place from kd) select q_id, a_id, place from kn where place <= 5""")
+def knn_metric_index(spark, d):
+    """Exact neighbours through the metric index, which leaves out what the triangle inequality rules out."""
+    asked, archive = _hundredth(spark, d)
+    return metric.metric_knn(asked, metric.metric_index(archive))[0].select("q_id", "a_id", F.col("place").cast("long").alias("place"))
+
+
+@query("metric_index_work")
+def metric_index_work(spark, d):
+    """How many distances the search through the metric index computes, of how many there are."""
+    asked, archive = _hundredth(spark, d)
+    n, m = asked.count(), archive.count()
+    computed = metric.metric_knn(asked, metric.metric_index(archive))[1]
+    return spark.createDataFrame([(n, m, computed, computed / max(n * m, 1))], "queries long, rows long, computed long, share double")
+
+
 @query("kth_distance_score", f"{_EUC} select q_id, round(max(dist) filter (where place = 5), 6) + 0.0 as kth, round(avg(dist) filter (where place <= 5), 6) + 0.0 as mean_dist from kn where place <= 5 group by q_id")
 def kth_distance_score(spark, d):
     k = nb.knn_all(*_sides(spark, d), metric="euclidean")
