@@ -251,12 +251,16 @@ def recall_at_k(spark, d):
 
 @query("pca_map")
 def pca_map(spark, d):
+    """Coordinates on the first two axes, and the share of the variance that each axis explains. An axis points where its largest loading is positive."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = src.scores(spark, d).select("obj_id", array_to_vector(F.transform("emb", lambda x: x.cast("double"))).alias("f"))
-    got = PCA(k=2, inputCol="f", outputCol="pc").fit(v).transform(v).withColumn("a", vector_to_array("pc"))
-    return got.select("obj_id", r6(F.abs(F.col("a")[0])).alias("pc1"), r6(F.abs(F.col("a")[1])).alias("pc2"))
+    m = PCA(k=2, inputCol="f", outputCol="pc").fit(v)
+    axes, shares = m.pc.toArray(), m.explainedVariance.toArray()
+    signs = [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in axes.T]
+    got = m.transform(v).withColumn("a", vector_to_array("pc"))
+    return got.select("obj_id", *(r6(F.col("a")[i] * F.lit(x)).alias(f"pc{i + 1}") for i, x in enumerate(signs)), *(r6(F.lit(float(x))).alias(f"explained{i + 1}") for i, x in enumerate(shares)))
 
 
 @query("nearest_centroid_baseline", "u as (select vec_id, label % 6 as truth, vec_id % 20 < 14 as fit, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as j from embeddings), c as (select truth, j, avg(x) as m from u where fit group by 1, 2), dd as (select u.vec_id, c.truth as cls, sum((x - m) * (x - m)) as d from u join c on u.j = c.j where not fit group by 1, 2) select vec_id as obj_id, arg_min(cls, (round(d, 9), cls)) as cls from dd group by 1")

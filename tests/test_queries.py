@@ -55,6 +55,7 @@ INVARIANTS = {
     "next_observation_sets": lambda t: all(0 <= r["mean_set"] <= 6 and abs(r["set_before"] - r["mean_set"] - r["delta_s"]) < 1e-5 and 0 <= r["p_singleton"] <= 1 for r in t.to_pylist()),
     "boosting_rounds": lambda t: t.num_rows == 6 and all(1 <= r["rounds"] <= r["most_rounds"] for r in t.to_pylist()),
     "forecast_leaves": lambda t: all(r["q16"] <= r["q50"] <= r["q84"] for r in t.to_pylist()) and t.num_rows >= 8,
+    "pca_map": lambda t: all(1 >= r["explained1"] >= r["explained2"] > 0 for r in t.to_pylist()) and all(min(t[c].to_pylist()) < 0 < max(t[c].to_pylist()) for c in ("pc1", "pc2")),
     "metric_index_work": lambda t: all(0 < r["computed"] <= 2.1 * r["queries"] * r["rows"] for r in t.to_pylist()),
     "train_five_class": lambda t: all(0 <= c <= 4 for c in t["cls"].to_pylist()),
     "balanced_logistic": lambda t: all(0 <= p <= 1 for p in t["p"].to_pylist()) and t.num_rows > 0,
