@@ -20,6 +20,28 @@ def valid_detections(det: DataFrame, min_snr: float | None = 3.0) -> DataFrame:
     return det.where(ph.valid_detection(F.col("mag"), F.col("magerr"), min_snr))
 
 
+def observation_fault(days: Column, band: Column, logflux: Column, error: Column) -> Column:
+    """Why an observation can't be used, or NULL: numbers must be there and finite, errors not negative, bands 0 to 2."""
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    return (
+        F.when(odd(days.cast("double")) | odd(logflux) | odd(error), "times, logflux and errors must be finite").when(error < 0, "errors must not be negative")
+        .when(band.isNull() | ~band.isin(0, 1, 2), "band must be 0, 1 or 2")
+    )
+
+
+def strictly_valid(phot: DataFrame, days: float = 100) -> DataFrame:
+    """The rows of the first `days` days, or an error if one of them is faulty, whatever columns are asked for.
+
+    The check is part of a filter, which no optimiser may leave out; later rows are not looked at. An empty prefix is no error.
+    """
+    if not 0 < days <= 100:
+        raise ValueError("a horizon lies in (0, 100] days")
+    early = F.col("dt").isNull() | F.isnan("dt") | F.col("dt").between(0, days)
+    fault = observation_fault(F.col("dt"), F.col("band"), F.col("logflux"), F.col("logflux_err"))
+    sound = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("object "), F.coalesce(F.col("obj_id").cast("string"), F.lit("NULL")), F.lit(": "), fault))).otherwise(F.lit(True))
+    return phot.where(F.when(early, sound.cast("boolean")).otherwise(F.lit(False)))
+
+
 def photometry(det: DataFrame) -> DataFrame:
     """Adds band (fid - 1), dt since the object's first row, flux, logflux and their errors."""
     return det.select(

@@ -236,6 +236,12 @@ def validate_observations(spark, d):
     return det.groupBy(F.coalesce(why, F.lit("good")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("strict_observations", "select obj_id, count(*) as n from phot where dt <= 100 group by obj_id")
+def strict_observations(spark, d):
+    """Rows of each object up to day 100; a faulty row among them stops the query."""
+    return lc.strictly_valid(_phot(spark, d)).groupBy("obj_id").agg(F.count("*").alias("n"))
+
+
 _QUAL = "qual as (select obj_id, count(*) as n, count(*) filter (where band = 0) as n_g, count(*) filter (where band = 1) as n_r, count(*) filter (where band = 2) as n_i, count(*) >= {n} and count(*) filter (where band = 0) >= {g} and count(*) filter (where band = 1) >= {r} and count(*) filter (where band = 2) >= {i} and count(distinct band) >= 2 as passes from {t} group by obj_id)"
 
 
