@@ -486,8 +486,9 @@ def _feature_sql():
 
 
 def features(spark, d):
-    """The feature table of the first 20 days. Detections are read, cut and written once; all parts start from there."""
-    return lc.assemble_features(io.stored(lc.quality_cut(_pre(spark, d)), "detections"))
+    """The feature table of the first 20 days. Detections are read, cut and written once, in buckets by object; all parts start from there and
+    none moves its rows again."""
+    return lc.assemble_features(io.bucketed(lc.quality_cut(_pre(spark, d)), "detections", "obj_id", "dt"))
 
 
 @query("assemble_features", _feature_sql())

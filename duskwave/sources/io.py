@@ -31,6 +31,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, order: str, buckets: int | None = None) -> DataFrame:
+    """df, written as a table dealt into buckets by key, sorted by key and order in each, and read again: windows, sums and joins by key
+    plan without another exchange.
+
+    As many buckets as shuffle partitions, so that a bucket has the size that the session wants of a partition, and one file a bucket, since
+    rows are dealt the same way before they are written. The table is an external one of the session's catalogue in the shared folder. A null
+    key is a key like any other here.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, name)
+    table = "duskwave_" + basename(path).replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key, order).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
