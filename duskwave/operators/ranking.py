@@ -113,3 +113,10 @@ def poisson_bootstrap(df: DataFrame, key: str, values: list[str], n: int = REPLI
     drawn = replicated(df.select(*values, key), n).withColumn("__h", hashed("rep", key))
     drawn = drawn.withColumn("__w", sum(((F.col("__h") >= t).cast("int") for t in poisson_steps()), F.lit(0)))
     return drawn.groupBy("rep").agg(*((F.sum(F.col("__w") * F.col(v)) / F.nullif(F.sum("__w"), F.lit(0))).alias(v) for v in values))
+
+
+def average_precision(long: DataFrame) -> DataFrame:
+    """cls, ap of rows (cls, truth, p): one-vs-rest; tied scores are one step. A class without true rows is left out."""
+    r = long.groupBy("cls", "p").agg(F.sum((F.col("cls") == F.col("truth")).cast("long")).alias("tp"), F.count("*").alias("n"))
+    c = running(r, ["cls"], [F.desc("p")], -F.floor(F.col("p") * 256), {"ctp": F.col("tp"), "cn": F.col("n")}).withColumnRenamed("all_ctp", "pos")
+    return c.where("pos > 0").groupBy("cls").agg(F.sum(F.col("tp") / F.col("pos") * (F.col("ctp") / F.col("cn"))).alias("ap"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration, heads, ranking
 from ..sources import adapters as src
+from ..streaming import replay
 from .base import query, r6
 
 
@@ -331,6 +332,14 @@ def replay_schedule(spark, d):
     return n.select("obj_id", F.explode(steps).alias("k"))
 
 
+@query("replay_prefix_ends", """o as (select user_id as obj_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as k from events)
+select obj_id, event_id, round(value, 6) + 0.0 as value, k from o where k between 3 and 40 or (k > 40 and k % 5 = 0)""")
+def replay_prefix_ends(spark, d):
+    """The event that ends each scheduled prefix of an object, from a table function that sees one row at a time."""
+    e = src.table(spark, d, "events").select(F.col("user_id").alias("obj_id"), "ts", "event_id", "value")
+    return replay.replay(e, "obj_id", "ts", "event_id").select("obj_id", "event_id", r6("value").alias("value"), "k")
+
+
 @query("first_crossing", f"{_TR} select obj_id, min(k) filter (where m <= 0.02) as k from rm group by obj_id")
 def first_crossing(spark, d):
     return _running(spark, d).groupBy("obj_id").agg(F.min(F.when(F.col("m") <= 0.02, F.col("k"))).cast("long").alias("k"))
@@ -418,16 +427,9 @@ def reliability_curve(spark, d):
     return _bins(spark, d).where("n >= 5").select("bin", "n", r6("c").alias("confidence"), r6("a").alias("accuracy"))
 
 
-def average_precision(long):
-    """cls, ap of rows (cls, truth, p): one-vs-rest; tied scores are one step."""
-    r = long.groupBy("cls", "p").agg(F.sum((F.col("cls") == F.col("truth")).cast("long")).alias("tp"), F.count("*").alias("n"))
-    c = ranking.running(r, ["cls"], [F.desc("p")], -F.floor(F.col("p") * 256), {"ctp": F.col("tp"), "cn": F.col("n")}).withColumnRenamed("all_ctp", "pos")
-    return c.where("pos > 0").groupBy(F.col("cls").cast("long").alias("cls")).agg(r6(F.sum(F.col("tp") / F.col("pos") * (F.col("ctp") / F.col("cn")))).alias("ap"))
-
-
 @query("macro_auprc", "r as (select cls, p, sum((cls = truth)::int) as tp, count(*) as n from plong group by cls, p), c as (select cls, p, tp, sum(tp) over (partition by cls order by p desc) as ctp, sum(n) over (partition by cls order by p desc) as cn, sum(tp) over (partition by cls) as pos from r), ap as (select cls, sum(tp / pos * (ctp / cn)) as ap from c where pos > 0 group by cls) select cls::bigint as cls, round(ap, 6) + 0.0 as ap from ap")
 def macro_auprc(spark, d):
-    return average_precision(_long(spark, d))
+    return ranking.average_precision(_long(spark, d)).select(F.col("cls").cast("long").alias("cls"), r6("ap").alias("ap"))
 
 
 _AR = "rk as (select *, rank() over (order by e) + (count(*) over (partition by e) - 1) / 2.0::double as r from en)"

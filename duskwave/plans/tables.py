@@ -9,7 +9,7 @@ from ..functions import photometry as ph
 from ..operators import heads, ranking, sky
 from ..operators import lightcurve as lc
 from ..sources import adapters as src
-from ..sources import io
+from ..sources import integrity, io
 from .base import query, r6
 from .curves import _BANDS, _bands, _phot, _pre
 
@@ -146,17 +146,34 @@ def strict_json_report(spark, d):
     return g.select("obj_id", doc.alias("doc"))
 
 
-@query("input_fingerprint", "select count(*) as n, sum(('0x' || substr(md5(obj || '|' || typ), 1, 12))::bigint::hugeint)::varchar as digest from (select user_id::varchar as obj, event_type as typ from events)")
+_DIGESTED = ("event_id::varchar", "event_type", "props", "epoch_us(ts)::varchar", "user_id::varchar", "value::varchar")
+_ROW = "md5(concat_ws('|', " + ", ".join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in _DIGESTED) + "))"
+
+
+def _digestible(spark, d):
+    """The events with their instants as microseconds, which is the text of them that both engines share."""
+    return src.table(spark, d, "events").withColumn("ts", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"))
+
+
+@query("input_fingerprint", f"select count(*) as n, sum(('0x' || substr({_ROW}, 1, 15))::bigint::hugeint)::varchar as digest from events")
 def input_fingerprint(spark, d):
-    e = src.table(spark, d, "events").select("user_id", "event_type")
-    return io.table_digest(e).select("n", F.col("digest").cast("string").alias("digest"))
+    """The number of rows and the sum of the digests of all columns."""
+    e = _digestible(spark, d)
+    return e.agg(F.count("*").alias("n"), F.sum(integrity.row_number_of(integrity.row_digest(e))).cast("string").alias("digest"))
+
+
+_LEAVES = """h as (select event_type as key, ts::date::varchar as day, {row} as m from events),
+leaf as (select day as key, count(*) as n, md5(day || '|' || count(*) || '|' || sum(('0x' || substr(m, 1, 15))::bigint::hugeint)) as digest from h group by day),
+branch as (select substr(md5(key), 1, 1) as node, md5(string_agg(key || '=' || digest, ',' order by key)) as digest from leaf group by 1),
+root as (select 'root' as node, md5(coalesce(string_agg(node || '=' || digest, ',' order by node), '')) as digest from branch)
+select 0 as level, key as node, digest from leaf union all select 1, node, digest from branch union all select 2, node, digest from root"""
 
 
 @query("manifest_check", "select event_type, count(*) as n, false as ok from events group by 1 having max(ts) >= (select date_trunc('day', max(ts)) from events)")
 def manifest_check(spark, d):
     """The entries of a manifest, written before the last day's rows came in, that the table no longer agrees with."""
     e = src.table(spark, d, "events")
-    entries = lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.crc32(F.col("event_id").cast("string"))).alias("digest"))
+    entries = lambda rows: integrity.partition_leaves(rows, "event_type").withColumnRenamed("key", "event_type")
     today = e.agg(F.date_trunc("day", F.max("ts")).alias("today"))
     stated = io.stored(entries(e.join(F.broadcast(today), F.col("ts") < F.col("today"))), "manifest")
     both = entries(e).join(stated.select("event_type", F.col("n").alias("stated_n"), F.col("digest").alias("stated")), "event_type", "left")
@@ -164,6 +181,38 @@ def manifest_check(spark, d):
     return both.where("not ok").select("event_type", "n", "ok")
 
 
+@query("partition_fingerprints", _LEAVES.format(row=_ROW))
+def partition_fingerprints(spark, d):
+    """A Merkle tree over the days of a table, from all its columns: two trees show which day has changed without another look at the rows."""
+    e = _digestible(spark, d)
+    dated = e.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts") / 86_400_000_000).cast("int")))
+    return integrity.merkle_tree(integrity.partition_leaves(dated, "day", e.columns))
+
+
+@query("changed_partitions", """x as (select user_id, ts, max(ts) over (partition by user_id) as last from events), d as (select distinct ts::date::varchar as day from x where user_id % 97 = 3 and ts = last)
+select 0 as level, day as node, 'changed' as change from d union all select distinct 1, substr(md5(day), 1, 1), 'changed' from d union all select distinct 2, 'root', 'changed' from d""")
+def changed_partitions(spark, d):
+    """The nodes of the tree that tell of one corrected value each for some objects."""
+    e = src.table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    last = F.max("ts").over(Window.partitionBy("user_id"))
+    mended = e.withColumn("props", F.when((F.col("user_id") % 97 == 3) & (F.col("ts") == last), F.concat(F.coalesce("props", F.lit("")), F.lit(" "))).otherwise(F.col("props")))
+    tree = lambda rows: integrity.merkle_tree(integrity.partition_leaves(rows, "day"))
+    return integrity.changed_nodes(tree(e), tree(mended))
+
+
+@query("stored_file_faults")
+def stored_file_faults(spark, d):
+    """A table is stored with a manifest of its files, then one kind of event is written anew and another one taken out of the manifest."""
+    path = io.scratch(spark, "vouched")
+    e = src.table(spark, d, "events")
+    e.write.partitionBy("event_type").parquet(path)
+    manifest = io.stored(integrity.file_manifest(spark, path), "file-manifest")
+    e.where("event_type = 'view' and user_id % 2 = 0").drop("event_type").write.mode("overwrite").parquet(f"{path}/event_type=view")
+    listed = manifest.where(~F.contains("name", F.lit("event_type=click/")))
+    faults = integrity.file_faults(listed, integrity.file_manifest(spark, path))
+    return faults.groupBy(F.substring_index("name", "/", 1).alias("part"), "fault").agg(F.count("*").alias("n"))
+
+
 @query("context_join", """h as (select src_id % 97 as obj_id, min(src_id) as host_id from cat where ext > 0.06 group by 1), z as (select src_id % 97 as obj_id, max(n_det) as z_n from cat group by 1), f as (select obj_id, count(*) as n from pre group by obj_id)
 select f.obj_id, n, host_id, z_n from f left join h on f.obj_id = h.obj_id left join z on f.obj_id = z.obj_id""")
 def context_join(spark, d):

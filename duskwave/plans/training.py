@@ -6,13 +6,12 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, heads, leaves, models, nextpoint, ranking
+from ..operators import boosting, heads, leaves, models, nextpoint, ranking, search
 from ..operators import neighbours as nb
 from ..sources import adapters as src
 from ..sources import io
 from .base import query, r6
 from .curves import _phot, features
-from .scoring import average_precision
 from .tables import _ANCHOR, _future, _recent
 
 #: Values of an embedding; models take all of them.
@@ -158,19 +157,15 @@ def round_selection_cv(spark, d):
 
 
 @query("hyperparameter_search")
-def hyperparameter_search(spark, d):
-    """Half macro AUPRC and half macro F1 of the validation split for each point of a small space."""
-    r = _rows(spark, d)
-    out = None
-    for trees, depth in ((4, 2), (8, 3), (12, 4)):
-        p = models.probabilities(models.forest(r.where("split = 'train'"), COLS, trees=trees, depth=depth), r.where("split = 'val'"))
-        c = p.select("truth", (F.array_position("p", F.array_max("p")) - 1).cast("double").alias("cls"))
-        f = c.select("truth", "cls", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c")).groupBy("c").agg(F.count_if((F.col("truth") == F.col("c")) & (F.col("cls") == F.col("c"))).alias("tp"), F.count_if(F.col("truth") == F.col("c")).alias("t"), F.count_if(F.col("cls") == F.col("c")).alias("q"))
-        f1 = f.agg(F.avg(F.when(F.col("t") + F.col("q") > 0, 2 * F.col("tp") / (F.col("t") + F.col("q"))).otherwise(0.0)).alias("f1"))
-        auprc = average_precision(p.select("truth", F.posexplode("p").alias("cls", "p"))).agg(F.avg("ap").alias("auprc"))
-        one = f1.crossJoin(auprc).select(F.lit(trees).alias("trees"), F.lit(depth).alias("depth"), r6("f1").alias("f1"), r6("auprc").alias("auprc"), r6(0.5 * F.col("auprc") + 0.5 * F.col("f1")).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def hyperparameter_search(spark, d, points=6):
+    """Successive halving from the default and sampled points, on folds of the training and validation objects; one row for each fit, best first in its round."""
+    r = _rows(spark, d).where("split <> 'test'").select("obj_id", "truth", *COLS)
+    default = search.Point(4, 0.5, len(COLS))
+    asked = [default, *(p for p in search.sampled_points(points, len(COLS)) if p != default)][:points]
+    tried = search.halving(r, COLS, asked)
+    rows = [(t.stage, t.trees, *t.point, t.f1, t.auprc, t.score, t.kept) for t in tried]
+    out = spark.createDataFrame(rows, "stage int, trees int, depth int, beta double, columns int, f1 double, auprc double, score double, kept boolean")
+    return out.withColumns({c: r6(c) for c in ("f1", "auprc", "score")})
 
 
 @query("train_energy_space")

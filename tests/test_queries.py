@@ -65,7 +65,8 @@ INVARIANTS = {
     "feature_ablation": lambda t: sorted(t["columns"].to_pylist()) == [2, 4, 8, 64] and all(0 <= a <= 1 for a in t["accuracy"].to_pylist()),
     "leave_one_class_out": lambda t: t.num_rows == 6 and all(0 <= r[c] <= 1 for r in t.to_pylist() for c in ("energy_auroc", "distance_auroc")),
     "round_selection_cv": lambda t: sorted(t["fold"].to_pylist()) == list(range(5)) and all(1 <= r <= 6 for r in t["rounds"].to_pylist()),
-    "hyperparameter_search": lambda t: t.num_rows == 3 and all(abs(r["score"] - (r["f1"] + r["auprc"]) / 2) < 1e-5 for r in t.to_pylist()),
+    "hyperparameter_search": lambda t: t["stage"].to_pylist().count(0) == 6 and all(abs(r["score"] - (r["f1"] + r["auprc"]) / 2) < 1e-5 for r in t.to_pylist()) and sum(r["kept"] for r in t.to_pylist() if r["stage"] == max(t["stage"].to_pylist())) == 1,
+    "stored_file_faults": lambda t: {(r["part"], r["fault"]) for r in t.to_pylist()} >= {("event_type=view", "unlisted"), ("event_type=view", "missing"), ("event_type=click", "unlisted")},
     "train_forecaster": lambda t: all(r["lo"] is None or r["lo"] <= r["hi"] for r in t.to_pylist()),
     "forecast_grid": lambda t: all(r["lo95"] <= r["lo68"] <= r["mag"] <= r["hi68"] <= r["hi95"] for r in t.to_pylist()),
     "train_parameter_models": lambda t: set(t["parameter"].to_pylist()) == {"t0", "mb", "x1", "c"} and all(h >= 0 for h in t["half_width"].to_pylist()),
