@@ -94,6 +94,24 @@ def stream_late_detections(spark, d):
     return last.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept")).crossJoin(e.agg(F.count("*").alias("all"))).select("kept", (F.col("all") - F.col("kept")).alias("dropped"))  # one row each
 
 
+@query("stream_observed_counts", """m as (select min(ts) + (max(ts) - min(ts)) / 2 as middle, date_trunc('millisecond', max(ts)) - interval 5 day as mark from events),
+x as (select ts >= middle as first, ts > mark as fresh from events, m)
+select 'first half' as part, count(*) as arrived, count(*) as kept, 0::bigint as late from x where first union all
+select 'second half', count(*), count(*) filter (where fresh), count(*) filter (where not fresh) from x where not first""")
+def stream_observed_counts(spark, d):
+    """The later half of the time arrives first, then the earlier half. All counts are those which the running query reports; no table is read again for them."""
+    e, path, out = src.table(spark, d, "events"), scratch(spark, "observed"), scratch(spark, "observed-out")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = e.agg(F.min(micros), F.max(micros)).first()
+    middle = first + (last - first) // 2 if first is not None else 0
+    rows = []
+    for part, half in (("first half", micros >= middle), ("second half", micros < middle)):
+        e.where(half).write.parquet(f"{path}/{part[0]}")
+        got = jobs.counted(jobs.within_watermark(jobs.arriving(spark, f"{path}/*"), "5 days"), out)
+        rows.append((part, got["arrived"], got["kept"], got["late"]))
+    return spark.createDataFrame(rows, "part string, arrived long, kept long, late long")
+
+
 @query("stream_review_refit")
 def stream_review_refit(spark, d):
     """Nightly batches: new confirmations are appended to a store, and the combiner is refitted once three families are there."""

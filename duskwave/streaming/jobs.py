@@ -37,6 +37,33 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def within_watermark(events: DataFrame, delay: str) -> DataFrame:
+    """One row per event number and instant; rows older than the watermark are dropped. Two observed metrics tell of each batch: `arrived` (n) and
+    `kept` (n); the progress of the query has a third number, the rows that its state refused."""
+    seen = events.observe("arrived", F.count(F.lit(1)).alias("n")).withWatermark("at", delay)
+    return seen.dropDuplicates(["event_id", "at"]).observe("kept", F.count(F.lit(1)).alias("n"))
+
+
+def counted(stream: DataFrame, path: str) -> dict[str, int]:
+    """Runs a stream of within_watermark() into Parquet at path until nothing is left, and adds up what its progress reports: arrived, kept and late.
+
+    Batches that had ended before a restart are not counted again, as they are not run again. Spark keeps as many reports of a query as
+    spark.sql.streaming.numRecentProgressUpdates says; with more batches than that the sums would lack some, which is an error.
+    """
+    spark = stream.sparkSession
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).format("parquet").option("path", path).start()
+    query.awaitTermination()
+    reports = query.recentProgress
+    if len(reports) + 1 >= int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")):  # one fewer than that is kept
+        raise RuntimeError("more batches than spark.sql.streaming.numRecentProgressUpdates keeps reports of")
+    total = {"arrived": 0, "kept": 0, "late": 0}
+    for r in reports:
+        for name in ("arrived", "kept"):
+            total[name] += r.observedMetrics[name]["n"] if name in r.observedMetrics else 0
+        total["late"] += sum(op.numRowsDroppedByWatermark for op in r.stateOperators)
+    return total
+
+
 def typed(events: DataFrame) -> DataFrame:
     """Detections with a reason where one must wait in quarantine."""
     mag = F.when(F.col("value") > 0, F.lit(23.9) - F.lit(2.5) * F.log10("value"))
