@@ -11,7 +11,9 @@ links.
 
 Three of 64 bits are few: of texts that share nine tenths of their shingles one fingerprint links less than half. A
 caller may therefore ask for several fingerprints of a text, each from the shingles' hashes mixed in its own way; texts
-link if any of these do. Each is a search by pigeonhole of its own, and the groups found by all of them are joined.
+link if any of these do. Each is a search by pigeonhole of its own, and the groups found by all of them are joined. These
+searches start from one of four blocks (4 keys a fingerprint in place of 20): a group of near copies then shares few keys,
+so it yields few edges to contract.
 """
 
 from __future__ import annotations
@@ -100,6 +102,8 @@ def block_masks(within: int | None = None, blocks: int = BLOCKS, equal: int = BL
 
 #: How the bits that a key leaves open are cut on each level, and how many blocks agree if at most three bits differ.
 LEVELS = ((BLOCKS, BLOCKS - 3), (5, 2), (4, 1))
+#: The same with one of four blocks (16 bits) first: a fifth of the keys and of the edges, for larger buckets. The last level leaves 18 bits open or fewer.
+WIDE = ((4, 1), (5, 2), (4, 1), (4, 1))
 
 
 def bucket_forest(fps: np.ndarray, most_bits: int = 3, cells: int = 1 << 22) -> list[tuple[int, int]]:
@@ -113,7 +117,8 @@ def bucket_forest(fps: np.ndarray, most_bits: int = 3, cells: int = 1 << 22) ->
         new = root.copy()
         for at in range(0, n, tile):
             near = np.bitwise_count((fps[at : at + tile, None] ^ fps[None, :]).view(np.uint64)) <= most_bits
-            new[at : at + tile] = np.where(near, root[None, :], n).min(axis=1)
+            if np.count_nonzero(near) > len(near):  # else each is near to itself only
+                new[at : at + tile] = np.where(near, root[None, :], n).min(axis=1)
         new = new[new]
         if (new == root).all():
             break
@@ -125,20 +130,20 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(distinct: DataFrame, most_bits: int = 3, most: int = 4096, by: tuple[str, ...] = ()) -> DataFrame:
+def links(distinct: DataFrame, most_bits: int = 3, most: int = 4096, by: tuple[str, ...] = (), levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """Edges (by, u, v), u > v, that join what fingerprints at most_bits (up to 3) or fewer differing bits link, of rows with the same values in by (int columns).
 
-    A bucket of up to `most` fingerprints is compared in one piece; keys with more go to the next level.
+    A bucket of up to `most` fingerprints is compared in one piece; keys with more go to the next of the levels.
     """
     parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     todo, found, bucket = distinct.select(*by, "fp", F.lit(0).cast("long").alias("mask")).repartition(parts), None, [*by, "mask", "key"]
-    masks = {0: [_signed(m) for m in block_masks()]}
-    for level, _ in enumerate(LEVELS):
+    masks = {0: [_signed(m) for m in block_masks(None, *levels[0])]}
+    for level, _ in enumerate(levels):
         each = F.lit(None).cast("array<bigint>")
         for mask, finer in masks.items():
             each = F.when(F.col("mask") == mask, F.array(*map(F.lit, finer))).otherwise(each) if mask else F.array(*map(F.lit, finer))
         keyed = todo.select(*by, "fp", F.explode(each).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        if level < len(LEVELS) - 1:
+        if level < len(levels) - 1:
             # keys are counted before fingerprints are gathered, so that no long list is ever built
             crowded = stored(keyed.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*bucket), "crowded")
             light = keyed.join(crowded, bucket, "left_anti")
@@ -150,7 +155,7 @@ def links(distinct: DataFrame, most_bits: int = 3, most: int = 4096, by: tuple[s
         if crowded is None or crowded.isEmpty():
             break
         todo = keyed.join(crowded, bucket, "left_semi").select(*by, "fp", "mask").repartition(parts)
-        blocks, equal = LEVELS[level + 1]
+        blocks, equal = levels[level + 1]
         masks = {m: [_signed(x) for x in block_masks(m & (1 << 64) - 1, blocks, equal)] for finer in masks.values() for m in finer}
     return found.distinct()
 
@@ -202,7 +207,7 @@ def class_edges(tuples: DataFrame, prints: int, most_bits: int = 3) -> DataFrame
     """
     tall = tuples.select("fp", F.posexplode(F.array(*print_names(prints))).alias("which", "other")).distinct()
     tall = stored(tall, "simhash-prints")
-    edges = links(tall.select("which", F.col("other").alias("fp")).distinct(), most_bits, by=("which",))
+    edges = links(tall.select("which", F.col("other").alias("fp")).distinct(), most_bits, by=("which",), levels=WIDE)
     ends = edges.select(F.struct("which", F.col("u").alias("fp")).alias("u"), F.struct("which", F.col("v").alias("fp")).alias("v"))
     star = components(ends).select(F.col("u.which").alias("which"), F.col("u.fp").alias("other"), F.col("root.fp").alias("root"))
     classed = tall.join(star, ["which", "other"], "left").select("fp", "which", F.coalesce("root", "other").alias("root")).distinct()

@@ -366,14 +366,15 @@ def test_near_duplicates(spark, prints):
     assert simhash.near_duplicates(none, prints=prints).count() == 0 and simhash.keep_one(none, prints).count() == 0
 
 
+@pytest.mark.parametrize("levels", [simhash.LEVELS, simhash.WIDE])
 @pytest.mark.parametrize("most", [4096, 20])
-def test_links_lose_nothing_in_dense_buckets(spark, most):
+def test_links_lose_nothing_in_dense_buckets(spark, most, levels):
     r = random.Random(3)
     centres = [r.getrandbits(64) for _ in range(4)]
     fps = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(150)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     fps = spark.createDataFrame([(x,) for x in signed], "fp long")
-    star = simhash.components(simhash.links(fps, most=most))  # a lower bound sends keys to the next levels
+    star = simhash.components(simhash.links(fps, most=most, levels=levels))  # a lower bound sends keys to the next levels
     got = {r["u"]: r["root"] for r in star.collect()}
     label = {x: got.get(x, x) for x in signed}
     todo, classes = set(signed), 0
