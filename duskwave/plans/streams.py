@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import adapters as src
-from ..sources.io import append_new, scratch
+from ..sources.io import scratch
 from ..streaming import jobs, state
 from .base import query, r6
 
@@ -114,22 +114,11 @@ def stream_observed_counts(spark, d):
 
 @query("stream_review_refit")
 def stream_review_refit(spark, d):
-    """Nightly batches: new confirmations are appended to a store, and the combiner is refitted once three families are there."""
+    """New confirmations are appended to a store, and the combiner is refitted once three families are there."""
     from ..operators import models
 
-    store = scratch(spark, "reviews")
     rows = _in(spark, d).select(F.col("event_id").alias("key"), F.col("event_type").alias("family"), F.coalesce("value", F.lit(0.0)).alias("score"), (F.col("user_id") % 3 == 0).cast("double").alias("y"))
-
-    def nightly(batch, n):
-        # each batch has a folder of its own, which a batch that is run again replaces; it only looks at earlier ones
-        new = batch.dropDuplicates(["key"])
-        if n:
-            earlier = spark.read.option("basePath", store).parquet(*(f"{store}/batch={k}" for k in range(n)))
-            new = append_new(earlier.drop("batch"), new, "key")
-        new.write.mode("overwrite").parquet(f"{store}/batch={n}")
-
-    rows.writeStream.option("checkpointLocation", f"{store}-checkpoint").trigger(availableNow=True).foreachBatch(nightly).start().awaitTermination()
-    kept = spark.read.parquet(store)
+    kept = state.first_of_each(rows, "key", scratch(spark, "reviews"))
     families = kept.select("family").distinct().count()
     weight = models.logistic(kept, ["score"], "y").stages[-1].coefficients[0] if families >= 3 else None
     return kept.groupBy("family").agg(F.count("*").alias("n")).withColumn("weight", F.round(F.lit(weight).cast("double"), 4))

@@ -9,9 +9,10 @@ source that has been quiet for the time to live starts anew, and its state is re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -114,15 +115,35 @@ def in_time_slices(events: DataFrame, slices: int) -> str:
     return path
 
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, on local disk and not in memory; the setting is put back afterwards."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def first_of_each(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """One row of each key, ever, of a stream, appended to the table at path, then that table.
+
+    Which of a key's rows it is depends on the order of arrival. Keys seen are kept as state by hash of the key, so a batch costs
+    its own rows and no look at what was appended before; state grows by one key for each row kept. Null is a key like any other. Called again with
+    the same path it takes only what arrived since. A stream that never had a row gives an empty table.
+    """
+    with rocksdb(rows.sparkSession):
+        new = rows.dropDuplicates([key]).writeStream.outputMode("append").option("checkpointLocation", f"{path}-checkpoint")
+        new.trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def drained_features(events: DataFrame, **options) -> DataFrame:
     """All features of the events that there are now, through a checkpointed query into Parquet and read back."""
     spark = events.sparkSession
-    path, before = scratch(spark, "source-features"), spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    path = scratch(spark, "source-features")
+    with rocksdb(spark):
         query = source_features(events, **options).writeStream.outputMode("append").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).format("parquet").option("path", path).start()
         query.awaitTermination()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return spark.read.schema(OUT).parquet(path)
-

@@ -89,3 +89,20 @@ def test_time_slices_hold_every_event_once(spark):
     edges = back.groupBy("slice").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("slice").collect()
     assert all(x["b"] < y["a"] for x, y in zip(edges, edges[1:], strict=False))
     assert spark.read.parquet(state.in_time_slices(events.limit(0), 4)).count() == 0
+
+
+def test_first_of_each_key_over_many_batches(spark, tmp_path):
+    made = [(k, f"v{k}-{n}") for n in range(4) for k in [None, *range(10 * (n + 1))]]
+    columns, store = "k long, v string", str(tmp_path / "store")
+    before = spark.conf.get(state.PROVIDER, None)
+    for n in range(4):
+        part = [x for x in made if x[1].endswith(f"-{n}")]
+        spark.createDataFrame(part + part, columns).write.mode("append").parquet(str(tmp_path / "in"))
+        got = state.first_of_each(spark.readStream.schema(columns).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in")), "k", store)
+        # rows of earlier runs stay, of each new key one row is added
+        first = {k: v for k, v in reversed(made) if int(v[-1]) <= n}
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(first.items(), key=str)
+    assert spark.conf.get(state.PROVIDER, None) == before
+    (tmp_path / "none").mkdir()
+    none = state.first_of_each(spark.readStream.schema(columns).parquet(str(tmp_path / "none")), "k", str(tmp_path / "none-store"))
+    assert none.columns == ["k", "v"] and none.count() == 0
