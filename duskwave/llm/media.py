@@ -131,12 +131,29 @@ def unwav(data: bytes) -> tuple[str, int, bytes]:
     raise ValueError("no data")
 
 
+def adpcm_counts(sizes: np.ndarray) -> np.ndarray:
+    """Samples in so many bytes of ADPCM blocks; a last block that ends early has fewer, one without its whole header none."""
+    rest = sizes % UNIT
+    return sizes // UNIT * (1 + 2 * (UNIT - 4)) + np.where(rest < 4, 0, 1 + 2 * (rest - 4))
+
+
+def adpcm_pcm(payloads: list[bytes]) -> np.ndarray:
+    """PCM of the ADPCM blocks of several files, one file after the other."""
+    per = 1 + 2 * (UNIT - 4)
+    sizes = np.array([len(x) for x in payloads], np.int64)
+    whole = np.frombuffer(b"".join(x + b"\0" * (-len(x) % UNIT) for x in payloads), np.uint8)
+    pcm, counts, room = decode_adpcm(whole.reshape(-1, UNIT)).reshape(-1), adpcm_counts(sizes), -(-sizes // UNIT) * per
+    if (counts == room).all():
+        return pcm
+    starts = np.cumsum(room) - room
+    return np.concatenate([pcm[at : at + n] for at, n in zip(starts.tolist(), counts.tolist(), strict=True)])
+
+
 def expand(codec: str, samples: bytes) -> np.ndarray:
     """PCM of one file's samples."""
-    codes = np.frombuffer(samples, np.uint8)
     if codec == "adpcm":
-        return decode_adpcm(codes[: len(codes) // UNIT * UNIT].reshape(-1, UNIT)).reshape(-1)
-    return (mulaw_table() if codec == "mulaw" else alaw_table())[codes]
+        return adpcm_pcm([samples])
+    return (mulaw_table() if codec == "mulaw" else alaw_table())[np.frombuffer(samples, np.uint8)]
 
 
 def encode_media(docs: DataFrame, keys: list[str], codec: str = "mulaw", text: str = "text") -> DataFrame:
@@ -172,45 +189,60 @@ def pcm_media(media: DataFrame, keys: list[str]) -> DataFrame:
     return arrow_map(media.select(*keys, "media"), run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rate int, pcm binary", "media")
 
 
-def _levels(pcm: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
-    """Root mean square, peak and sign changes of each file's stretch of pcm; none is empty."""
-    x = pcm.astype(np.int64)
-    square = np.add.reduceat(x * x, starts) // counts
-    peak = np.maximum.reduceat(np.abs(x), starts)
-    turn = np.zeros(len(x), np.int64)
-    turn[1:] = (x[1:] < 0) != (x[:-1] < 0)
-    turn[starts] = 0
-    return list(zip(np.sqrt(square).astype(int).tolist(), peak.tolist(), np.add.reduceat(turn, starts).tolist(), strict=True))
+def _levels(pcm: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """Root mean square, peak and sign changes of each file's stretch of pcm; 0 for a file without samples."""
+    out, full = np.zeros((len(counts), 3), np.int64), counts > 0
+    if full.any():
+        starts = (np.cumsum(counts) - counts)[full]
+        x = pcm.astype(np.int64)
+        turn = np.zeros(len(x), np.int64)
+        turn[1:] = (x[1:] < 0) != (x[:-1] < 0)
+        turn[starts] = 0
+        out[full, 0] = np.sqrt(np.add.reduceat(x * x, starts) // counts[full])
+        out[full, 1] = np.maximum.reduceat(np.abs(x), starts)
+        out[full, 2] = np.add.reduceat(turn, starts)
+    return [tuple(x) for x in out.tolist()]
 
 
 def read_media(media: DataFrame, keys: list[str]) -> DataFrame:
-    """What is in the stored files: keys, payload digests, file digests and a feature string.
+    """What is in the stored files: keys, payload digests, file digests, a feature string, and rate and pcm as pcm_media() gives them.
 
-    feature: root mean square, peak and sign changes of the samples as mu-law, as A-law and as 64-byte ADPCM blocks, and
-    the CRC of the file's own PCM at twice its rate. Files must hold a positive multiple of 64 bytes of samples. Files are opened about
-    1 MB at a time, a larger one by itself. Repeated rows give equal results, an empty table gives an empty result.
+    feature: root mean square, peak and sign changes of the samples as mu-law, as A-law and as 64-byte ADPCM blocks (the last may be
+    short). Files may hold any number of bytes of samples; null media give nulls. Files are opened about 1 MB at a time, a larger one by
+    itself; PCM over 2 GB is an error, since no row holds it. Repeated rows give equal results, an empty table gives an empty result.
     """
     types = dict(media.dtypes)
-    out_schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out_schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate int, pcm binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         files = batch.column("media").to_pylist()
-        opened = [unwav(x) for x in files]
-        payloads = [x[2] for x in opened]
+        opened = [unwav(x) if x is not None else None for x in files]
+        payloads = [x[2] if x is not None else b"" for x in opened]
+        counts = np.array([len(x) for x in payloads], np.int64)
         codes = np.frombuffer(b"".join(payloads), np.uint8)
-        counts = np.array([len(x) for x in payloads])
-        starts = np.cumsum(counts) - counts
-        mu, a = mulaw_table()[codes], alaw_table()[codes]
-        blocks = decode_adpcm(codes.reshape(-1, UNIT))
-        own = {"mulaw": _levels(mu, starts, counts), "alaw": _levels(a, starts, counts), "adpcm": _levels(blocks.reshape(-1), starts // UNIT * blocks.shape[1], counts // UNIT * blocks.shape[1])}
-        feature = []
-        for i, (codec, _, samples) in enumerate(opened):
-            at = slice(starts[i], starts[i] + counts[i])
-            pcm = mu[at] if codec == "mulaw" else a[at] if codec == "alaw" else expand(codec, samples)
-            crc = zlib.crc32(resample2(pcm).astype("<i2").tobytes())
-            feature.append(";".join(f"{name}:{','.join(map(str, own[name][i]))}" for name in own) + f";pcm{2 * opened[i][1]}:{crc:08x}")
-        cols = [*(batch.column(k) for k in keys), pa.array(counts), pa.array([hashlib.sha256(x).hexdigest() for x in payloads], pa.string()), pa.array([zlib.crc32(x[-UNIT:]) for x in payloads], pa.int64())]
-        cols += [pa.array([len(x) for x in files], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in files], pa.string()), pa.array(feature, pa.string())]
-        return pa.RecordBatch.from_arrays(cols, [*keys, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        sounds = {"mulaw": mulaw_table()[codes], "alaw": alaw_table()[codes], "adpcm": adpcm_pcm(payloads)}
+        sizes = {"mulaw": counts, "alaw": counts, "adpcm": adpcm_counts(counts)}
+        levels = {name: _levels(sounds[name], sizes[name]) for name in sounds}
+        ends = {name: np.cumsum(sizes[name]) for name in sounds}
+        feature, pcm = [], []
+        for i, x in enumerate(opened):
+            if x is None:
+                feature.append(None)
+                pcm.append(None)
+                continue
+            feature.append(";".join(f"{name}:{','.join(map(str, levels[name][i]))}" for name in sounds))
+            own = sounds[x[0]][ends[x[0]][i] - sizes[x[0]][i] : ends[x[0]][i]]
+            pcm.append(resample2(own).astype("<i2").tobytes())
+        there = lambda fn, values, kind: pa.array([fn(v) if x is not None else None for v, x in zip(values, opened, strict=True)], kind)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        cols = [*(batch.column(k) for k in keys), there(len, payloads, pa.int64()), there(sha, payloads, pa.string()), there(lambda x: zlib.crc32(x[-UNIT:]), payloads, pa.int64())]
+        cols += [there(len, files, pa.int64()), there(sha, files, pa.string()), pa.array(feature, pa.string()), there(lambda x: 2 * x[1], opened, pa.int32()), pa.array(pcm, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, [*keys, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm"])
 
     return arrow_map(media.select(*keys, "media"), run, out_schema, "media", 1 << 20)
+
+
+def with_pcm_crc(heard: DataFrame) -> DataFrame:
+    """heard with rate and the CRC of the bytes of pcm at the end of its feature in place of both columns; null pcm give null features."""
+    crc = F.lpad(F.lower(F.hex(F.crc32("pcm"))), 8, "0")
+    return heard.withColumn("feature", F.concat("feature", F.lit(";pcm"), F.col("rate").cast("string"), F.lit(":"), crc)).drop("rate", "pcm")

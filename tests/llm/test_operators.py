@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -122,6 +123,33 @@ def test_media_round_trip(spark, codec):
     assert pcm[4]["rate"] == 16000 and len(pcm[4]["pcm"]) == 2 * 2 * (64 if codec != "adpcm" else 121)
 
 
+def test_media_of_any_length(spark):
+    import numpy as np
+
+    from duskwave.llm.common import stored
+
+    def levels(x):
+        return f"{math.isqrt(sum(v * v for v in x) // len(x))},{max(map(abs, x))},{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}" if x else "0,0,0"
+
+    r = random.Random(5)
+    rows = [(i, codec, r.randbytes(n)) for i, (codec, n) in enumerate((c, n) for c in media.FORMAT for n in (0, 1, 3, 4, 32, 32, 63, 64, 65, 70, 128, 5000))]
+    files = spark.createDataFrame([*((i, media.wav(x, codec)) for i, codec, x in rows), (99, None)], "doc_id long, media binary").coalesce(1)
+    read = media.read_media(files, ["doc_id"])
+    got = {x["doc_id"]: x.asDict() for x in read.collect()}
+    kept = {x["doc_id"]: x["feature"] for x in media.with_pcm_crc(stored(read, "pcm")).collect()}
+    doubled = {x["doc_id"]: (x["rate"], x["pcm"]) for x in media.pcm_media(files, ["doc_id"]).collect()}
+    # a short last block: the samples of a whole one up to its end
+    adpcm = lambda x: [int(v) for k in range(0, len(x), 64) for b in [x[k : k + 64]] if len(b) >= 4 for v in media.decode_adpcm(np.frombuffer(b + bytes(64 - len(b)), np.uint8)[None])[0][: 1 + 2 * (len(b) - 4)]]
+    for i, codec, x in rows:
+        read_as = {"mulaw": media.mulaw_table()[list(x)].tolist() if x else [], "alaw": media.alaw_table()[list(x)].tolist() if x else [], "adpcm": adpcm(x)}
+        feature = ";".join(f"{k}:{levels(v)}" for k, v in read_as.items())
+        pcm = media.resample2(np.array(read_as[codec], np.int16)).astype("<i2").tobytes()
+        assert (got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]))
+        assert got[i]["feature"] == feature and kept[i] == f"{feature};pcm16000:{zlib.crc32(pcm):08x}"
+        assert (got[i]["rate"], got[i]["pcm"]) == doubled[i] == (16000, pcm)
+    assert set(got.pop(99).values()) == {99, None} and kept[99] is None
+
+
 def test_companding_tables_and_adpcm():
     import numpy as np
 

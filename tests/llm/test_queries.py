@@ -5,6 +5,7 @@ import functools
 import hashlib
 import html.parser
 import math
+import os
 import random
 import re
 import struct
@@ -14,7 +15,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from duskwave.llm import langid, queries, secrets
+from duskwave.llm import common, langid, queries, secrets
 
 from .test_operators import ODD, SYLLABLES, WORDS, brute_base, brute_contamination, brute_fingerprint, brute_lines, brute_targets, prose, speak
 
@@ -176,6 +177,28 @@ def test_op3(spark, folder):
     assert got == want
 
 
+def test_op3_stores_resampled_pcm_and_reads_it_back(spark, folder):
+    def expand(c):
+        c = ~c & 0xFF
+        size = (((c & 15) << 3) + 132 << (c >> 4 & 7)) - 132
+        return -size if c & 128 else size
+
+    table, root = [expand(c) for c in range(256)], common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    rows = run(spark, folder, "op3_telephony_media")
+    new = [spark.read.parquet(f"{root}/{x}") for x in sorted(set(os.listdir(root)) - before)]
+    [kept] = [x.collect() for x in new if "pcm" in x.columns]
+    want = Counter()
+    for i, t, *_ in _documents():
+        raw = (t or "").encode()
+        mu = [table[c] for c in raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))]
+        x = [mu[0], *mu, mu[-1], mu[-1]]
+        between = [max(-32768, min(32767, 9 * (b + c) - a - d + 8 >> 4)) for a, b, c, d in zip(x, x[1:], x[2:], x[3:])]
+        want[(i, 16000, struct.pack(f"<{2 * len(mu)}h", *(v for p in zip(mu, between) for v in p)))] += 1
+    assert Counter((r["doc_id"], r["rate"], bytes(r["pcm"])) for r in kept) == want
+    assert Counter((r["doc_id"], int(r["feature"].rpartition(":")[2], 16)) for r in rows) == Counter((r["doc_id"], zlib.crc32(r["pcm"])) for r in kept)
+
+
 def test_op4(spark, folder):
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in run(spark, folder, "op4_benchmark_decontamination"))
     want = Counter()
