@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["arrow_map", "cut", "lower_ascii", "put_back", "running_before", "schema_of", "scratch_path", "set_aside", "shared_dir", "ship", "stored", "table", "text_slices", "with_text"]
+__all__ = ["arrow_map", "cut", "lower_ascii", "put_back", "running_before", "schema_of", "scratch_path", "set_aside", "shared_dir", "ship", "stored", "stored_at", "table", "text_slices", "with_text"]
 
 LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Python workers take this many bytes of text at a time.
@@ -40,8 +40,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: short lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    return stored_at(df, scratch_path(df.sparkSession, name), "errorifexists", **options)
+
+
+def stored_at(df: DataFrame, path: str, mode: str, **options: str) -> DataFrame:
+    """As stored(), at a path that may be written before: all that is there after df replaced it ("overwrite") or was added ("append")."""
+    df.write.mode(mode).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

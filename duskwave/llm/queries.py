@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, htmlmain, langid, linededup, media, mixing, phrases, ranked, secrets, sharding, simhash, warc, weighted
-from .common import stored, table
+from .common import scratch_path, stored, stored_at, table
 
 #: Media columns are packed in long pages, in which zstd finds more repeats.
-PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(16 << 20)}
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "10", "parquet.page.size": str(16 << 20)}
+#: Documents go through WAV files in so many parts by a hash of their id; each reads the table once.
+MEDIA_PARTS = 4
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +27,15 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = stored(media.encode_media(table(spark, sf_dir, "documents"), ["doc_id"]), "media", **PACKED)
-    # readers take a row group's rows together: 1,024 rows of PCM are as long as the 4,096 texts of a batch
-    heard = stored(media.read_media(files, ["doc_id", "n_bytes"]), "pcm", **PACKED, **{"parquet.block.row.count.limit": "1024"})
-    return media.with_pcm_crc(heard)
+    docs, files, heard = table(spark, sf_dir, "documents"), scratch_path(spark, "media"), scratch_path(spark, "pcm")
+    for part in range(MEDIA_PARTS):
+        # texts of one language, and near copies, are near each other, where zstd finds their repeats
+        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(MEDIA_PARTS)) == part).sortWithinPartitions("lang", "text")
+        # the PCM of a part is stored before the WAV files of the next one take the place of its own
+        sounds = stored_at(media.encode_media(some, ["doc_id"]), files, "overwrite", **PACKED)
+        # readers take a row group's rows together: 1,024 rows of PCM are as long as the 4,096 texts of a batch
+        pcm = stored_at(media.read_media(sounds, ["doc_id", "n_bytes"]), heard, "append", **PACKED, **{"parquet.block.row.count.limit": "1024"})
+    return media.with_pcm_crc(pcm)
 
 
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

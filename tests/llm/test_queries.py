@@ -15,7 +15,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from duskwave.llm import common, langid, queries, secrets
+from duskwave.llm import common, langid, media, queries, secrets
 
 from .test_operators import ODD, SYLLABLES, WORDS, brute_base, brute_contamination, brute_fingerprint, brute_lines, brute_targets, prose, speak
 
@@ -199,6 +199,22 @@ def test_op3_stores_resampled_pcm_and_reads_it_back(spark, folder):
     assert Counter((r["doc_id"], int(r["feature"].rpartition(":")[2], 16)) for r in rows) == Counter((r["doc_id"], zlib.crc32(r["pcm"])) for r in kept)
 
 
+def test_op3_holds_wav_files_of_one_part_beside_pcm(spark, folder, monkeypatch):
+    parts, read = [], media.read_media
+    monkeypatch.setattr(media, "read_media", lambda files, keys: parts.append([r["doc_id"] for r in files.collect()]) or read(files, keys))
+    ids = Counter(r["doc_id"] for r in run(spark, folder, "op3_telephony_media"))
+    assert Counter(i for x in parts for i in x) == ids == Counter(r[0] for r in _documents())
+    assert max(map(len, parts)) < sum(map(len, parts)) / 2
+
+
+def test_op3_disk(spark):
+    root, table = common.shared_dir(spark).removeprefix("file:"), "/root/testdata/sf0.1/documents.parquet"
+    before = set(os.listdir(root))
+    queries.telephony_media(spark, os.path.dirname(table))
+    new = [os.path.join(at, f) for x in set(os.listdir(root)) - before for at, _, names in os.walk(f"{root}/{x}") for f in names]
+    assert 0 < sum(map(os.path.getsize, new)) < 1.5 * os.path.getsize(table)
+
+
 def test_op4(spark, folder):
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in run(spark, folder, "op4_benchmark_decontamination"))
     want = Counter()
