@@ -52,8 +52,10 @@ def multiview(df: DataFrame, blocks: dict[str, list[str]], copies: int = 3, rate
     return out.withColumn("weight", F.lit(1 / (copies + 1)))
 
 
-def prepared(columns: list[str], impute: bool = False) -> list:
-    """Stages from columns to `features`."""
+def prepared(columns: list[str] | None, impute: bool = False) -> list:
+    """Stages from columns to `features`; none for rows that have `features` already (columns None)."""
+    if columns is None:
+        return []
     if not impute:
         return [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
     filled = [f"{c}__filled" for c in columns]
@@ -64,7 +66,7 @@ def with_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in columns} | {c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in columns})
 
 
-def forest(df: DataFrame, columns: list[str], label: str = "truth", weight: str | None = None, trees: int = 12, depth: int = 4, seed: int = 7, impute: bool = False) -> PipelineModel:
+def forest(df: DataFrame, columns: list[str] | None, label: str = "truth", weight: str | None = None, trees: int = 12, depth: int = 4, seed: int = 7, impute: bool = False) -> PipelineModel:
     learner = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probability", rawPredictionCol="rawPrediction")
     if weight:
         learner = learner.setWeightCol(weight)

@@ -23,11 +23,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def nearest_rows(q_ids: np.ndarray, q: np.ndarray, a_ids: np.ndarray, a: np.ndarray, k: int, metric: str, best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
     """Of rows a (and those in best) the k nearest of each q by (distance to nine digits, id), as (number of q, distance, id)."""
-    if metric == "cosine":
-        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
-        d = 1 - np.divide(q @ a.T, norms, out=np.zeros(norms.shape), where=norms > 0)
-    else:
-        d = np.stack([np.sqrt(((a - x) ** 2).sum(axis=1)) for x in q])
+    if metric == "euclidean":
+        return _nearest_euclidean(q_ids, q, a_ids, a, k, (np.empty(0, np.int64), np.empty(0), a_ids[:0]) if best is None else best)
+    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
+    d = 1 - np.divide(q @ a.T, norms, out=np.zeros(norms.shape), where=norms > 0)
     d = np.round(d, 9)
     d[q_ids[:, None] == a_ids[None, :]] = np.inf
     far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
@@ -38,6 +37,73 @@ def nearest_rows(q_ids: np.ndarray, q: np.ndarray, a_ids: np.ndarray, a: np.ndar
     return _best(row, dist, ids, k)
 
 
+#: Queries and rows of a block of the screen: its products stay in a core's cache.
+TILE = (512, 1024)
+
+
+def _nearest_euclidean(q_ids: np.ndarray, q: np.ndarray, a_ids: np.ndarray, a: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """nearest_rows() for Euclidean distance, exactly.
+
+    A matrix product in single precision, with a bound on its error, tells which rows can't be among the k nearest so far; the distances of the
+    others are computed in full. As |q - a|^2 = |q|^2 - 2 (q a - |a|^2 / 2), a row may count if what is in brackets is `least` or more. For the
+    products values are scaled by a power of two, so that none is beyond 1.
+    """
+    far_q, far_a = ~np.isfinite(q).all(axis=1), ~np.isfinite(a).all(axis=1)
+    fine_q, fine_a = np.where(far_q[:, None], 0.0, q), np.where(far_a[:, None], 0.0, a)
+    unit = np.ldexp(1.0, min(1000, -int(np.frexp(max(np.abs(fine_q).max(initial=0.0), np.abs(fine_a).max(initial=0.0)))[1])))
+    fine_q, fine_a = fine_q * unit, fine_a * unit
+    qq, aa = (fine_q * fine_q).sum(axis=1), (fine_a * fine_a).sum(axis=1)
+    longest = aa.max(initial=0.0)
+    # twice the error of products and norms, and what rounding to nine digits may add
+    slack = 2.0**-23 * (q.shape[1] + 12) * (qq + longest) + 4e-9 * unit * (np.sqrt(qq) + np.sqrt(longest)) + 1e-17 * unit**2 + 1e-40
+    q32 = np.column_stack((fine_q, np.ones(len(q)))).astype(np.float32)
+    a32 = np.column_stack((fine_a, np.where(far_a, -np.inf, -aa / 2))).astype(np.float32)
+    shared, out = np.isin(q_ids, a_ids), []
+    for lo in range(0, len(q), TILE[0]):
+        some = slice(lo, min(len(q), lo + TILE[0]))
+        n, mine = some.stop - lo, slice(*np.searchsorted(best[0], (lo, some.stop)))
+        found, waiting = [(best[0][mine] - lo, best[1][mine], best[2][mine])], 0
+        kth = _kth(found[0], n, k)
+        for at in range(0, len(a), TILE[1]):
+            few = slice(at, at + TILE[1])
+            g = q32[some] @ a32[few].T
+            if shared[some].any():
+                g[q_ids[some][:, None] == a_ids[few][None, :]] = -np.inf
+            least = np.where(far_q[some], np.inf, (qq[some] - ((kth + 1e-9) * unit) ** 2 - slack[some]) / 2)
+            if g.shape[1] > k and np.isinf(kth).any():
+                least = np.maximum(least, -np.partition(-g, k - 1, axis=1)[:, k - 1] - slack[some])
+            may = _true_cells(g >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+            for first in range(0, len(may), 1 << 16):
+                row, col = np.divmod(may[first : first + (1 << 16)], g.shape[1])
+                d = np.round(np.sqrt(((a[few][col] - q[some][row]) ** 2).sum(axis=1)), 9)
+                near = np.isfinite(d) & (d <= kth[row]) & (q_ids[some][row] != a_ids[few][col])
+                found.append((row[near], d[near], a_ids[few][col[near]]))
+                waiting += np.count_nonzero(near)
+                if waiting > 4 * k * n:
+                    found, waiting = [_best(*map(np.concatenate, zip(*found, strict=True)), k)], 0
+                    kth = _kth(found[0], n, k)
+        row, dist, ids = _best(*map(np.concatenate, zip(*found, strict=True)), k)
+        out.append((row + lo, dist, ids))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else best
+
+
+def _true_cells(cells: np.ndarray) -> np.ndarray:
+    """np.flatnonzero() of booleans of which few are true: looks at eight at once first."""
+    flat = cells.reshape(-1)
+    whole = len(flat) // 8 * 8
+    at = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+    at = np.concatenate((at, np.arange(whole, len(flat))))
+    return at[flat[at]]
+
+
+def _kth(best: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, k: int) -> np.ndarray:
+    """The k-th distance of each of n row numbers, infinite where there are fewer."""
+    row, out = best[0], np.full(n, np.inf)
+    last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+    out[row[last]] = best[1][last]
+    return out
+
+
 def _best(row: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of each row number, by (distance, id)."""
     order = np.lexsort((ids, dist, row))
@@ -50,7 +116,7 @@ def knn(queries: DataFrame, archive: DataFrame, k: int = 5, metric: str = "cosin
     """q_id, a_id, dist, place: the k nearest archive rows (id, v) of each query row (id, v), exactly; ties by a_id. NULL vectors are nobody's neighbour.
 
     A stated set of queries is compared with all rows in blocks. The queries are counted first and go to all tasks; each task reads its part of the
-    archive once, in blocks of at most `cells` distances, and hands on its k best for each query, so nothing but these is shuffled.
+    archive once, in blocks of at most `cells` distances (Euclidean ones: of TILE), and hands on its k best for each query, so nothing but these is shuffled.
     """
     if (n := queries.count()) > most_queries:
         raise ValueError(f"{n} queries; send at most {most_queries} at a time")
@@ -109,7 +175,8 @@ def _one_pass(queries: DataFrame, archive: DataFrame, k: int, metric: str, cells
         q_ids, q = shared.value
         best = None
         for batch in batches:
-            step = max(1, cells // max(len(q_ids), 1))
+            # Euclidean distances are cut into blocks where they are made
+            step = max(1, batch.num_rows if metric == "euclidean" else cells // max(len(q_ids), 1))
             for at in range(0, batch.num_rows if len(q_ids) else 0, step):
                 part = batch.slice(at, step)
                 best = nearest_rows(q_ids, q, part.column("id").to_numpy(zero_copy_only=False).astype(np.int64), _vectors(part), k, metric, best)

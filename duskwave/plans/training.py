@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import median
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import boosting, heads, leaves, models, nextpoint, ranking, search
@@ -230,28 +231,51 @@ def feature_ablation(spark, d):
 def leave_one_class_out(spark, d):
     """Train without a class, for each class; AUROC of energy and of distance, all its objects against the test rows of the others.
 
-    The distance is the mean to the ten nearest training rows, in columns standardised on these.
+    The distance is the mean to the ten nearest training rows, in columns standardised on these. Both tell only vectors apart, so they are
+    made for each distinct vector once; how many rows it stands for counts among the neighbours and in the AUROC. Rows without a vector are left
+    out: trees refuse them.
     """
-    from pyspark.ml.functions import vector_to_array
-
-    r, out = _rows(spark, d), None
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = src.scores(spark, d).select("obj_id", "truth", "split", "emb").where("emb is not null")
+    # dealt out, so that models are trained by all tasks however the table was written
+    rows = io.stored(rows.repartition("obj_id"), "left-out-rows")
+    count = lambda *conditions: F.array(*(F.count_if((F.col("truth") == c) & cond) for c in range(6) for cond in conditions))
+    vectors = rows.groupBy("emb").agg(F.min("obj_id").alias("id"), count(F.col("split") == "train").alias("train"), count(F.col("split") == "test").alias("test"), count(F.lit(True)).alias("every"))
+    vectors = io.stored(vectors, "left-out-vectors")
+    others = lambda name, c: F.aggregate(name, F.lit(0).cast("long"), lambda s, n: s + n) - F.element_at(name, c + 1)
+    vector = array_to_vector(F.col("emb").cast("array<double>"))
+    train = rows.where("split = 'train' and truth is not null").withColumn("features", vector)
+    spread = lambda c: Summarizer.metrics("mean", "std", "count").summary(F.col("features"), (F.col("truth") != c).cast("double"))
+    spreads, out = train.agg(*(spread(c).alias(f"of{c}") for c in range(6))).first(), None
     for c in range(6):
-        known = r.where(F.col("truth") != c).withColumn("truth", F.when(F.col("truth") > c, F.col("truth") - 1).otherwise(F.col("truth")))
-        fit = known.where("split = 'train'")
-        asked = known.where("split = 'test'").withColumn("out", F.lit(False)).unionByName(r.where(F.col("truth") == c).withColumn("out", F.lit(True)))
-        m = models.forest(fit, COLS, trees=6)
-        e = m.transform(asked).select("obj_id", "out", heads.energy(vector_to_array("rawPrediction")).alias("energy"))
-        s = fit.agg(*(F.avg(x).alias(f"m_{x}") for x in COLS), *(F.stddev_pop(x).alias(f"s_{x}") for x in COLS)).first()
-        v = F.array(*((F.col(x) - F.lit(s[f"m_{x}"])) / F.lit(s[f"s_{x}"] or 1.0) for x in COLS))
-        near = nb.knn_all(asked.select(F.col("obj_id").alias("id"), v.alias("v")), fit.select(F.col("obj_id").alias("id"), v.alias("v")), 10, "euclidean")
-        one = e.join(near.groupBy(F.col("q_id").alias("obj_id")).agg(F.avg("dist").alias("distance")), "obj_id").withColumn("cls", F.lit(c))
+        fit = train.where(F.col("truth") != c).withColumn("truth", F.when(F.col("truth") > c, F.col("truth") - 1).otherwise(F.col("truth")).cast("double"))
+        m = models.forest(fit, None, trees=6)
+        asked = vectors.withColumns({"n_out": F.element_at("every", c + 1), "n_in": others("test", c)}).where("n_out + n_in > 0")
+        e = m.transform(asked.withColumn("features", vector)).select("id", "n_out", "n_in", heads.energy(vector_to_array("rawPrediction")).alias("energy"))
+        n = spreads[f"of{c}"]["count"]
+        mean, std = spreads[f"of{c}"]["mean"].toArray(), spreads[f"of{c}"]["std"].toArray() * (max(n - 1, 0) / max(n, 1)) ** 0.5
+        v = F.zip_with(F.zip_with(F.col("emb"), F.lit(mean.tolist()), lambda x, y: x.cast("double") - y), F.lit([x or 1.0 for x in std.tolist()]), lambda x, y: x / y)
+        known = vectors.withColumn("n", others("train", c)).where("n > 0")
+        # a vector of both sides has two ids: its training rows are neighbours of its asked ones
+        near = nb.knn_all(asked.select((F.col("id") * 2).alias("id"), v.alias("v")), known.select((F.col("id") * 2 + 1).alias("id"), v.alias("v")), 10, "euclidean", 1 << 15)
+        near = near.join(known.where("n > 1").select((F.col("id") * 2 + 1).alias("a_id"), "n"), "a_id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        before = F.sum("n").over(Window.partitionBy("q_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+        near = near.withColumn("n", F.least("n", 10 - F.coalesce(before, F.lit(0)))).where("n > 0")
+        distance = near.groupBy(F.shiftright("q_id", 1).alias("id")).agg((F.sum(F.col("n") * F.col("dist")) / F.sum("n")).alias("distance"))
+        one = e.join(distance, "id").drop("id").withColumn("cls", F.lit(c))
         out = one if out is None else out.unionByName(one)
-    path = io.scratch(spark, "left-out")
-    out.write.parquet(path)
-    out = spark.read.parquet(path)
-    n1, n0 = F.count_if("out"), F.count_if(~F.col("out"))
-    one_of = lambda x: ranking.average_ranks(out.select("cls", "out", x), x, F.floor(F.col(x) * 8), by=["cls"]).groupBy("cls").agg(r6((F.sum(F.when(F.col("out"), F.col("rank"))) - n1 * (n1 + 1) / F.lit(2.0)) / (n1 * n0)).alias(f"{x}_auroc"))
-    return one_of("energy").join(one_of("distance"), "cls")
+    out = io.stored(out, "left-out")
+    return _weighted_auroc(out, "energy").join(_weighted_auroc(out, "distance"), "cls")
+
+
+def _weighted_auroc(scored, x):
+    """Of rows (cls, x, n_out, n_in), each standing for so many rows of either side: how often x is larger among those left out, ties half."""
+    per = scored.where(F.col(x).isNotNull()).groupBy("cls", x).agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
+    r = ranking.running(per, ["cls"], [x], F.floor(F.col(x) * 1024), {"upto": F.col("n_in")})
+    above = F.sum(F.col("n_out") * (F.col("upto") - F.col("n_in") / 2))
+    return r.groupBy("cls").agg(r6(above / F.nullif(F.sum("n_out") * F.sum("n_in"), F.lit(0))).alias(f"{x}_auroc"))
 
 
 def _forecast_rows(spark, d):
